@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docketry.llm import q_counts, q_lines, q_tokens
+from docketry.llm import q_counts, q_lines, q_pages, q_tokens
 
-MODULES = (q_counts, q_lines, q_tokens)
+MODULES = (q_counts, q_lines, q_pages, q_tokens)
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
