@@ -1,10 +1,11 @@
-"""Queries of problem 4 (template residue)."""
+"""Queries of problems 4 (template residue) and 10 (keyword and link spam)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm.keyword_spam import spam_pages
 from docketry.llm.template_residue import TemplateResidue
 from docketry.runtime import table
 
@@ -24,5 +25,9 @@ def p4_findings(spark: SparkSession, d: str) -> DataFrame:
     return _residue(spark, d).findings().groupBy("verdict").agg(F.countDistinct("id").alias("chunks"), F.count("*").alias("segments"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_findings": p4_findings}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_findings": p4_findings, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
