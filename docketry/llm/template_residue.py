@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.lines import site_of
+from docketry.runtime import cut
 
 # ---- fixed values: syntax of template languages and form letters ----
 PLACEHOLDER = [
@@ -136,6 +137,17 @@ _ANY_SCRIPT = re.compile("|".join(f"(?:{p})" for p in SCRIPT), re.I)
 _ADVICE, _TECHNICAL, _NO_RESIDUE = re.compile(ADVICE, re.I), re.compile(TECHNICAL, re.I), re.compile(rf"\[(?:{'|'.join(MASKS)})\]|</?(?:{_TAGS})>")
 _SENTENCE, _WORD = re.compile(r"(?<=[.!?।…])\s+"), re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SHORT = 12  # words of a response that says nothing of the page's subject
+# A segment without any of these words, signs or starts is none of the messages, notices and fillers above.
+_HINTS = frozenset(
+    "found exist exists unavailable available deleted moved removed record expired ended timed denied forbidden unauthorized unauthorised blocked rejected failed many"
+    " gateway error wrong answer respond reply lost refused closed started loaded maintenance work fault line include pointer traceback exception trace robot human"
+    " wait loading redirecting moment seconds moments introuvable refusé indisponible gefunden verweigert verfügbar encontrada denegado disponible मिला उपलब्ध allowed"
+    " javascript js script scripts scripting skripte frames flash cookies content noscript browser capable"
+    " lorem ipsum dolor consectetur demo dummy sample example filler test placeholder blind asdf qwer qwerty zxcv uiop dfgh hjkl jkl goes here soon box replace heading"
+    " nothing editor server database firewall session timeout time-out reload retry frame plugin plug-in cache administrator incident token proxy captcha not".split()
+) - {"not"}
+_SIGNS = re.compile(r"[\[{<@_%#]|&lt;|XXX|\(T")
+_STARTS = re.compile(r"\W*(?:(?:http|error|status|code|at)\b|[45]\d\d\b)|\[para", re.I)
 
 
 def segments(text: str) -> Iterator[str]:
@@ -145,29 +157,35 @@ def segments(text: str) -> Iterator[str]:
                 yield part
 
 
-def judge(segment: str) -> str | None:
+def judge(segment: str, words: list[str] | None = None) -> str | None:
     """placeholder, filler, message, script; or in doubt: `doubt` (technical), `strange` (no function words); else None."""
-    for m in _ANY_PLACEHOLDER.finditer(segment):
-        if not _NO_RESIDUE.fullmatch(m.group().replace("_", " ")):
-            return "placeholder"
-    if _ANY_FILLER.search(segment) or any(p.match(segment) for p in _REPEATS):
+    if words is None:
+        words = _WORD.findall(segment.lower())
+    if _SIGNS.search(segment):
+        for m in _ANY_PLACEHOLDER.finditer(segment):
+            if not _NO_RESIDUE.fullmatch(m.group().replace("_", " ")):
+                return "placeholder"
+    few = 3 <= len(words) and len(set(words)) <= 2 or len(words) == 2 and words[0] == words[1]
+    if few and any(p.match(segment) for p in _REPEATS):
         return "filler"
-    advice = _ADVICE.search(segment)
-    if not advice:
-        if _ANY_MESSAGE.search(segment):
-            return "message"
-        if _ANY_SCRIPT.search(segment):
-            return "script"
-    words = _WORD.findall(segment)
-    if not advice and 0 < len(words) <= SHORT and _TECHNICAL.search(segment):
-        return "doubt"
-    if len(words) >= 5 and sum(w.lower() in FUNCTION_WORDS for w in words) <= 0.25 * len(words) and segment.isascii() and sum(w[0].islower() for w in words) >= 0.7 * len(words):
+    if not _HINTS.isdisjoint(words) or _STARTS.match(segment):
+        if _ANY_FILLER.search(segment):
+            return "filler"
+        if not _ADVICE.search(segment):
+            if _ANY_MESSAGE.search(segment):
+                return "message"
+            if _ANY_SCRIPT.search(segment):
+                return "script"
+            if len(words) <= SHORT and _TECHNICAL.search(segment):
+                return "doubt"
+    if len(words) >= 5 and sum(map(FUNCTION_WORDS.__contains__, words)) <= 0.25 * len(words) and segment.isascii() and sum(map(str.islower, _INITIAL.findall(segment))) >= 0.7 * len(words):
         return "strange"
     return None
 
 
-_FOUND = "id string, site string, slug string, title_key string, verdict string, segment string"
-_DIGITS = re.compile(r"\d+")
+_FOUND = "id string, site string, slug string, title_key string, verdict string, segment string, n long"
+_NAMES = ["id", "site", "slug", "title_key", "verdict", "segment", "n"]
+_DIGITS, _INITIAL = re.compile(r"\d+"), re.compile(r"\b[^\W\d_]")
 
 
 def _signature(segment: str) -> str:
@@ -187,46 +205,37 @@ class TemplateResidue:
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site_of(F.col(url_col)).alias("site"), F.lower(url_col).alias("slug"), F.col(key_col).cast("string").alias("title_key")).where("id IS NOT NULL AND text IS NOT NULL")
         self.titles, self.hosts, self.mismatch, self.known, self.known_from = titles, hosts, mismatch, known, known_from
 
-    def suspects(self) -> DataFrame:
-        """Every segment that a detector or a doubt points at."""
+    def read(self) -> DataFrame:
+        """Suspect segments, and the corpus vocabulary as rows of verdict `word` (n: its occurrences in all but strange segments)."""
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: Counter = Counter()
+
+            def vocabulary() -> pa.RecordBatch:
+                none = pa.nulls(len(known), pa.string())
+                return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(["word"] * len(known), pa.string()), pa.array(known.keys(), pa.string()), pa.array(known.values(), pa.int64())], names=_NAMES)
+
             for batch in batches:
                 ids, texts, sites, slugs, keys = batch.columns
                 rows, verdicts, found = [], [], []
                 for row, text in enumerate(texts):
                     for segment in segments(text.as_py()):
-                        if verdict := judge(segment):
+                        words = _WORD.findall(segment.lower())
+                        if verdict := judge(segment, words):
                             rows.append(row)
                             verdicts.append(verdict)
                             found.append(segment)
+                        if verdict in (None, "doubt"):
+                            known.update(words)
                 at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), sites.take(at), slugs.take(at), keys.take(at), pa.array(verdicts, pa.string()), pa.array(found, pa.string())], names=["id", "site", "slug", "title_key", "verdict", "segment"])
+                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), sites.take(at), slugs.take(at), keys.take(at), pa.array(verdicts, pa.string()), pa.array(found, pa.string()), pa.nulls(len(rows), pa.int64())], names=_NAMES)
+                if len(known) > 500_000:  # bounds memory; the counts are summed up anyway
+                    yield vocabulary()
+                    known.clear()
+            yield vocabulary()
 
         return self.docs.mapInArrow(search, _FOUND)
 
-    def vocabulary(self) -> DataFrame:
-        """(word, n): occurrences in all segments but the strange ones; each task sums up its own first."""
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: Counter = Counter()
-
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
-
-            for batch in batches:
-                for text in batch.column(0):
-                    for segment in segments(text.as_py().lower()):
-                        words = _WORD.findall(segment)
-                        if sum(w in FUNCTION_WORDS for w in words) > 0.25 * len(words) or len(words) < 5:
-                            total.update(words)
-                if len(total) > 500_000:
-                    yield out()
-                    total.clear()
-            yield out()
-
-        return self.docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
     def responses(self, doubts: DataFrame) -> DataFrame:
         """Doubtful responses that several hosts give on pages they have nothing to do with."""
         signature = F.udf(_signature, "string")
@@ -240,20 +249,18 @@ class TemplateResidue:
         seen = seen.where((F.col("sites") >= self.hosts) & (F.col("docs") >= self.hosts) & (F.col("mismatch") >= self.mismatch))
         return rows.join(seen.select("signature"), "signature", "left_semi")
 
-    def strange(self, suspects: DataFrame) -> DataFrame:
+    def strange(self, suspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
         """Segments whose words the corpus hardly knows."""
         rows = suspects.select("id", "segment").distinct()
         words = rows.select("id", "segment", F.explode(F.regexp_extract_all(F.lower("segment"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
-        known = self.vocabulary().where(F.col("n") >= self.known_from)
+        known = vocabulary.groupBy(F.col("segment").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= self.known_from)
         counted = words.join(known, "word", "left").groupBy("id", "segment").agg(F.avg(F.when(F.col("n").isNotNull(), 1.0).otherwise(0.0)).alias("known"))
         return counted.where(F.col("known") < self.known)
 
     def findings(self) -> DataFrame:
         """(id, verdict, segment) for every residue; a verdict by the corpus is `response` or `strange`."""
-        from docketry.runtime import cut
-
-        suspects = cut(self.suspects())
-        certain = suspects.where(~F.col("verdict").isin("doubt", "strange")).select("id", "verdict", "segment")
+        suspects = cut(self.read())
+        certain = suspects.where(~F.col("verdict").isin("doubt", "strange", "word")).select("id", "verdict", "segment")
         responses = self.responses(suspects.where("verdict = 'doubt'")).select("id", F.lit("response").alias("verdict"), "segment")
-        strange = self.strange(suspects.where("verdict = 'strange'")).select("id", F.lit("strange").alias("verdict"), "segment")
+        strange = self.strange(suspects.where("verdict = 'strange'"), suspects.where("verdict = 'word'")).select("id", F.lit("strange").alias("verdict"), "segment")
         return certain.unionByName(responses).unionByName(strange)
