@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docketry.llm import q_content, q_counts, q_details, q_lines, q_pages, q_tokens
+from docketry.llm import q_content, q_counts, q_details, q_lines, q_pages, q_scans, q_tokens
 
-MODULES = (q_content, q_counts, q_details, q_lines, q_pages, q_tokens)
+MODULES = (q_content, q_counts, q_details, q_lines, q_pages, q_scans, q_tokens)
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
