@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import snapshots
+from docketry.plans import corpus, snapshots
 
-MODULES = (snapshots,)
+MODULES = (snapshots, corpus)
 
 
 def queries() -> dict:
