@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import corpus, snapshots
+from docketry.plans import corpus, search, snapshots
 
-MODULES = (snapshots, corpus)
+MODULES = (snapshots, corpus, search)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshots.p5_found(spark, folder)
+    return search.r02_boosted_search(spark, folder)
