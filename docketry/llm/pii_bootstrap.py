@@ -33,6 +33,12 @@ MASK_LABELS = r"\[[A-Z_]+\]"
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+", re.I)
 _MAYBE_EMAIL = re.compile(r"@|[\[(]at[\])]| at \S+ (?:dot|\[dot\]|\(dot\)) ", re.I)
 _PHONE = re.compile(r"(?<![\w+])(?:\+ ?\d{1,3}|00\d{1,3})(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?![\w])|(?<![\w+])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.-])(?:\+?1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}(?![\w])")
+_MAYBE_PHONE = re.compile(r"[+(] ?\d|00\d|\d{3}[ .\-]\d{3}[ .\-]")
+_MAYBE_ID = re.compile(r"\d{5}|\d[A-Za-z]\d|\d{4}[A-Za-z]|\d{3}-\d\d-|\d{4}[ -]\d{4}|-\d{3,}-")
+_MAYBE_BARE = re.compile(r"\d{10}")
+_WORDS = re.compile(r"\w+")
+_MAYBE_STREET = re.compile(r"\d[A-Za-z]?,? [A-Z]")
+_STREETS = frozenset(STREET_TYPES)
 _BARE = re.compile(r"(?<![\w+.,/-])\d{10}(?!\w|[.,]\d)")
 _ID = re.compile(r"(?<![\w@-])(?:[A-Za-z]{1,4}-\d{3,5}-\d{3,6}|[A-Za-z]{1,3}-\d{6,9}|(?=[A-Za-z0-9]{7,14}(?!\w))[A-Za-z]{1,4}\d[A-Za-z0-9]*\d{2,}[A-Za-z]?|\d{3}-\d{2}-\d{4}|\d{4}[ -]\d{4}[ -]\d{4}(?: ?\d{4})?|[A-Za-z] \d{6,8})(?![\w@])(?!-\d)")
 _TYPES = "|".join(sorted(STREET_TYPES, key=len, reverse=True))
@@ -90,14 +96,18 @@ def address_key(text: str) -> str:
     return " ".join(_LONG.get(w.rstrip("."), w.rstrip(".")) for w in words)
 
 
-def propose(text: str, offices: dict[str, frozenset]) -> Iterator[tuple]:
-    """(kind, start, end, sure, instances): candidates by shape, office contacts left out."""
+def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozenset]) -> Iterator[tuple]:
+    """(kind, start, end, sure, instances): candidates by shape, office contacts left out.
+
+    lower and tokens are the text in lower case and its words, which the caller
+    has anyway; the `_MAYBE` patterns say cheaply that a slower one cannot match.
+    """
     taken: list[tuple[int, int]] = []
 
     def free(start: int, end: int) -> bool:
         return all(end <= a or start >= b for a, b in taken)
 
-    if _MAYBE_EMAIL.search(text):
+    if ("@" in text or "at" in lower) and _MAYBE_EMAIL.search(text):
         for m in _EMAIL.finditer(text):
             start, end = m.span()
             spaced = "@" not in m.group() and "[" not in m.group() and "(" not in m.group()
@@ -107,31 +117,31 @@ def propose(text: str, offices: dict[str, frozenset]) -> Iterator[tuple]:
             if email_key(m.group()) not in offices["email"]:
                 yield "email", start, end, True, ["@"]
     if _DIGITS.search(text):
-        for m in _ADDRESS.finditer(text):
+        for m in _ADDRESS.finditer(text) if not _STREETS.isdisjoint(tokens) else ():
             start, end = m.span(1)
             if free(start, end):
                 taken.append((start, end))
                 if address_key(m.group(1)) not in offices["address"]:
                     yield "address", start, end, True, [m.group(1).rsplit(" ", 1)[1].lower()]
-        for m in _PHONE.finditer(text):
+        for m in _PHONE.finditer(text) if _MAYBE_PHONE.search(text) else ():
             start, end = m.span()
             if free(start, end) and len(phone_key(m.group())) >= 8:
                 taken.append((start, end))
                 if phone_key(m.group()) not in offices["phone"]:
                     yield "phone", start, end, True, ["+" if m.group()[0] in "+0(" else "ddd ddd dddd"]
-        for m in _ID.finditer(text):
+        for m in _ID.finditer(text) if _MAYBE_ID.search(text) else ():
             start, end = m.span()
             if free(start, end):
                 taken.append((start, end))
                 shape = re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "d", m.group()))
                 yield "id_number", start, end, bool(re.search(r"[A-Za-z]-?\d|\d{3}-\d{2}-\d{4}", m.group())), [shape]
-        for m in _BARE.finditer(text):
+        for m in _BARE.finditer(text) if _MAYBE_BARE.search(text) else ():
             start, end = m.span()
             if free(start, end):
                 taken.append((start, end))
                 if phone_key(m.group()) not in offices["phone"]:
                     yield "phone", start, end, False, ["d" * (end - start)]
-        for m in _NUMBERED.finditer(text):
+        for m in _NUMBERED.finditer(text) if _MAYBE_STREET.search(text) else ():
             start, end = m.span(1)
             if free(start, end):
                 yield "address", start, end, False, [m.group(2).lower()]
@@ -190,6 +200,13 @@ def known_runs(text: str, known) -> Iterator[tuple[int, int, list[str]]]:
         yield found
 
 
+def _by_text(column: pa.Array) -> dict[str, list[int]]:
+    found: dict[str, list[int]] = {}
+    for row, text in enumerate(column.to_pylist()):
+        found.setdefault(text, []).append(row)
+    return found
+
+
 def _short(text: str, m: re.Match) -> bool:
     """A shortened name: a few letters and a point, with a word after it."""
     return m.end() - m.start() <= 5 and text[m.end() : m.end() + 2] == ". "
@@ -234,17 +251,24 @@ class Details:
             total: Counter = Counter()
             for batch in batches:
                 rows, kinds, starts, ends, sures, instances, contexts = [], [], [], [], [], [], []
-                for row, text in enumerate(batch.column(2)):
-                    text = text.as_py()
-                    total.update(_TOKEN.findall(text.lower()))
-                    for kind, start, end, sure, found in propose(text, offices):
-                        rows.append(row)
-                        kinds.append(kind)
-                        starts.append(start)
-                        ends.append(end)
-                        sures.append(sure)
-                        instances.append(found)
-                        contexts.append(patterns(text, start, end))
+                for text, here in _by_text(batch.column(2)).items():  # equal texts are read once
+                    lower = text.lower()
+                    tokens = _WORDS.findall(lower)
+                    if len(here) == 1:
+                        total.update(tokens)
+                    else:
+                        for token in tokens:
+                            total[token] += len(here)
+                    for kind, start, end, sure, found in propose(text, lower, tokens, offices):
+                        context = patterns(text, start, end)
+                        for row in here:
+                            rows.append(row)
+                            kinds.append(kind)
+                            starts.append(start)
+                            ends.append(end)
+                            sures.append(sure)
+                            instances.append(found)
+                            contexts.append(context)
                 at = pa.array(rows, pa.int32())
                 strings = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sures, pa.bool_()), pa.array(instances, strings), pa.array(contexts, strings)], names=names)
@@ -302,15 +326,15 @@ class Details:
 
             for batch in batches:
                 rows, starts, ends, parts = [], [], [], []
-                for row, text in enumerate(batch.column(2)):
-                    text = text.as_py()
-                    if sum(map(known, _TOKEN.findall(text.lower()))) < 2:
+                for text, here in _by_text(batch.column(2)).items():
+                    if sum(map(known, _WORDS.findall(text.lower()))) < 2:
                         continue
                     for start, end, found in known_runs(text, known):
-                        rows.append(row)
-                        starts.append(start)
-                        ends.append(end)
-                        parts.append(found)
+                        for row in here:
+                            rows.append(row)
+                            starts.append(start)
+                            ends.append(end)
+                            parts.append(found)
                 at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.list_(pa.string()))], names=["id", "field_name", "start_pos", "end_pos", "instances"])
 
