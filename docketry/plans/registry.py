@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import corpus, search, snapshots
+from docketry.plans import corpus, reports, search, snapshots, texts
 
-MODULES = (snapshots, corpus, search)
+MODULES = (snapshots, corpus, search, reports, texts)
 
 
 def queries() -> dict:
