@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docketry.operators.usage import suppress_repeats
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, files: int = 1) -> DataFrame:
@@ -20,29 +20,21 @@ def window_counts(events: DataFrame, ts: str, by: str, size: str, late: str) ->
     return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def suppress_repeats_stream(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """(key, ts, kept) with the state of the batch operator: the time of the last kept event of each key.
+def repeat_suppressor(spark: SparkSession, key: str, ts: str, seconds: int, folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step with the state of the batch operator: the time of the last kept event of each key.
 
-    Events of one micro-batch are taken in time order; state of a key that has
-    been quiet for an hour is dropped, which changes nothing as long as `seconds`
-    is under that.
+    Batch n reads the state that batch n - 1 left under `folder`/state and writes
+    (key, ts, kept) and its own state under its number, so that a batch that is
+    repeated after a failure overwrites itself and nothing else.
     """
-    span = pd.Timedelta(seconds=seconds)
-
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(ts)
-        kept = []
-        for t in rows[ts]:
-            keep = last is None or t - last > span
-            kept.append(keep)
-            last = t if keep else last
-        state.update((int(last.value // 1000),))
-        state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame({key: k[0], ts: rows[ts].to_numpy(), "kept": kept})
-
-    kind = dict(events.dtypes)
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(fold, f"{key} {kind[key]}, {ts} {kind[ts]}, kept boolean", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def step(batch: DataFrame, number: int) -> None:
+        events = batch.select(key, ts, F.lit(True).alias("fresh"))
+        if number:
+            events = events.unionByName(spark.read.parquet(f"{folder}/state/{number - 1}").select(key, ts, F.lit(False).alias("fresh")))
+        marked = suppress_repeats(events, key, ts, seconds).persist()
+        marked.where("fresh").select(key, ts, "kept").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        marked.where("kept").groupBy(key).agg(F.max(ts).alias(ts)).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        marked.unpersist()
+
+    return step
