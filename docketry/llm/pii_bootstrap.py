@@ -33,6 +33,7 @@ MASK_LABELS = r"\[[A-Z_]+\]"
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+", re.I)
 _MAYBE_EMAIL = re.compile(r"@|[\[(]at[\])]| at \S+ (?:dot|\[dot\]|\(dot\)) ", re.I)
 _PHONE = re.compile(r"(?<![\w+])(?:\+ ?\d{1,3}|00\d{1,3})(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?![\w])|(?<![\w+])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.-])(?:\+?1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}(?![\w])")
+_MAYBE_CAPS = re.compile(r"[A-Z][a-zà-ÿ]+ [A-Z]")
 _MAYBE_PHONE = re.compile(r"[+(] ?\d|00\d|\d{3}[ .\-]\d{3}[ .\-]")
 _MAYBE_ID = re.compile(r"\d{5}|\d[A-Za-z]\d|\d{4}[A-Za-z]|\d{3}-\d\d-|\d{4}[ -]\d{4}|-\d{3,}-")
 _MAYBE_BARE = re.compile(r"\d{10}")
@@ -107,7 +108,7 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
     def free(start: int, end: int) -> bool:
         return all(end <= a or start >= b for a, b in taken)
 
-    if ("@" in text or "at" in lower) and _MAYBE_EMAIL.search(text):
+    if ("@" in text or " dot " in lower or "[at]" in lower or "(at)" in lower) and _MAYBE_EMAIL.search(text):
         for m in _EMAIL.finditer(text):
             start, end = m.span()
             spaced = "@" not in m.group() and "[" not in m.group() and "(" not in m.group()
@@ -116,26 +117,27 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
             taken.append((start, end))
             if email_key(m.group()) not in offices["email"]:
                 yield "email", start, end, True, ["@"]
-    if _DIGITS.search(text):
+    digits = len(_DIGITS.findall(text))
+    if digits:
         for m in _ADDRESS.finditer(text) if not _STREETS.isdisjoint(tokens) else ():
             start, end = m.span(1)
             if free(start, end):
                 taken.append((start, end))
                 if address_key(m.group(1)) not in offices["address"]:
                     yield "address", start, end, True, [m.group(1).rsplit(" ", 1)[1].lower()]
-        for m in _PHONE.finditer(text) if _MAYBE_PHONE.search(text) else ():
+        for m in _PHONE.finditer(text) if digits > 7 and _MAYBE_PHONE.search(text) else ():
             start, end = m.span()
             if free(start, end) and len(phone_key(m.group())) >= 8:
                 taken.append((start, end))
                 if phone_key(m.group()) not in offices["phone"]:
                     yield "phone", start, end, True, ["+" if m.group()[0] in "+0(" else "ddd ddd dddd"]
-        for m in _ID.finditer(text) if _MAYBE_ID.search(text) else ():
+        for m in _ID.finditer(text) if digits > 4 and _MAYBE_ID.search(text) else ():
             start, end = m.span()
             if free(start, end):
                 taken.append((start, end))
                 shape = re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "d", m.group()))
                 yield "id_number", start, end, bool(re.search(r"[A-Za-z]-?\d|\d{3}-\d{2}-\d{4}", m.group())), [shape]
-        for m in _BARE.finditer(text) if _MAYBE_BARE.search(text) else ():
+        for m in _BARE.finditer(text) if digits > 9 and _MAYBE_BARE.search(text) else ():
             start, end = m.span()
             if free(start, end):
                 taken.append((start, end))
@@ -145,7 +147,7 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
             start, end = m.span(1)
             if free(start, end):
                 yield "address", start, end, False, [m.group(2).lower()]
-    for m in _CAPS.finditer(text):
+    for m in _CAPS.finditer(text) if _MAYBE_CAPS.search(text) else ():
         start, end = m.span()
         if not free(start, end):
             continue
@@ -212,6 +214,21 @@ def _short(text: str, m: re.Match) -> bool:
     return m.end() - m.start() <= 5 and text[m.end() : m.end() + 2] == ". "
 
 
+class _Seen(dict):
+    """word -> whether the filter knows it, filled as words come up."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        a, b = _bits(token)
+        found = self[token] = bool(self.bits[a] and self.bits[b])
+        return found
+
+
 class Details:
     """Personal details in the text columns of `rows`, found when the object is made.
 
@@ -314,15 +331,8 @@ class Details:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-            seen: dict[str, bool] = {}
-
-            def known(token: str) -> bool:
-                if (x := seen.get(token)) is None:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    a, b = _bits(token)
-                    x = seen[token] = bool(bits[a] and bits[b])
-                return x
+            seen = _Seen(bits)
+            known = seen.__getitem__
 
             for batch in batches:
                 rows, starts, ends, parts = [], [], [], []
