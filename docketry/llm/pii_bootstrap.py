@@ -30,7 +30,7 @@ NAME_LABELS = ["my name is", "full name :", "name :", "nom :", "nombre :", "je m
 TITLES = "mr mrs ms miss dr prof sir madam mme mlle herr frau señor señora shri smt sri".split()
 MASK_LABELS = r"\[[A-Z_]+\]"
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+", re.I)
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+", re.I)
 _MAYBE_EMAIL = re.compile(r"@|[\[(]at[\])]| at \S+ (?:dot|\[dot\]|\(dot\)) ", re.I)
 _PHONE = re.compile(r"(?<![\w+])(?:\+ ?\d{1,3}|00\d{1,3})(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?![\w])|(?<![\w+])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.-])(?:\+?1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}(?![\w])")
 _MAYBE_CAPS = re.compile(r"[A-Z][a-zà-ÿ]+ [A-Z]")

@@ -19,7 +19,7 @@ SHARE, LEAST = 0.05, 6
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Connected components of one site's kept edges (rows with b null are the nodes themselves).
+    """Connected components of one site's kept edges (rows with y null are the nodes themselves).
 
     A site's kept nodes are at most 1 / share times the mean number of lines of
     its documents, and its edges likewise: the group is small by construction.
@@ -32,16 +32,13 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    support = {}
-    for a1, a2, b1, b2, n in zip(pdf.a1, pdf.a2, pdf.b1, pdf.b2, pdf.n):
-        if b1 is None or pd.isna(b1):
-            support[int(a1), int(a2)] = int(n)
-            find((int(a1), int(a2)))
-        else:
-            x, y = sorted((find((int(a1), int(a2))), find((int(b1), int(b2)))))
-            root[y] = x
-    block = {x: find(x) for x in support}
-    return pd.DataFrame({"site": pdf.site.iloc[0], "a": [x[0] for x in block], "b": [x[1] for x in block], "n": [support[x] for x in block], "block": [y[0] for y in block.values()]})
+    support = dict(zip(pdf.x[pdf.y.isna()], pdf.n[pdf.y.isna()]))
+    for x in support:
+        find(x)
+    for x, y in zip(pdf.x[pdf.y.notna()], pdf.y[pdf.y.notna()]):
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    return pd.DataFrame({"site": pdf.site.iloc[0], "node": list(support), "n": list(support.values()), "block": [find(x) for x in support]})
 
 
 class SiteLines:
@@ -68,9 +65,12 @@ class SiteLines:
         # an edge is kept if it holds in at least edge_share of the documents of its rarer line
         following = self._occurrences(nodes).withColumn("next", F.lead(F.struct("a", "b", "line_no", "n")).over(Window.partitionBy("id").orderBy("line_no"))).where("next.line_no = line_no + 1")
         edges = following.select("id", "site", "a", "b", F.least("n", "next.n").alias("most"), F.col("next.a").alias("b1"), F.col("next.b").alias("b2")).distinct().groupBy("site", "a", "b", "b1", "b2", "most").agg(F.count("*").alias("n"))
-        edges = edges.where((F.col("n") >= least) & (F.col("n") >= F.col("most") * edge_share)).select("site", F.col("a").alias("a1"), F.col("b").alias("a2"), "b1", "b2", "n")
-        graph = nodes.select("site", F.col("a").alias("a1"), F.col("b").alias("a2"), F.lit(None).cast("long").alias("b1"), F.lit(None).cast("long").alias("b2"), "n").unionByName(edges)
-        self.blocks = cut(graph.groupBy("site").applyInPandas(_components, "site string, a long, b long, n long, block long"))
+        edges = edges.where((F.col("n") >= least) & (F.col("n") >= F.col("most") * edge_share)).select("site", F.concat_ws("/", "a", "b").alias("x"), F.concat_ws("/", "b1", "b2").alias("y"), "n")
+        # nodes travel as text: pandas would make floats of numbers beside nulls
+        graph = nodes.select("site", F.concat_ws("/", "a", "b").alias("x"), F.lit(None).cast("string").alias("y"), "n").unionByName(edges)
+        blocks = graph.groupBy("site").applyInPandas(_components, "site string, node string, n long, block string")
+        node = F.split("node", "/")
+        self.blocks = cut(blocks.select("site", node[0].cast("long").alias("a"), node[1].cast("long").alias("b"), "n", "block"))
 
     def _occurrences(self, keys: DataFrame) -> DataFrame:
         lines = self.held.select("id", "site", F.posexplode("lines").alias("line_no", "k")).where("k IS NOT NULL").select("id", "site", "line_no", "k.a", "k.b")

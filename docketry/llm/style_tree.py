@@ -79,6 +79,7 @@ _MENU_WORDS = frozenset(w for x in _MENU for w in x.split()) | {"(0)"}
 _MENU_LONGEST = sorted(_MENU, key=len, reverse=True)
 _MARKED = re.compile(r"[\d.,:;!?।|]")
 _COUNT = re.compile(r"\s*\(\d+\)")
+LONGEST = 400  # characters of a line that may name its function
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,7 +95,7 @@ def _bare_key(key: str) -> str:
 
 def _own(text: str) -> bool:
     """The line names its function."""
-    return (text.lower().split(" ", 1)[0].rstrip(":") in _FIRST or _WITHIN.search(text) is not None) and _OWN.fullmatch(text) is not None
+    return len(text) <= LONGEST and (text.lower().split(" ", 1)[0].rstrip(":") in _FIRST or _WITHIN.search(text) is not None) and _OWN.fullmatch(text) is not None
 
 
 def _label(text: str) -> bool:
@@ -123,7 +124,7 @@ def read_page(text: str) -> list[tuple[int, str, str, str]]:
     for k in shown:
         flat = " ".join(lines[k].split())
         bare[k] = flat.lstrip(_START_MARKS).rstrip(_END_MARKS) or flat
-    label_like = {k: _label(bare[k]) for k in shown}
+    label_like = {k: lines[k].rstrip()[-1] not in ".?!।:;," and _label(bare[k]) for k in shown}
     for i, k in enumerate(shown):
         if k in verdicts:
             continue

@@ -201,8 +201,9 @@ class TemplateResidue:
     delivered twice is found once. Texts are read whole.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, url_col: str, key_col: str, titles: DataFrame, hosts: int = 2, mismatch: float = 0.8, known: float = 0.4, known_from: int = 5):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, url_col: str, key_col: str, titles: DataFrame, hosts: int = 2, mismatch: float = 0.8, known: float = 0.4, known_from: int = 5, odd: float = 0.25):
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site_of(F.col(url_col)).alias("site"), F.lower(url_col).alias("slug"), F.col(key_col).cast("string").alias("title_key")).where("id IS NOT NULL AND text IS NOT NULL")
+        self.odd = odd
         self.titles, self.hosts, self.mismatch, self.known, self.known_from = titles, hosts, mismatch, known, known_from
 
     def read(self) -> DataFrame:
@@ -225,6 +226,8 @@ class TemplateResidue:
                             rows.append(row)
                             verdicts.append(verdict)
                             found.append(segment)
+                        if len(words) >= 5:
+                            known[""] += 1
                         if verdict in (None, "doubt"):
                             known.update(words)
                 at = pa.array(rows, pa.int32())
@@ -250,7 +253,15 @@ class TemplateResidue:
         return rows.join(seen.select("signature"), "signature", "left_semi")
 
     def strange(self, suspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
-        """Segments whose words the corpus hardly knows."""
+        """Segments whose words the corpus hardly knows.
+
+        That tells filler only where segments without function words are the
+        exception: if they exceed `odd` of all segments of five words and more,
+        the corpus is in a language without listed function words, and none is taken.
+        """
+        every = vocabulary.where("segment = ''").agg(F.sum("n")).first()[0] or 0
+        if suspects.count() > self.odd * every:
+            return suspects.limit(0).select("id", "segment", F.lit(0.0).alias("known"))
         rows = suspects.select("id", "segment").distinct()
         words = rows.select("id", "segment", F.explode(F.regexp_extract_all(F.lower("segment"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
         known = vocabulary.groupBy(F.col("segment").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= self.known_from)
