@@ -31,13 +31,16 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOC
     best of a query, so that the shuffle carries k rows a task and query, not
     pairs. Filters belong on `corpus`, before the call.
     """
-    numbered = cut(queries.select("qid", "vector").where("vector IS NOT NULL").withColumn("part", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / block)))
-    parts = [r.part for r in numbered.select("part").distinct().collect()]
+    asked = cut(queries.select("qid", "vector").where("vector IS NOT NULL"))
+    parts = -(-asked.count() // block)  # a block is a hash class of about `block` queries
+    numbered = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(max(1, parts))))
     kinds = dict(queries.dtypes)["qid"], dict(corpus.dtypes)["id"]
     schema = f"qid {kinds[0]}, id {kinds[1]}, score double"
     found = None
-    for part in sorted(parts):
-        rows = numbered.where(F.col("part") == part).orderBy("qid").select("qid", "vector").toArrow()  # at most `block` rows
+    for part in range(parts):
+        rows = numbered.where(F.col("part") == part).orderBy("qid").select("qid", "vector").toArrow()  # about `block` rows
+        if not rows.num_rows:
+            continue
         qids = rows.column("qid").combine_chunks()
         shared = corpus.sparkSession.sparkContext.broadcast(_unit(_matrix(rows.column("vector").combine_chunks())))
 
