@@ -18,17 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.runtime import cut
+from docketry.runtime import cut, join_small
 
-# ---- fixed values: groups of letters that scanners take for one another, longest first ----
-ALIKE = {"ﬁ": "fi", "ﬂ": "fl", "rn": "m", "cl": "d", "ii": "u", "vv": "w", "li": "h", "ri": "n", "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "+": "t", "5": "s", "$": "s", "@": "a", "e": "c", "é": "c", "9": "g", "q": "g", "6": "b", "8": "b", "y": "v"}
+# ---- fixed values: the strokes that a scanner may see in a letter; letters and groups of the same strokes look alike ----
+STROKES = {
+    "i": "l", "1": "l", "!": "l", "|": "l", "t": "l", "+": "l", "u": "ll", "h": "ll", "n": "rl", "m": "rrl", "e": "c", "é": "c", "d": "cl", "w": "vv", "y": "v",
+    "0": "o", "5": "s", "$": "s", "@": "a", "9": "g", "q": "g", "6": "b", "8": "b", "ﬁ": "fl", "ﬂ": "fl",
+}
 BREAK_MARKS = "-‐‑–\xad¬="
 PAGE_NUMBER = r"(?:[-–—\[(]\s*)?(?:(?:page|seite|pág\.?|p\.|no\.?)\s*)?(?:[0-9OolISB]{1,4}|[ivxl]{1,6}|[IVXL]{1,6})(?:\s*(?:/|of|von|de|sur)\s*[0-9OolISB]{1,4})?(?:\s*[-–—\])])?"
 
-_ALIKE = re.compile("|".join(re.escape(k) for k in sorted(ALIKE, key=len, reverse=True)))
+_STROKES = str.maketrans(STROKES)
 _PAGE = re.compile(PAGE_NUMBER, re.I)
 _ATTACHED = re.compile(r"^\s*(?:[0-9OolISB]{1,4}|[ivxl]{1,6})\s*\|\s*|(?:\s{2,}|\s*\|\s*)(?:[0-9OolISB]{1,4}|[ivxl]{1,6})\s*$")
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[!|+@$'’\-](?=[^\W_]))*|[!|+@$](?=[^\W\d_])(?:[^\W_]|[!|+@$'’\-](?=[^\W_]))+")
+_WORD = re.compile(r"(?:[^\W_]|[!|+@$](?=[^\W\d_]))(?:[^\W_]|[!|+@$'’\-](?=[^\W_]))*(?:(?<=[^\W\d_])[+@|](?=[\s.,;:)?]|$))?")
 _AMOUNT = re.compile(r"(?=[^\s]*\d)(?=[^\s]*[OolISB])[0-9OolISB]+(?:[.:,][0-9OolISB]+)*")
 _BROKEN = re.compile(rf"([^\W\d_](?:[^\W_]|[!|+@$'’\-](?=[^\W_]))*)\s*[{re.escape(BREAK_MARKS)}]\s*$")
 _HEAD = re.compile(r"\s*([^\s.,;:()\"?/–—]+)")
@@ -38,8 +41,7 @@ _ENDS = ".!?:;।"
 
 def look(word: str) -> str:
     """How a word looks to a scanner: words that it may confuse look the same."""
-    word = _ALIKE.sub(lambda m: ALIKE[m.group()], word.lower())
-    return _ALIKE.sub(lambda m: ALIKE[m.group()], word)
+    return word.lower().translate(_STROKES)
 
 
 def is_scan(text: str) -> bool:
@@ -67,7 +69,7 @@ def _page_number(line: str) -> bool:
 def _header_like(line: str) -> str:
     """The title in a line that may be a running header, or ''."""
     text = _ATTACHED.sub("", line).strip()
-    if not text or text[-1] in ".;,?!:" or len(text) > 75 or len(text.split()) > 10 or not text[0].isupper():
+    if not text or text[-1] in ".;,?!:" or len(text) > 75 or len(text.split()) > 10 or not (text[0].isupper() or text[0].isdigit() and text[1:2].isalpha()):
         return ""
     return text
 
@@ -139,7 +141,7 @@ class ScanRepair:
             yield out()
 
         counted = self.once.select("text").mapInArrow(count, "word string, n long, look string").groupBy("word").agg(F.sum("n").alias("n"), F.first("look").alias("look"))
-        return cut(counted.where(F.col("n") >= valid))
+        return cut(counted.where((F.col("n") >= valid) & F.col("word").rlike(r"\p{L}")))
 
     def _headers(self, in_document: int, in_corpus: int) -> DataFrame:
         """(extract_id, line_no, kind): page numbers, and titles that repeat in their document or, at an edge, in the corpus."""
@@ -217,13 +219,12 @@ class ScanRepair:
         compounds = self.vocabulary.select(F.col("word").alias("compound"), F.col("n").alias("compound_n"))
         # of words that look alike the most frequent stands for all
         best = self.vocabulary.groupBy("look").agg(F.max(F.struct("n", "word")).alias("x")).select("look", F.col("x.word").alias("meant"), F.col("x.n").alias("meant_n"))
-        # distinct words meet the vocabulary, not their occurrences
-        words = self.body.where("item <> 'amount'").select("word", "compound", "look").distinct()
+        # distinct words meet the vocabulary, not their occurrences; those then meet the judged words, salted if these are many
+        body = self.body.withColumn("compound", F.coalesce("compound", F.lit("")))
+        words = body.where("item <> 'amount'").select("word", "compound", "look").distinct()
         judged = words.join(known, "word", "left").join(compounds, "compound", "left").join(best, "look", "left")
         judged = cut(judged.select("word", "compound", "known", "compound_n", "meant", "meant_n"))
-        same = lambda x, y: x.eqNullSafe(y)
-        b, j = self.body.alias("b"), judged.alias("j")
-        met = b.join(j, same(F.col("b.word"), F.col("j.word")) & same(F.col("b.compound"), F.col("j.compound")), "left").select("b.*", "known", "compound_n", "meant", "meant_n")
+        met = join_small(body.where("item <> 'amount'"), judged, ["word", "compound"], judged.count(), how="left", spread="extract_id")
         joined_n = F.coalesce("known", "meant_n", F.lit(0))
         broken = met.where("item = 'break'").withColumn("is_break", (joined_n >= F.coalesce("compound_n", F.lit(0))) & ((joined_n > 0) | F.col("compound_n").isNull()))
         breaks = broken.where("is_break").select("extract_id", "line_no", F.lit("word_break").alias("kind"))

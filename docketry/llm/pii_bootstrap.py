@@ -307,7 +307,7 @@ class Details:
         scores, sure = None, known.where("kind <> 'name'")
         for _ in range(self.rounds):
             # a pattern is as good as the share of its occurrences whose parts are all known
-            marked = parts.join(known.withColumn("known", F.lit(1)), ["kind", "instance"], "left").groupBy("kind", "pattern", "instances").agg(F.first("n").alias("n"), F.min(F.coalesce("known", F.lit(0))).alias("known"))
+            marked = join_small(parts, known.withColumn("known", F.lit(1)), ["kind", "instance"], known.count(), how="left", spread="pattern").groupBy("kind", "pattern", "instances").agg(F.first("n").alias("n"), F.min(F.coalesce("known", F.lit(0))).alias("known"))
             scores = cut(marked.groupBy("kind", "pattern").agg(F.count("*").alias("spans"), (F.sum(F.col("n") * F.col("known")) / F.sum("n")).alias("score")).where((F.col("spans") >= self.least) & (F.col("score") >= self.share)).select("kind", "pattern", "score"))
             # an instance is trusted if it is unlikely that all its patterns are wrong, and a name part if it is hardly ever anything else
             trusted = parts.select("kind", "pattern", "instance", "n").join(scores, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.sum(F.log(F.lit(1.0) - F.col("score") * 0.9)).alias("doubt"), F.sum(F.when(F.col("pattern").startswith("L2"), F.col("n"))).alias("n")).where(F.exp("doubt") <= 1 - self.score)

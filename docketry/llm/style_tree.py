@@ -12,12 +12,13 @@ are furniture and leave the page; so do the entries of the boxes they head.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.template_residue import judge
@@ -204,14 +205,13 @@ class StyleTree:
 
         read_rows = rows.mapInArrow(read, "id string, site string, lines array<struct<line_no int, a bigint, b bigint, style string, verdict string>>")
         self.pages = cut(read_rows.groupBy("id").agg(F.min(F.struct("site", "lines")).alias("x")).select("id", F.coalesce("x.site", F.lit("")).alias("site"), "x.lines"))
-        sites = self.pages.groupBy("site").agg(F.count("*").alias("pages"))
+        sites = cut(self.pages.groupBy("site").agg(F.count("*").alias("pages")))
+        hosts = sites.count()
         # content nodes: support within the host, entropy over hosts
         keys = self.pages.select("site", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.a.alias("a"), x.b.alias("b"))))).alias("k")).where("k.b <> 0")
         nodes = cut(keys.groupBy("site", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least))
         entropy = nodes.groupBy("a", "b").agg(_entropy(F.col("n")).alias("over_hosts"))
-        hosts = F.log(F.greatest(F.lit(2.0), F.count("*").over(Window.partitionBy()).cast("double")))
-        sized = sites.withColumn("hosts_log", hosts)
-        low = nodes.join(sized, "site").where(F.col("n") >= F.col("pages") * share).join(entropy, ["a", "b"]).where(F.col("over_hosts") <= F.col("hosts_log") * spread)
+        low = nodes.join(sites, "site").where(F.col("n") >= F.col("pages") * share).join(entropy, ["a", "b"]).where(F.col("over_hosts") <= math.log(max(2, hosts)) * spread)
         self.content = cut(low.select("site", "a", "b", F.lit(True).alias("low")))
         # presentation nodes: entropy of what their label lines say
         labels = self.pages.select("site", "id", F.explode("lines").alias("x")).where("x.verdict = 'label'")

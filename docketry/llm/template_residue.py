@@ -146,6 +146,7 @@ _HINTS = frozenset(
     " lorem ipsum dolor consectetur demo dummy sample example filler test placeholder blind asdf qwer qwerty zxcv uiop dfgh hjkl jkl goes here soon box replace heading"
     " nothing editor server database firewall session timeout time-out reload retry frame plugin plug-in cache administrator incident token proxy captcha not".split()
 ) - {"not"}
+_UNKNOWN = re.compile(r"\W*\?{3,}\W*")
 _SIGNS = re.compile(r"[\[{<@_%#]|&lt;|XXX|\(T")
 _STARTS = re.compile(r"\W*(?:(?:http|error|status|code|at)\b|[45]\d\d\b)|\[para", re.I)
 
@@ -165,6 +166,8 @@ def judge(segment: str, words: list[str] | None = None) -> str | None:
         for m in _ANY_PLACEHOLDER.finditer(segment):
             if not _NO_RESIDUE.fullmatch(m.group().replace("_", " ")):
                 return "placeholder"
+    if not words and _UNKNOWN.fullmatch(segment):
+        return "filler"
     few = 3 <= len(words) and len(set(words)) <= 2 or len(words) == 2 and words[0] == words[1]
     if few and any(p.match(segment) for p in _REPEATS):
         return "filler"
