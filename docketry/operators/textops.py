@@ -19,6 +19,19 @@ PASSPORT = r"\b[A-Za-z]\d{7}\b"
 TOKEN = r"\b[A-Za-z0-9]{8,20}\b"
 LONG_NUMBER = r"(?U)(?<![\w.])\d(?:[\s-]?\d){5,}(?![\w.])"
 NAME = r"(?U)\b(?i:my\s+(?:full\s+)?name\s+is|full\s+name\s*(?:is)?\s*[:\-]?)\s*([A-Z][a-zA-Z'-]+(?:\s+[A-Z][a-zA-Z'-]+){0,3})"
+#: Markdown marks and what replaces them, in the order in which they go.
+MARKDOWN = [
+    (r"\[([^\]\d][^\]]*)\]\((https?://[^)\s]+)\)", "$1 ($2)"),
+    (r"(?s)(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"),
+    (r"`+([^`\n]+)`+", "$1"),
+    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
+    (r"(?m)^([ \t]*)[*+][ \t]+", "$1- "),
+    (r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])", "$1"),
+    (r"(?m)^([ \t]*\d+[.)])[ \t]{2,}", "$1 "),
+]
+THINKING = r"(?s)<think>.*?</think>"
+GROUPED_CITATION = r"\[\s*(\d+(?:\s*(?:,|-|–|to)\s*\d+)+)\s*\]"
+CITATIONS = r"(?U)\s*\[\d+\](?:\s*,?\s*\[\d+\])*"
 NAME_STOPS = (
     "could can please i my and the is what how when where why do does will would should thank thanks kindly help need want passport oci visa application file date"
 ).split()
@@ -70,21 +83,12 @@ def mask(text: Column, details: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    return F.trim(F.regexp_replace(text, THINKING, ""))
 
 
 def strip_markdown(text: Column) -> Column:
     """Links, bold, code, headings, bullets, italics, numbered items, in this order."""
-    steps = [
-        (r"\[([^\]\d][^\]]*)\]\((https?://[^)\s]+)\)", "$1 ($2)"),
-        (r"(?s)(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"),
-        (r"`+([^`\n]+)`+", "$1"),
-        (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
-        (r"(?m)^([ \t]*)[*+][ \t]+", "$1- "),
-        (r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])", "$1"),
-        (r"(?m)^([ \t]*\d+[.)])[ \t]{2,}", "$1 "),
-    ]
-    for pattern, by in steps:
+    for pattern, by in MARKDOWN:
         text = F.regexp_replace(text, pattern, by)
     return text
 
@@ -117,8 +121,7 @@ def rewrite_dashes(text: Column) -> Column:
 
 def expand_citations(text: Column) -> Column:
     """`[1, 3-5]` as `[1][3][4][5]`; a span over 20 or reversed keeps its two ends."""
-    group = r"\[\s*(\d+(?:\s*(?:,|-|–|to)\s*\d+)+)\s*\]"
-    marks, inner = _all(text, group), _all(text, group, 1)
+    marks, inner = _all(text, GROUPED_CITATION), _all(text, GROUPED_CITATION, 1)
 
     def numbers(part: Column) -> Column:
         ends = F.transform(_all(part, r"\d+"), lambda x: x.cast("int"))
@@ -134,7 +137,7 @@ def cited_indices(text: Column) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s*\[\d+\](?:\s*,?\s*\[\d+\])*", ""), r"[ \t]+([.,;:!?])", "$1")
+    return F.regexp_replace(F.regexp_replace(text, CITATIONS, ""), r"[ \t]+([.,;:!?])", "$1")
 
 
 def normal_question(text: Column) -> Column:
