@@ -16,17 +16,26 @@ def site_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _bare_line(line: Column) -> Column:
+    key = F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " ")
+    return F.regexp_replace(key, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def line_key(line: Column) -> Column:
     """What makes lines the same: no case, digit runs as 0, white space as one blank, bare ends.
 
     Null for a line in which no letter is left.
     """
-    key = F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " ")
-    key = F.regexp_replace(key, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    key = _bare_line(line)
     return F.when(key.rlike(r"\p{L}"), key)
 
 
-def line_hash(line: Column) -> Column:
-    """The line's key as 128 bits (two longs): equal keys meet, others do not in any corpus that fits a disk."""
-    key = line_key(line)
-    return F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key, F.lit("line")).alias("b")))
+def line_hashes(text: Column) -> Column:
+    """For each line of a text its key as 128 bits (two longs), null where there is no key.
+
+    Equal keys meet, others do not in any corpus that fits a disk. The keys are
+    made in a step of their own: an expression used twice within one lambda
+    would be evaluated twice.
+    """
+    keys = F.transform(F.split(text, "\n"), _bare_line)
+    return F.transform(keys, lambda k: F.when(k.rlike(r"\p{L}"), F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(7), k, F.lit("line")).alias("b"))))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.lines import line_hash
+from docketry.llm.lines import line_hashes
 from docketry.runtime import cut, join_small
 
 SHARE, LEAST = 0.05, 6
@@ -54,8 +54,7 @@ class SiteLines:
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, site: Column, share: float = SHARE, least: int = LEAST, edge_share: float = 0.5):
-        lines = F.transform(F.split(text_col, "\n"), line_hash)
-        held = docs.select(F.col(id_col).alias("id"), site.alias("site"), F.when(F.col(text_col).isNotNull(), lines).alias("lines")).where("id IS NOT NULL AND site IS NOT NULL")
+        held = docs.select(F.col(id_col).alias("id"), site.alias("site"), line_hashes(F.col(text_col)).alias("lines")).where("id IS NOT NULL AND site IS NOT NULL")
         # only the lines' hashes are shuffled, never the texts; a repeated delivery falls together here
         self.held = cut(held.groupBy("id").agg(F.min(F.struct("site", "lines")).alias("x")).select("id", "x.site", "x.lines"))
         sizes = self.held.groupBy("site").agg(F.count("*").alias("ids"))
