@@ -99,12 +99,12 @@ def a12_extraction_summary(spark, d):
 
 
 @query("SELECT id, regexp_matches(url, '(?i)^https?://') AS safe FROM sources")
-def p10_safe_urls(spark, d):
+def pr10_safe_urls(spark, d):
     return table(spark, d, "sources").select("id", F.col("url").rlike("(?i)^https?://").alias("safe"))
 
 
 @query("SELECT DISTINCT id, least(greatest(coalesce(retrieved_count, 0), 1), 50) AS clamped FROM chat_logs")
-def p14_clamped(spark, d):
+def pr14_clamped(spark, d):
     return table(spark, d, "chat_logs").select("id", F.least(F.greatest(F.coalesce("retrieved_count", F.lit(0)), F.lit(1)), F.lit(50)).alias("clamped")).distinct()
 
 

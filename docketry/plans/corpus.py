@@ -54,12 +54,12 @@ def s09_sources_by_path(spark, d):
 
 
 @query(ONCE + "SELECT c.id, c.source_id, c.service_category FROM c WHERE review_status = 'approved' AND canonical AND list_contains(jurisdiction, 'all') AND service_category = 'passport'")
-def p01_metadata_filter(spark, d):
+def pr01_metadata_filter(spark, d):
     return chunks(spark, d).where(all_of(F.col("review_status") == "approved", F.col("canonical"), F.array_contains("jurisdiction", "all"), F.col("service_category") == "passport", None)).select("id", "source_id", "service_category")
 
 
 @query(ONCE + "SELECT id, source_id, chunk_index, count(*) OVER () AS total FROM c WHERE review_status = 'pending_review' ORDER BY source_id, chunk_index, id LIMIT 50 OFFSET 20")
-def p03_pending_page(spark, d):
+def pr03_pending_page(spark, d):
     pending = chunks(spark, d).where("review_status = 'pending_review'").select("id", "source_id", "chunk_index")
     total = pending.agg(F.count("*").alias("total"))
     page = pending.orderBy("source_id", "chunk_index", "id").offset(20).limit(50)
@@ -67,19 +67,19 @@ def p03_pending_page(spark, d):
 
 
 @query(ONCE + "SELECT source_version_id, chunk_index, id FROM c WHERE source_version_id IN (SELECT min(id) FROM source_versions) ")
-def p04_chunks_of_version(spark, d):
+def pr04_chunks_of_version(spark, d):
     version = table(spark, d, "source_versions").agg(F.min("id").alias("source_version_id"))
     return chunks(spark, d).join(F.broadcast(version), "source_version_id", "left_semi").select("source_version_id", "chunk_index", "id")
 
 
 @query(ONCE + ", v AS (SELECT source_id, max(version) AS latest FROM source_versions GROUP BY 1) SELECT c.id, c.source_id, c.version FROM c JOIN v USING (source_id) WHERE c.version <> latest")
-def p05_chunks_of_other_versions(spark, d):
+def pr05_chunks_of_other_versions(spark, d):
     latest = table(spark, d, "source_versions").groupBy("source_id").agg(F.max("version").alias("latest"))
     return chunks(spark, d).join(latest, "source_id").where("version <> latest").select("id", "source_id", "version")
 
 
 @query(ONCE + "SELECT id, review_status, version FROM c WHERE id IN (SELECT DISTINCT lower(id) FROM chunk_snapshots WHERE snapshot_no = 1)")
-def p07_state_of_ids(spark, d):
+def pr07_state_of_ids(spark, d):
     ids = table(spark, d, "chunk_snapshots").where("snapshot_no = 1").select(F.lower("id").alias("id"))
     return chunks(spark, d).join(ids, "id", "left_semi").select("id", "review_status", "version")
 
@@ -252,7 +252,7 @@ def w14_move_urls(spark, d):
 
 
 @query(ONCE + "SELECT c.id, CASE WHEN s.title IS NULL THEN chunk_text ELSE s.title || chr(10) || chr(10) || chunk_text END AS record_text, sha256(CASE WHEN s.title IS NULL THEN chunk_text ELSE s.title || chr(10) || chr(10) || chunk_text END) AS record_hash FROM c LEFT JOIN sources s ON s.id = c.source_id")
-def p12_chunk_records(spark, d):
+def pr12_chunk_records(spark, d):
     s = table(spark, d, "sources").select(F.col("id").alias("source_id"), "title")
     text = F.when(F.col("title").isNull(), F.col("chunk_text")).otherwise(F.concat("title", F.lit("\n\n"), "chunk_text"))
     return chunks(spark, d).select("id", "source_id", "chunk_text").join(s, "source_id", "left").select("id", text.alias("record_text"), F.sha2(text, 256).alias("record_hash"))
