@@ -53,9 +53,9 @@ def s09_sources_by_path(spark, d):
     return table(spark, d, "sources").where((F.col("source_type") == "html") & F.parse_url("url", F.lit("PATH")).startswith("/passport")).select("id", "url")
 
 
-@query(ONCE + "SELECT c.id, c.source_id, c.service_category FROM c WHERE review_status = 'approved' AND canonical AND list_contains(jurisdiction, 'all') AND service_category = 'passport'")
+@query(ONCE + "SELECT c.id, c.source_id, c.service_category FROM c WHERE review_status = 'approved' AND canonical AND list_contains(jurisdiction, 'all') AND service_category = 'oci'")
 def pr01_metadata_filter(spark, d):
-    return chunks(spark, d).where(all_of(F.col("review_status") == "approved", F.col("canonical"), F.array_contains("jurisdiction", "all"), F.col("service_category") == "passport", None)).select("id", "source_id", "service_category")
+    return chunks(spark, d).where(all_of(F.col("review_status") == "approved", F.col("canonical"), F.array_contains("jurisdiction", "all"), F.col("service_category") == "oci", None)).select("id", "source_id", "service_category")
 
 
 @query(ONCE + "SELECT id, source_id, chunk_index, count(*) OVER () AS total FROM c WHERE review_status = 'pending_review' ORDER BY source_id, chunk_index, id LIMIT 50 OFFSET 20")
