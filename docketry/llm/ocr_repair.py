@@ -28,6 +28,8 @@ STROKES = {
 BREAK_MARKS = "-‐‑–\xad¬="
 PAGE_NUMBER = r"(?:[-–—\[(]\s*)?(?:(?:page|seite|pág\.?|p\.|no\.?)\s*)?(?:[0-9OolISB]{1,4}|[ivxl]{1,6}|[IVXL]{1,6})(?:\s*(?:/|of|von|de|sur)\s*[0-9OolISB]{1,4})?(?:\s*[-–—\])])?"
 
+#: Words of the vocabulary that are sent to every task, to pass over without a join.
+FREQUENT = 20_000
 _STROKES = str.maketrans(STROKES)
 _PAGE = re.compile(PAGE_NUMBER, re.I)
 _ATTACHED = re.compile(r"^\s*(?:[0-9OolISB]{1,4}|[ivxl]{1,6})\s*\|\s*|(?:\s{2,}|\s*\|\s*)(?:[0-9OolISB]{1,4}|[ivxl]{1,6})\s*$")
@@ -173,8 +175,12 @@ class ScanRepair:
     def _body(self) -> DataFrame:
         """(extract_id, line_no, item, left, right, word, compound, look): words of body lines that need the vocabulary."""
         gone = self.headers.groupBy("extract_id").agg(F.collect_set("line_no").alias("gone"))
+        # the most frequent words are known to every task, at most FREQUENT of them; all others meet the vocabulary in a join
+        words = self.vocabulary.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow().column(0).to_pylist()
+        shared = self.once.sparkSession.sparkContext.broadcast(frozenset(words))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent = shared.value
             names = ["extract_id", "line_no", "next_no", "item", "left", "right", "word", "compound", "look"]
             for batch in batches:
                 out: list[list] = [[] for _ in names]
@@ -205,7 +211,7 @@ class ScanRepair:
                             if _AMOUNT.fullmatch(bare) and any(c.isdigit() for c in bare):
                                 add(row, k, None, "amount", None, None, bare, None, None)
                         for word in set(words_of(body)):
-                            if not word.isdigit() and not _AMOUNT.fullmatch(word):
+                            if word.lower() not in frequent and not word.isdigit() and not _AMOUNT.fullmatch(word):
                                 add(row, k, None, "word", None, None, word.lower(), None, look(word))
                 ids = batch.column(0).take(pa.array(out[0], pa.int32()))
                 ints, strings = pa.int32(), pa.string()

@@ -77,6 +77,18 @@ def test_scan_repair(spark):
     assert ScanRepair(df.limit(0)).found.count() == 0
 
 
+def test_scan_words_beyond_the_frequent_ones_are_joined(spark, monkeypatch):
+    from docketry.llm import ocr_repair
+
+    native = "The registration of travellers is kept by the records room. An officer has the letter. " * 3
+    df = spark.createDataFrame([(1, "d", "\n".join(SCAN)), (2, "e", native)], "extract_id long, raw_content_path string, text string")
+    rows = []
+    for n in (20_000, 1):
+        monkeypatch.setattr(ocr_repair, "FREQUENT", n)
+        rows.append(sorted(map(tuple, ScanRepair(df).found.collect())))
+    assert rows[0] == rows[1] and (1, 6, "misread") in rows[0]
+
+
 def test_looks():
     assert look("agreernent") == look("agreement") and look("0ffice") == look("office") and look("cl0se") != look("open")
     assert header_key("C0nsular Handb00k, Volume 25") == header_key("Consular Handbook, V0lume 7")
