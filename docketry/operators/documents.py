@@ -352,12 +352,45 @@ def merge_runs(lines: DataFrame) -> DataFrame:
 
 
 def heading_trails(blocks: DataFrame) -> DataFrame:
-    """(doc, pos, section, trail) of each block that is no heading (N02, N03): a stack fold over the document's headings."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    """(doc, pos, section, trail) of each block that is no heading (N02, N03): one pass over a document with a stack of headings.
+
+    section counts the headings at smaller positions. A heading takes those of
+    its level and deeper off the stack, one without a level takes all. A block
+    without a position stands under no heading. Documents of any length are read.
+    """
     docs = blocks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "level", "text"))).alias("b"))
-    stack = lambda upto: F.aggregate(F.filter("b", lambda x: (x["pos"] < upto) & (x["type"] == "heading")), start, lambda acc, x: F.concat(F.filter(acc, lambda h: h["level"] < x["level"]), F.array(F.struct(x["level"].alias("level"), x["text"].alias("text")))))
-    rows = docs.select("doc", "b", F.explode("b").alias("x")).where("x.type <> 'heading'")
-    return rows.select("doc", "x.pos", F.size(F.filter("b", lambda y: (y["pos"] < F.col("x.pos")) & (y["type"] == "heading"))).alias("section"), F.array_join(F.transform(stack(F.col("x.pos")), lambda h: h["text"]), " > ").alias("trail"))
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.column(0).type, batch.column(1).type.value_type.field("pos").type, pa.int32(), pa.string()]
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            chars = 0
+            for doc, own in zip(batch.column(0), batch.column(1)):
+                doc, stack, section, trail, waiting, at = doc.as_py(), [], 0, "", [], None
+                for x in own:
+                    pos, type_, level, text = (x[k].as_py() for k in ("pos", "type", "level", "text"))
+                    if waiting and pos != at:  # headings count from the next position on
+                        for n, t in waiting:
+                            stack = [h for h in stack if n is not None and h[0] is not None and h[0] < n] + [(n, t)]
+                        section += len(waiting)
+                        trail = " > ".join(t for _, t in stack if t is not None)
+                        waiting = []
+                    at = pos
+                    if type_ == "heading":
+                        if pos is not None:
+                            waiting.append((level, text))
+                    elif type_ is not None:
+                        for column, value in zip(out, (doc, pos, section, trail)):
+                            column.append(value)
+                        chars += len(trail)
+                        if len(out[0]) >= 10_000 or chars > 4_000_000:  # bounds memory
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc", "pos", "section", "trail"])
+                            out, chars = ([], [], [], []), 0
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc", "pos", "section", "trail"])
+
+    return docs.mapInArrow(fold, f"doc {kinds['doc']}, pos {kinds['pos']}, section int, trail string")
 
 
 def word_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
