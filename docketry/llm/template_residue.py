@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.lines import site_of
-from docketry.runtime import cut
+from docketry.runtime import cut, join_small
 
 # ---- fixed values: syntax of template languages and form letters ----
 PLACEHOLDER = [
@@ -204,41 +204,60 @@ class TemplateResidue:
     delivered twice is found once. Texts are read whole.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, url_col: str, key_col: str, titles: DataFrame, hosts: int = 2, mismatch: float = 0.8, known: float = 0.4, known_from: int = 5, odd: float = 0.25):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, url_col: str, key_col: str, titles: DataFrame, hosts: int = 2, mismatch: float = 0.8, known: float = 0.4, known_from: int = 5, odd: float = 0.25, odd_pages: int = 10):
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site_of(F.col(url_col)).alias("site"), F.lower(url_col).alias("slug"), F.col(key_col).cast("string").alias("title_key")).where("id IS NOT NULL AND text IS NOT NULL")
-        self.odd = odd
+        self.odd, self.odd_pages = odd, odd_pages
         self.titles, self.hosts, self.mismatch, self.known, self.known_from = titles, hosts, mismatch, known, known_from
 
     def read(self) -> DataFrame:
-        """Suspect segments, and the corpus vocabulary as rows of verdict `word` (n: its occurrences in all but strange segments)."""
+        """Suspect segments, the corpus vocabulary as rows of verdict `word` (n: its occurrences in all but strange segments) and hosts as rows of verdict `host`.
+
+        A text's strange segments are given once each, with n the number of its
+        distinct segments of five words and more; a host's n sums these up.
+        """
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: Counter = Counter()
+            hosts: Counter = Counter()
 
-            def vocabulary() -> pa.RecordBatch:
-                none = pa.nulls(len(known), pa.string())
-                return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(["word"] * len(known), pa.string()), pa.array(known.keys(), pa.string()), pa.array(known.values(), pa.int64())], names=_NAMES)
+            def counts() -> pa.RecordBatch:
+                words, sites = pa.nulls(len(known), pa.string()), pa.nulls(len(hosts), pa.string())
+                none = pa.concat_arrays([words, sites])
+                kinds = pa.array(["word"] * len(known) + ["host"] * len(hosts), pa.string())
+                return pa.RecordBatch.from_arrays([none, pa.concat_arrays([words, pa.array(hosts.keys(), pa.string())]), none, none, kinds, pa.concat_arrays([pa.array(known.keys(), pa.string()), sites]), pa.array([*known.values(), *hosts.values()], pa.int64())], names=_NAMES)
 
             for batch in batches:
                 ids, texts, sites, slugs, keys = batch.columns
-                rows, verdicts, found = [], [], []
+                rows, verdicts, found, sizes = [], [], [], []
                 for row, text in enumerate(texts):
+                    long, strange = set(), set()
                     for segment in segments(text.as_py()):
                         words = _WORD.findall(segment.lower())
-                        if verdict := judge(segment, words):
+                        verdict = judge(segment, words)
+                        if verdict == "strange":
+                            strange.add(segment)
+                        elif verdict:
                             rows.append(row)
                             verdicts.append(verdict)
                             found.append(segment)
+                            sizes.append(None)
                         if len(words) >= 5:
-                            known[""] += 1
+                            long.add(segment)
                         if verdict in (None, "doubt"):
                             known.update(words)
+                    if long:
+                        hosts[sites[row].as_py() or ""] += len(long)
+                    rows += [row] * len(strange)
+                    verdicts += ["strange"] * len(strange)
+                    found += strange
+                    sizes += [len(long)] * len(strange)
                 at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), sites.take(at), slugs.take(at), keys.take(at), pa.array(verdicts, pa.string()), pa.array(found, pa.string()), pa.nulls(len(rows), pa.int64())], names=_NAMES)
-                if len(known) > 500_000:  # bounds memory; the counts are summed up anyway
-                    yield vocabulary()
+                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), sites.take(at), slugs.take(at), keys.take(at), pa.array(verdicts, pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int64())], names=_NAMES)
+                if len(known) + len(hosts) > 500_000:  # bounds memory; the counts are summed up anyway
+                    yield counts()
                     known.clear()
-            yield vocabulary()
+                    hosts.clear()
+            yield counts()
 
         return self.docs.mapInArrow(search, _FOUND)
 
@@ -255,26 +274,31 @@ class TemplateResidue:
         seen = seen.where((F.col("sites") >= self.hosts) & (F.col("docs") >= self.hosts) & (F.col("mismatch") >= self.mismatch))
         return rows.join(seen.select("signature"), "signature", "left_semi")
 
-    def strange(self, suspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    def strange(self, suspects: DataFrame, vocabulary: DataFrame, sizes: DataFrame) -> DataFrame:
         """Segments whose words the corpus hardly knows.
 
-        That tells filler only where segments without function words are the
-        exception: if they exceed `odd` of all segments of five words and more,
-        the corpus is in a language without listed function words, and none is taken.
+        That tells no filler where whole pages are in a language without listed
+        function words. Such a page has more than `odd` of its segments of five
+        words and more in words unknown to the corpus, and so has its host, in
+        `odd_pages` such pages at least; its segments are not taken. What other
+        hosts hold has no part in this. Rows without an address count as one host.
         """
-        every = vocabulary.where("segment = ''").agg(F.sum("n")).first()[0] or 0
-        if suspects.count() > self.odd * every:
-            return suspects.limit(0).select("id", "segment", F.lit(0.0).alias("known"))
-        rows = suspects.select("id", "segment").distinct()
-        words = rows.select("id", "segment", F.explode(F.regexp_extract_all(F.lower("segment"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
-        known = vocabulary.groupBy(F.col("segment").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= self.known_from)
-        counted = words.join(known, "word", "left").groupBy("id", "segment").agg(F.avg(F.when(F.col("n").isNotNull(), 1.0).otherwise(0.0)).alias("known"))
-        return counted.where(F.col("known") < self.known)
+        rows = suspects.withColumn("site", F.coalesce("site", F.lit(""))).groupBy("id", "site", "segment").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+        words = rows.select("id", "segment").distinct().select("id", "segment", F.explode(F.regexp_extract_all(F.lower("segment"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
+        known = vocabulary.groupBy(F.col("segment").alias("word")).agg(F.sum("n").alias("occurs")).where(F.col("occurs") >= self.known_from)
+        counted = words.join(known, "word", "left").groupBy("id", "segment").agg(F.avg(F.when(F.col("occurs").isNotNull(), 1.0).otherwise(0.0)).alias("known"))
+        unknown = cut(rows.join(counted.where(F.col("known") < self.known), ["id", "segment"]))
+        pages = unknown.groupBy("id", "site").agg(F.count("*").alias("unknown"), F.max("n").alias("n")).where(F.col("unknown") > self.odd * F.col("n"))
+        hosts = pages.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= self.odd_pages)
+        shares = unknown.groupBy("site").agg(F.sum("times").alias("unknown")).join(sizes.groupBy("site").agg(F.sum("n").alias("every")), "site").where(F.col("unknown") > self.odd * F.col("every"))
+        hosts = cut(hosts.join(shares, "site").select("site"))
+        spared = join_small(pages.select("id", "site"), hosts, ["site"], hosts.count(), how="left_semi", spread="id")
+        return unknown.join(spared, ["id", "site"], "left_anti").select("id", "segment", "known").distinct()
 
     def findings(self) -> DataFrame:
         """(id, verdict, segment) for every residue; a verdict by the corpus is `response` or `strange`."""
         suspects = cut(self.read())
-        certain = suspects.where(~F.col("verdict").isin("doubt", "strange", "word")).select("id", "verdict", "segment")
+        certain = suspects.where(~F.col("verdict").isin("doubt", "strange", "word", "host")).select("id", "verdict", "segment")
         responses = self.responses(suspects.where("verdict = 'doubt'")).select("id", F.lit("response").alias("verdict"), "segment")
-        strange = self.strange(suspects.where("verdict = 'strange'"), suspects.where("verdict = 'word'")).select("id", F.lit("strange").alias("verdict"), "segment")
+        strange = self.strange(suspects.where("verdict = 'strange'"), suspects.where("verdict = 'word'"), suspects.where("verdict = 'host'")).select("id", F.lit("strange").alias("verdict"), "segment")
         return certain.unionByName(responses).unionByName(strange)

@@ -45,6 +45,24 @@ def test_residue_host_evidence_and_edges(spark):
     assert TemplateResidue(df.limit(0), "id", "t", "u", "k", titles).findings().count() == 0
 
 
+FILLER = "dolorem quandis teturo vitaro sulta mensa pasquil"
+
+
+def test_a_hot_source_switches_off_no_findings_elsewhere(spark):
+    """An unlisted language on one host, in most of all rows, spares that host's pages and no others."""
+    talk = "It is said that the words of the page are in use here"
+    rows = [(f"k{i}", f"{talk}, number {i}.", f"https://h{i % 3}.x/p") for i in range(30)]
+    rows += [("mixed", f"{talk}. {FILLER}.", "https://h1.x/q"), ("whole", f"{FILLER}.", "https://h2.x/q"), ("small", f"{FILLER} ipsor.", "https://small.x"), ("bare", f"{FILLER}.", None)]
+    hot = "permohonan paspor diajukan kepada petugas sebelum keberangkatan"
+    rows += [(f"u{i}", f"{hot} nomor {'abcdefghij'[i % 10] * (2 + i // 10)}.", "https://hot.x/p") for i in range(60)] * 2
+    # a filler paragraph within a page that is otherwise in a listed language is found on the hot host too
+    rows += [("within", "\n".join([*[f"{talk} {w}." for w in ("one", "two", "three", "four")], f"{FILLER}."]), "https://hot.x/q")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "id string, t string, u string, k string")
+    titles = spark.createDataFrame([], "key string, title string")
+    found = TemplateResidue(df, "id", "t", "u", "k", titles).findings()
+    assert sorted((r.id, r.verdict) for r in found.collect()) == [(x, "strange") for x in ("bare", "mixed", "small", "whole", "within")]
+
+
 SPAM = ["visa agent\ncheap visa\nvisa agent\ncheap visa\nvisa agent\ncheap visa\ncheap visa", "www.a-visa.example/x\nhttps://b.test/y\nc.invalid/z", "#VisaFee #FastVisa #VisaFee #CheapVisa", "Wallet | SKU AB-1234 | 8.50 | buy now\nFolder | SKU AB-9 | 3 | buy now", "Fast visa in A: fast visa, best fast visa. Looking for fast visa? Our fast visa is the fast visa for you. Fast visa B, fast visa price B."]
 HAM = ["The fee is paid to the cashier in person. See https://a.example/x for the form.\nTags: visa, fee", "Service | Days | Crowns\nA visa | 3 | 20.50\nDeath registration | 2 | 8.00\nPassport renewal | 7 | 9.00\nMarriage registration | 7 | 9.00", "- The old passport\n- Two photographs for the visa\n- A letter from the employer", "When do I apply for a visa?\nYou apply for a visa before you travel."]
 
