@@ -4,8 +4,8 @@ A page is read line by line. Lines of links, tags and product entries, and
 runs of keywords that repeat themselves instead of forming sentences, are list
 evidence. Lists that do not repeat themselves are settled by the corpus: their
 phrase shingles (five words, or a shorter phrase whole) are exploded and counted
-by distinct hosts, and a list stitched mostly from phrases that other hosts hold
-too counts as well. A page is spam if lists make up its greater part.
+by distinct hosts over the shingles of all documents, prose or list, and a list
+stitched mostly from phrases that other hosts hold too counts as well. A page is spam if lists make up its greater part.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,9 +37,11 @@ _URL = re.compile(rf"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?
 _LINKED = re.compile(rf"://|www\.|\.(?:{'|'.join(TOP_LEVEL)})\b", re.I)
 _ANCHOR = re.compile(r"</?a\b[^>]*>|\[[^\[\]\n]*\]\([^()\n]*\)", re.I)
 _WORD = re.compile(r"[^\s\d.,;:!?।()\[\]|/\\\"“”„…#<>=&@*•·☐→{}+_~–—-]+")
+_BREAKS = {i: " " for i in range(128) if not _WORD.match(chr(i))}  # the same for ASCII, which is faster
 _SENTENCE, _TAG, _CAMEL = re.compile(r"(?<=[.!?।])\s+(?=\S)"), re.compile(r"#\w+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PRODUCT, _LABEL = re.compile(PRODUCT, re.I), re.compile(LABEL, re.I)
-_PHRASE = re.compile(r"\s*(?:[,;:|·•→=>\n()\[\]\"]|\s[-–—]\s|\(\d+\)|#|\d+)\s*")
+#: Phrases end at what these leave out, and at a dash between spaces.
+_PIECE, _DASH = re.compile(r"[^,;:|·•→=>\n()\[\]\"#\d]+"), re.compile(r"\s[-–—]\s")
 _TABLE = re.compile(r"\|\s*[\d.,]+")
 
 SHINGLE = 5
@@ -49,7 +52,8 @@ LONG_LABEL = 8
 
 
 def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return text.translate(_BREAKS).split() if text.isascii() else _WORD.findall(text)
 
 
 def _function_words(words: list[str]) -> int:
@@ -57,14 +61,18 @@ def _function_words(words: list[str]) -> int:
 
 
 def phrases(text: str) -> set[str]:
-    """The phrase shingles of a list: five words running, shorter phrases whole."""
-    found = set()
-    for phrase in _PHRASE.split(_CAMEL.sub(" ", text)):
-        words = _words(phrase)
+    """The phrase shingles of a text: five words running, shorter phrases whole."""
+    return set(chain.from_iterable(map(_shingles, _PIECE.findall(text))))
+
+
+def _shingles(piece: str) -> list[str]:
+    found = []
+    for phrase in _DASH.split(piece) if "-" in piece or "–" in piece or "—" in piece else (piece,):
+        words = _words(phrase if phrase.islower() else _CAMEL.sub(" ", phrase))
         if len(words) > SHINGLE:
-            found.update(" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1))
+            found += map(" ".join, zip(*(words[i:] for i in range(SHINGLE))))
         elif words:
-            found.add(" ".join(words))
+            found.append(" ".join(words))
     return found
 
 
@@ -136,7 +144,9 @@ def evidence(text: str) -> tuple[int, int, list[tuple[int, set[str]]], set[str]]
         if not line:
             continue
         total += len(line)
-        words = _words(line)
+        parts = _SENTENCE.split(line)
+        each = [_words(part) for part in parts]
+        words = [*chain.from_iterable(each)]
         tags = _TAG.findall(line) if "#" in line else ()
         if _is_links(line) or len(tags) >= 2 and 2 * len(tags) >= len(line.split()) or not _SHOP.isdisjoint(words) and _PRODUCT.search(line):
             close()
@@ -152,10 +162,7 @@ def evidence(text: str) -> tuple[int, int, list[tuple[int, set[str]]], set[str]]
             block.append(line)
             continue
         close()
-        parts = _SENTENCE.split(line)
-        for part in parts:
-            if len(parts) > 1:
-                words = _words(part)
+        for part, words in zip(parts, each):
             if _repeats(words) and not _TABLE.search(part):
                 certain += len(part)
                 lists.append(part)
@@ -195,17 +202,57 @@ def list_evidence(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
     return rows.mapInArrow(read, f"id {kind}, host string, total int, certain int, doubts array<struct<size int, phrases array<bigint>>>, phrases array<bigint>")
 
 
+_BITS = 1 << 22  # of the filter that goes to every worker: 512 KB, whatever the data
+_KEPT = 100_000  # pieces of text whose shingles a worker keeps at a time
+
+
+def _bits(wanted: DataFrame) -> bytes:
+    """The filter of the hashes `phrase`, collected in at most _BITS / 32 rows."""
+    places = F.array(F.col("phrase").bitwiseAND(F.lit(_BITS - 1)), F.shiftright("phrase", 32).bitwiseAND(F.lit(_BITS - 1)))
+    words = wanted.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
+    found = np.zeros(_BITS // 32, dtype="<u4")
+    for word, bits in words.collect():
+        found[word] = bits
+    return found.tobytes()
+
+
+def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFrame) -> DataFrame:
+    """(host, phrase): the shingles of whole texts among the hashes `wanted`, and a few others; a pair may come again."""
+    packed = _bits(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").tobytes()
+        kept: dict[str, list[int]] = {}
+        for batch in batches:
+            pairs = set()
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for piece in set(_PIECE.findall(text.as_py())):
+                    hits = kept.get(piece)
+                    if hits is None:
+                        if len(kept) >= _KEPT:
+                            kept.clear()
+                        hits = kept[piece] = [h for h in map(_hash, _shingles(piece)) if bits[h & _BITS - 1] and bits[h >> 32 & _BITS - 1]]
+                    for h in hits:
+                        pairs.add((host, h))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.int64())], names=["host", "phrase"])
+
+    rows = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).where("host IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(read, "host string, phrase long")
+
+
 def spam_pages(docs: DataFrame, id_col: str, text_col: str, host_col: str, part: float = 0.5, hosts: int = 3, stitched: float = 0.5) -> DataFrame:
     """(id, density, own_density) of pages whose lists exceed `part` of their characters.
 
-    A doubtful list counts if at least `stitched` of its phrases occur in lists
-    of at least `hosts` distinct hosts; own_density leaves such lists out. Rows
+    A doubtful list counts if at least `stitched` of its phrases occur, in lists
+    or as shingles of any other text, on at least `hosts` distinct hosts; own_density leaves such lists out. Rows
     with null id or text, and blank texts, are never spam; a null host counts
     for no host; a repeated row is given once, and if rows of one id differ the
     densest counts. Whole texts are read, at any length.
     """
     pages = cut(list_evidence(docs, id_col, text_col, host_col))
-    spread = pages.where("host IS NOT NULL").select("host", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.countDistinct("host").alias("hosts"))
+    wanted = cut(pages.select(F.explode("doubts").alias("doubt")).select(F.explode("doubt.phrases").alias("phrase")).distinct())
+    held = pages.where("host IS NOT NULL").select("host", F.explode("phrases").alias("phrase")).unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted))
+    spread = join_small(held, wanted, ["phrase"], wanted.count(), how="left_semi", spread="host").groupBy("phrase").agg(F.countDistinct("host").alias("hosts"))
     shared = cut(spread.where(F.col("hosts") >= hosts).select("phrase", F.lit(1.0).alias("shared")))
     lists = pages.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode("doubts").alias("list", "doubt")).select("row", "list", "doubt.size", F.explode("doubt.phrases").alias("phrase"))
     joined = join_small(lists, shared, ["phrase"], shared.count(), how="left", spread="row")

@@ -79,6 +79,18 @@ def test_spam_pages(spark):
     assert evidence("")[0] == 0
 
 
+def test_spam_lists_whose_phrases_stand_in_prose_elsewhere(spark):
+    """A doubtful list on one host, its phrases in running text of others; a phrase on two hosts in all does not count."""
+    terms = [f"term{chr(97 + k)} visa{chr(97 + k)}" for k in range(10)]
+    listed = "One short sentence of guidance is here.\nSearches: " + ", ".join(terms)
+    own = "One short sentence of guidance is here.\nSearches: " + ", ".join(f"rare{x}" for x in terms)
+    prose = "The office keeps, as it is said, " + ", ".join(terms) + ", and it is the clerk who sees to them before noon."
+    rows = [(1, listed, "h0"), (2, prose, "h1"), (3, prose, "h2"), (4, own, "h0"), (5, own.replace("Searches: ", "It is said, "), "h1"), (6, prose, None), (7, own.replace("Searches: ", "It is said, "), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.id for r in spam_pages(df, "doc_id", "text", "source").collect()} == {1}
+    assert {r.id for r in spam_pages(df.where("doc_id <> 3"), "doc_id", "text", "source").collect()} == set()
+
+
 SCAN = ["Notice to travellers", "The records room keeps the signed declaration for the regis-", "tration of all travellers; the fee of 2O.50 crowns is paid at", "— 14 —", "N0tice to travellers    15", "the couhter by first-", "time applicants who bring the offlcer a letter from the", "employer before they travel to the district on Monday."]
 
 
