@@ -35,7 +35,7 @@ _MAYBE_EMAIL = re.compile(r"@|[\[(]at[\])]| at \S+ (?:dot|\[dot\]|\(dot\)) ", re
 _PHONE = re.compile(r"(?<![\w+])(?:\+ ?\d{1,3}|00\d{1,3})(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?![\w])|(?<![\w+])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.-])(?:\+?1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}(?![\w])")
 _MAYBE_CAPS = re.compile(r"[A-Z][a-zà-ÿ]+ [A-Z]")
 _MAYBE_PHONE = re.compile(r"[+(] ?\d|00\d|\d{3}[ .\-]\d{3}[ .\-]")
-_MAYBE_ID = re.compile(r"\d{5}|\d[A-Za-z]\d|\d{4}[A-Za-z]|\d{3}-\d\d-|\d{4}[ -]\d{4}|-\d{3,}-")
+_MAYBE_ID = re.compile(r"\d{5}|\d[A-Za-z]\d|\d{4}[A-Za-z]|\d{3}-\d\d-|\d{4}[ -]\d{4}|-\d{3,}-|[A-Za-z]\d[A-Za-z0-9]*\d\d")
 _MAYBE_BARE = re.compile(r"\d{10}")
 _WORDS = re.compile(r"\w+")
 _MAYBE_STREET = re.compile(r"\d[A-Za-z]?,? [A-Z]")
@@ -131,7 +131,7 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
                 taken.append((start, end))
                 if phone_key(m.group()) not in offices["phone"]:
                     yield "phone", start, end, True, ["+" if m.group()[0] in "+0(" else "ddd ddd dddd"]
-        for m in _ID.finditer(text) if digits > 4 and _MAYBE_ID.search(text) else ():
+        for m in _ID.finditer(text) if digits > 2 and _MAYBE_ID.search(text) else ():
             start, end = m.span()
             if free(start, end):
                 taken.append((start, end))

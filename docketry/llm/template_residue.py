@@ -137,18 +137,27 @@ _ANY_SCRIPT = re.compile("|".join(f"(?:{p})" for p in SCRIPT), re.I)
 _ADVICE, _TECHNICAL, _NO_RESIDUE = re.compile(ADVICE, re.I), re.compile(TECHNICAL, re.I), re.compile(rf"\[(?:{'|'.join(MASKS)})\]|</?(?:{_TAGS})>")
 _SENTENCE, _WORD = re.compile(r"(?<=[.!?।…])\s+"), re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SHORT = 12  # words of a response that says nothing of the page's subject
-# A segment without any of these words, signs or starts is none of the messages, notices and fillers above.
+# A segment without any of these words, signs, starts or parts is none of the messages, notices and fillers above.
 _HINTS = frozenset(
     "found exist exists unavailable available deleted moved removed record expired ended timed denied forbidden unauthorized unauthorised blocked rejected failed many"
     " gateway error wrong answer respond reply lost refused closed started loaded maintenance work fault line include pointer traceback exception trace robot human"
     " wait loading redirecting moment seconds moments introuvable refusé indisponible gefunden verweigert verfügbar encontrada denegado disponible मिला उपलब्ध allowed"
     " javascript js script scripts scripting skripte frames flash cookies content noscript browser capable"
     " lorem ipsum dolor consectetur demo dummy sample example filler test placeholder blind asdf qwer qwerty zxcv uiop dfgh hjkl jkl goes here soon box replace heading"
+    " http status stacktrace nullpointer down para paragraph"
     " nothing editor server database firewall session timeout time-out reload retry frame plugin plug-in cache administrator incident token proxy captcha not".split()
 ) - {"not"}
 _UNKNOWN = re.compile(r"\W*\?{3,}\W*")
-_SIGNS = re.compile(r"[\[{<@_%#]|&lt;|XXX|\(T")
+_SIGNS = re.compile(r"[\[{<@_%#]|&lt;|XXX|\([TF]")
 _STARTS = re.compile(r"\W*(?:(?:http|error|status|code|at)\b|[45]\d\d\b)|\[para", re.I)
+#: The words between hyphens and apostrophes, at which patterns may begin and end too; a call in a trace; Hindi messages, whose vowel signs end a word.
+_LETTERS, _JOINED, _CALL, _HINDI = re.compile(r"[^\W\d_]+"), re.compile(r"['’-]"), re.compile(r"\(\w+:\d"), ("मिला", "उपलब्ध")
+
+
+def _hinted(segment: str, words: list[str], letters: list[str]) -> bool:
+    if not _HINTS.isdisjoint(words) or letters is not words and not _HINTS.isdisjoint(letters) or _STARTS.match(segment):
+        return True
+    return "(" in segment and bool(_CALL.search(segment)) or not segment.isascii() and any(x in segment for x in _HINDI)
 
 
 def segments(text: str) -> Iterator[str]:
@@ -168,10 +177,11 @@ def judge(segment: str, words: list[str] | None = None) -> str | None:
                 return "placeholder"
     if not words and _UNKNOWN.fullmatch(segment):
         return "filler"
-    few = 3 <= len(words) and len(set(words)) <= 2 or len(words) == 2 and words[0] == words[1]
+    letters = _LETTERS.findall(segment.lower()) if _JOINED.search(segment) else words
+    few = 3 <= len(letters) and len(set(letters)) <= 2 or len(letters) == 2 and letters[0] == letters[1]
     if few and any(p.match(segment) for p in _REPEATS):
         return "filler"
-    if not _HINTS.isdisjoint(words) or _STARTS.match(segment):
+    if _hinted(segment, words, letters):
         if _ANY_FILLER.search(segment):
             return "filler"
         if not _ADVICE.search(segment):

@@ -45,6 +45,30 @@ def test_residue_host_evidence_and_edges(spark):
     assert TemplateResidue(df.limit(0), "id", "t", "u", "k", titles).findings().count() == 0
 
 
+GATED = {
+    "message": ["पृष्ठ नहीं मिला", "पेज नहीं मिला", "यह सेवा उपलब्ध नहीं है", "Upstream said HTTP 502: try later", "Upstream status 503 - try later", "StackTrace follows", "A NullPointer came up", "It stopped at a.b (c:12)", "Cause: internal-server error, bad gateway", "The system is down for planned work"],
+    "filler": ["See the text [paragraph 3] of the page", "See [para 3] of it", "A pre-test text stands in its place", "tbd-tbd-tbd"],
+    "placeholder": ["The fee (FIXME amount) is due", "The fee (TODO amount) is due", "XXX name XXX"],
+    "script": ["Please re-enable client-side scripting", "A script-capable viewer and a script-capable browser"],
+    "doubt": ["A time-out", "The plug-in", "A re-try: retry"],
+}
+
+
+@pytest.mark.parametrize("want, segment", [(k, x) for k, v in GATED.items() for x in v])
+def test_gates_of_judge_let_pass_what_the_patterns_match(want, segment):
+    assert judge(segment) == want
+
+
+@pytest.mark.parametrize("text", ["AB-123-456", "A-123456", "ABC1234", "AB12CD34", "A1BCD23", "ABCD1xy22z", "123-45-6789", "1234 5678 9012", "1234-5678-9012", "A 123456"])
+def test_gate_of_ids_lets_pass_every_alternative(text):
+    from docketry.llm.pii_bootstrap import _DIGITS, _ID, _MAYBE_ID, propose
+
+    assert _ID.fullmatch(text) and _MAYBE_ID.search(text) and len(_DIGITS.findall(text)) > 2
+    line = f"It is {text} here"
+    found = list(propose(line, line.lower(), line.lower().split(), dict.fromkeys(["email", "phone", "address", "name"], frozenset())))
+    assert [x[0] for x in found] == ["id_number"]
+
+
 FILLER = "dolorem quandis teturo vitaro sulta mensa pasquil"
 
 
