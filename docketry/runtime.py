@@ -27,17 +27,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], rows: int, limit: int = 200_000, salts: int = 32, how: str = "inner", spread: str | None = None) -> DataFrame:
-    """Join where `small` has `rows` rows (counted by the caller, after `cut`).
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a written table, the bytes as its text and array columns hold them and 16 for any other value."""
+    wide = [F.coalesce(F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    each = sum((w.cast("long") for w in wide), F.lit(16 * len(df.columns)).cast("long"))
+    rows, size = df.agg(F.count("*"), F.sum(each)).first()
+    return rows, size or 0
 
-    Up to `limit` rows it is broadcast: the size is then known, not guessed.
-    Beyond, `small` is repeated `salts` times and `big` is salted by a hash of
-    `spread` (a column that differs within a hot key), so that one hot key
-    becomes `salts` partitions. `how` may be inner, left, left_semi or left_anti.
+
+def hot_keys(big: DataFrame, on: list[str], share: float) -> DataFrame:
+    """The keys that hold over `share` of the rows of `big`: fewer than 1 / share, whatever the data."""
+    total = big.count()
+    counted = big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1.0, total * share))
+    return counted.select(*on, F.lit(True).alias("_hot"))
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", spread: str | None = None, limit: int = 200_000, limit_bytes: int = 64 << 20, salts: int = 32, share: float = 0.001) -> DataFrame:
+    """Join with a side that is small as a rule; `small` should come from `cut`, as it is measured first.
+
+    Up to `limit` rows and `limit_bytes` bytes it is broadcast: the size is then
+    known, not guessed. Beyond, both sides are shuffled by key. Only keys that
+    hold over `share` of the rows of `big` are counted as hot: their rows are
+    salted by a hash of `spread` (a column that differs within a hot key) and
+    their rows of `small` repeated `salts` times, so that one hot key becomes
+    `salts` partitions; all other keys go once. `how` may be inner, left,
+    left_semi or left_anti. A null key meets nothing.
     """
-    if rows <= limit:
+    rows, size = measure(small)
+    if rows <= limit and size <= limit_bytes:
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread_by = F.xxhash64(F.col(spread)) if spread else F.xxhash64(*[F.col(c) for c in big.columns])
-    big = big.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
-    return big.join(salted, [*on, "_salt"], how).drop("_salt")
+    hot = cut(hot_keys(big, on, share))  # under 1 / share rows
+    by = F.xxhash64(F.col(spread)) if spread else F.xxhash64(*[F.col(c) for c in big.columns])
+    salted = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    return salted.join(repeated(small, hot, on, salts), [*on, "_salt"], how).drop("_salt")
+
+
+def repeated(small: DataFrame, hot: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """`small` with a salt: rows of hot keys once for each salt, all others once."""
+    marked = small.join(F.broadcast(hot), on, "left")
+    return marked.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
