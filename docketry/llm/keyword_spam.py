@@ -252,10 +252,10 @@ def spam_pages(docs: DataFrame, id_col: str, text_col: str, host_col: str, part:
     pages = cut(list_evidence(docs, id_col, text_col, host_col))
     wanted = cut(pages.select(F.explode("doubts").alias("doubt")).select(F.explode("doubt.phrases").alias("phrase")).distinct())
     held = pages.where("host IS NOT NULL").select("host", F.explode("phrases").alias("phrase")).unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted))
-    spread = join_small(held, wanted, ["phrase"], wanted.count(), how="left_semi", spread="host").groupBy("phrase").agg(F.countDistinct("host").alias("hosts"))
+    spread = join_small(held, wanted, ["phrase"], how="left_semi", spread="host").groupBy("phrase").agg(F.countDistinct("host").alias("hosts"))
     shared = cut(spread.where(F.col("hosts") >= hosts).select("phrase", F.lit(1.0).alias("shared")))
     lists = pages.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode("doubts").alias("list", "doubt")).select("row", "list", "doubt.size", F.explode("doubt.phrases").alias("phrase"))
-    joined = join_small(lists, shared, ["phrase"], shared.count(), how="left", spread="row")
+    joined = join_small(lists, shared, ["phrase"], how="left", spread="row")
     counted = joined.groupBy("row", "list", "size").agg(F.avg(F.coalesce("shared", F.lit(0.0))).alias("stitched")).where(F.col("stitched") >= stitched).groupBy("row").agg(F.sum("size").alias("more"))
     dense = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "total", "certain").join(counted, "row", "left")
     dense = dense.withColumn("own_density", F.col("certain") / F.col("total")).withColumn("density", (F.col("certain") + F.coalesce("more", F.lit(0))) / F.col("total"))

@@ -230,7 +230,7 @@ class ScanRepair:
         words = body.where("item <> 'amount'").select("word", "compound", "look").distinct()
         judged = words.join(known, "word", "left").join(compounds, "compound", "left").join(best, "look", "left")
         judged = cut(judged.select("word", "compound", "known", "compound_n", "meant", "meant_n"))
-        met = join_small(body.where("item <> 'amount'"), judged, ["word", "compound"], judged.count(), how="left", spread="extract_id")
+        met = join_small(body.where("item <> 'amount'"), judged, ["word", "compound"], how="left", spread="extract_id")
         joined_n = F.coalesce("known", "meant_n", F.lit(0))
         broken = met.where("item = 'break'").withColumn("is_break", (joined_n >= F.coalesce("compound_n", F.lit(0))) & ((joined_n > 0) | F.col("compound_n").isNull()))
         breaks = broken.where("is_break").select("extract_id", "line_no", F.lit("word_break").alias("kind"))

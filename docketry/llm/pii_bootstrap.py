@@ -307,7 +307,7 @@ class Details:
         scores, sure = None, known.where("kind <> 'name'")
         for _ in range(self.rounds):
             # a pattern is as good as the share of its occurrences whose parts are all known
-            marked = join_small(parts, known.withColumn("known", F.lit(1)), ["kind", "instance"], known.count(), how="left", spread="pattern").groupBy("kind", "pattern", "instances").agg(F.first("n").alias("n"), F.min(F.coalesce("known", F.lit(0))).alias("known"))
+            marked = join_small(parts, known.withColumn("known", F.lit(1)), ["kind", "instance"], how="left", spread="pattern").groupBy("kind", "pattern", "instances").agg(F.first("n").alias("n"), F.min(F.coalesce("known", F.lit(0))).alias("known"))
             scores = cut(marked.groupBy("kind", "pattern").agg(F.count("*").alias("spans"), (F.sum(F.col("n") * F.col("known")) / F.sum("n")).alias("score")).where((F.col("spans") >= self.least) & (F.col("score") >= self.share)).select("kind", "pattern", "score"))
             # an instance is trusted if it is unlikely that all its patterns are wrong, and a name part if it is hardly ever anything else
             trusted = parts.select("kind", "pattern", "instance", "n").join(scores, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.sum(F.log(F.lit(1.0) - F.col("score") * 0.9)).alias("doubt"), F.sum(F.when(F.col("pattern").startswith("L2"), F.col("n"))).alias("n")).where(F.exp("doubt") <= 1 - self.score)
@@ -351,7 +351,7 @@ class Details:
         spans = self.texts.mapInArrow(read, f"id {self.kind}, field_name string, start_pos int, end_pos int, instances array<string>")
         keys = ["id", "field_name", "start_pos", "end_pos"]
         parts = spans.distinct().select(*keys, F.explode("instances").alias("instance"))
-        checked = join_small(parts, names.withColumn("known", F.lit(1)), ["instance"], names.count(), how="left", spread="id")
+        checked = join_small(parts, names.withColumn("known", F.lit(1)), ["instance"], how="left", spread="id")
         return checked.groupBy(*keys).agg(F.min(F.coalesce("known", F.lit(0))).alias("known")).where("known = 1").select(*keys, F.lit("name").alias("kind"))
 
     def _found(self) -> DataFrame:
@@ -361,14 +361,14 @@ class Details:
         # numbers of a doubtful shape take the kind that their contexts introduce elsewhere, else that of their shape
         numbers = weak.where("kind IN ('phone', 'id_number')")
         votes = self.patterns.where("kind IN ('phone', 'id_number')").groupBy("pattern").agg(F.sum(F.when(F.col("kind") == "phone", F.col("score")).otherwise(-F.col("score"))).alias("vote"))
-        voted = join_small(numbers.select(*keys, F.explode("patterns").alias("pattern")), votes, ["pattern"], votes.count(), how="left", spread="id").groupBy(*keys).agg(F.sum("vote").alias("vote"))
+        voted = join_small(numbers.select(*keys, F.explode("patterns").alias("pattern")), votes, ["pattern"], how="left", spread="id").groupBy(*keys).agg(F.sum("vote").alias("vote"))
         numbers = voted.withColumn("kind", F.when(F.col("vote") > 0.2, "phone").when(F.col("vote") < -0.2, "id_number").otherwise(F.col("kind"))).select(*keys)
         # streets of an unknown type, and names of unknown parts, count where trusted contexts introduce them
         rest = weak.where("kind IN ('address', 'name')").select(*keys, F.explode("patterns").alias("pattern"))
         trusted = self.patterns.where(F.col("score") >= 0.9).select("kind", "pattern")
-        context = join_small(rest, trusted, ["kind", "pattern"], trusted.count(), spread="id").groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys)
+        context = join_small(rest, trusted, ["kind", "pattern"], spread="id").groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2").select(*keys)
         streets = self.instances.where("kind = 'address'")
-        typed = join_small(weak.where("kind = 'address'").select(*keys, F.explode("instances").alias("instance")), streets, ["kind", "instance"], streets.count(), spread="id").select(*keys)
+        typed = join_small(weak.where("kind = 'address'").select(*keys, F.explode("instances").alias("instance")), streets, ["kind", "instance"], spread="id").select(*keys)
         names = self._names()
         every = sure.unionByName(numbers).unionByName(context).unionByName(typed).unionByName(names.select(*keys))
         return every.groupBy("id", "field_name", "kind", "start_pos").agg(F.max("end_pos").alias("end_pos"))

@@ -60,7 +60,6 @@ class SiteLines:
         sizes = self.held.groupBy("site").agg(F.count("*").alias("ids"))
         nodes = self.held.select("site", F.explode(F.array_distinct("lines")).alias("k")).where("k IS NOT NULL").groupBy("site", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
         nodes = cut(nodes.join(sizes, "site").where(F.col("n") >= F.col("ids") * share).select("site", "a", "b", "n"))
-        self.count = nodes.count()
         # an edge is kept if it holds in at least edge_share of the documents of its rarer line
         following = self._occurrences(nodes).withColumn("next", F.lead(F.struct("a", "b", "line_no", "n")).over(Window.partitionBy("id").orderBy("line_no"))).where("next.line_no = line_no + 1")
         edges = following.select("id", "site", "a", "b", F.least("n", "next.n").alias("most"), F.col("next.a").alias("b1"), F.col("next.b").alias("b2")).distinct().groupBy("site", "a", "b", "b1", "b2", "most").agg(F.count("*").alias("n"))
@@ -73,7 +72,7 @@ class SiteLines:
 
     def _occurrences(self, keys: DataFrame) -> DataFrame:
         lines = self.held.select("id", "site", F.posexplode("lines").alias("line_no", "k")).where("k IS NOT NULL").select("id", "site", "line_no", "k.a", "k.b")
-        return join_small(lines, keys, ["site", "a", "b"], self.count, spread="id")
+        return join_small(lines, keys, ["site", "a", "b"], spread="id")
 
     @property
     def occurrences(self) -> DataFrame:

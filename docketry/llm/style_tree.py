@@ -222,8 +222,8 @@ class StyleTree:
     @property
     def furniture(self) -> DataFrame:
         lines = self.pages.select("id", "site", F.explode("lines").alias("x")).select("id", "site", "x.*")
-        lines = join_small(lines, self.content, ["site", "a", "b"], self.content.count(), how="left", spread="id")
-        lines = join_small(lines, self.styles, ["site", "style"], self.styles.count(), how="left", spread="id")
+        lines = join_small(lines, self.content, ["site", "a", "b"], how="left", spread="id")
+        lines = join_small(lines, self.styles, ["site", "style"], how="left", spread="id")
         gone = (F.col("verdict") == "own") | F.col("low").isNotNull() | ((F.col("verdict") == "label") & F.col("plain").isNotNull())
         return lines.where(gone).select("id", "line_no")
 

@@ -302,7 +302,7 @@ class TemplateResidue:
         hosts = pages.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= self.odd_pages)
         shares = unknown.groupBy("site").agg(F.sum("times").alias("unknown")).join(sizes.groupBy("site").agg(F.sum("n").alias("every")), "site").where(F.col("unknown") > self.odd * F.col("every"))
         hosts = cut(hosts.join(shares, "site").select("site"))
-        spared = join_small(pages.select("id", "site"), hosts, ["site"], hosts.count(), how="left_semi", spread="id")
+        spared = join_small(pages.select("id", "site"), hosts, ["site"], how="left_semi", spread="id")
         return unknown.join(spared, ["id", "site"], "left_anti").select("id", "segment", "known").distinct()
 
     def findings(self) -> DataFrame:
