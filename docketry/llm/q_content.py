@@ -30,5 +30,11 @@ def p2_main(spark: SparkSession, d: str) -> DataFrame:
     return StyleTree(pages).main_content(pages).withColumnRenamed("id", "record_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_main": p2_main}
+def p2_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Lines found by the tree (by nodes, presentations or boxes), by the lists, or by both."""
+    arms = StyleTree(_pages(spark, d)).lines.where("prior OR tree IS NOT NULL")
+    return arms.groupBy(F.coalesce("tree", F.lit("none")).alias("tree"), F.col("prior").alias("listed")).agg(F.count("*").alias("lines"))
+
+
+QUERIES = {"p2_arms": p2_arms, "p2_found": p2_found, "p2_main": p2_main}
 ORACLE: dict[str, str] = {}

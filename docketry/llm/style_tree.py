@@ -1,13 +1,20 @@
 """Main content of pages by a site style tree over their lines.
 
-The pages of one host are merged into a tree: below the host stand presentation
-nodes (how a line is set: bullet, case, length, separators, place on the page),
-below those content nodes (what it says, by line key). A content node matters
-little if many pages of its host hold it and few other hosts do (low entropy
-over hosts); a presentation node matters little if its many lines say few
-different things (low entropy of contents). Lines under unimportant nodes, and
-lines that name their own function (consent, share, sign-up, pager, footer),
-are furniture and leave the page; so do the entries of the boxes they head.
+The pages of one host are merged into a tree. Below the host stand presentation
+nodes (how a line is set: mark, joiner, cells, end sign, length, figures), below
+them openings (the first two words), lines, and the cells of lines that are set
+side by side. A node's importance falls with the share of its occurrences that
+stand in the frame of a page: the run of repeated lines from its first or last
+line inwards. It falls too if what stands next to the node is nearly always the
+same (a fixed block has one presentation, guidance has many), and if the node is
+always followed by titles of other pages (the head of a link box). Importance
+is passed up, from cells to their line and from lines to their presentation,
+and a line that is too rare to be judged has that of the nodes above it. Nodes
+are judged within their host, or, where they are too rare there, over all hosts.
+Low-importance branches leave the page.
+
+Lists of lines that name their own function (consent, share, pager, footer) are
+a prior beside the tree; `prior=False` leaves them out.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.template_residue import judge
+from docketry.llm.template_residue import hinted, judge
 from docketry.runtime import cut, join_small
 
 # ---- fixed values: lines that name their function on a page, whole lines without bullets and end marks ----
@@ -66,8 +73,7 @@ _BOX = re.compile(BOX, re.I)
 _START_MARKS, _END_MARKS = " -–—*•·»›«☐>", " .!?:;,|»›-–—▾+↑→"
 _BULLET = re.compile(r"^\s*([-–—*•·»›☐>]|\d+[.)])\s+")
 _NUMBERS = re.compile(r"[0-9]+")
-_JOINED = re.compile(r"[/|·•›»>]|\s{2}")
-_PARTS = re.compile(r"\s*(?:[/|·•›»>]|\s{2,})\s*")
+_PARTS = re.compile(r"\s*([/|·•›»>]|\s{3,})\s*")
 #: Every pattern of FURNITURE begins with one of the first words or holds one of the others.
 _FIRST = frozenset(
     "skip jump go menu main navigation search a a- a−  a– text print mail bookmark share language sprache langue idioma english français deutsch español हिन्दी हिंदी previous next page"
@@ -80,8 +86,12 @@ _MENU_WORDS = frozenset(w for x in _MENU for w in x.split()) | {"(0)"}
 _MENU_LONGEST = sorted(_MENU, key=len, reverse=True)
 _MARKED = re.compile(r"[\d.,:;!?।|]")
 _COUNT = re.compile(r"\s*\(\d+\)")
-LONGEST = 400  # characters of a line that may name its function
 _LETTER = re.compile(r"[^\W\d_]")
+_UNTITLED = re.compile(r"[\d,:;|()।]|[.!?]$")
+
+#: What is known of a line, as bits.
+PRIOR, BOX_HEAD, TITLED, PHRASE, RESIDUE, NUMBERED, JOINED = 1, 2, 4, 8, 16, 32, 64
+_KEPT_LINES = 50_000  # distinct lines whose features a worker keeps at a time
 
 
 def _bare_key(key: str) -> str:
@@ -96,7 +106,7 @@ def _bare_key(key: str) -> str:
 
 def _own(text: str) -> bool:
     """The line names its function."""
-    return len(text) <= LONGEST and (text.lower().split(" ", 1)[0].rstrip(":") in _FIRST or _WITHIN.search(text) is not None) and _OWN.fullmatch(text) is not None
+    return (text.lower().split(" ", 1)[0].rstrip(":") in _FIRST or _WITHIN.search(text) is not None) and _OWN.fullmatch(text) is not None
 
 
 def _label(text: str) -> bool:
@@ -108,78 +118,122 @@ def _label(text: str) -> bool:
 
 def _titled(text: str) -> bool:
     """Set like the title of another page."""
-    return 0 < len(text.split()) <= 14 and not re.search(r"[\d,:;|()।]|[.!?]$", text) and _LETTER.match(text) is not None and (text[0].isupper() or not text[0].islower())
+    return 0 < len(text.split()) <= 14 and not _UNTITLED.search(text) and _LETTER.match(text) is not None and (text[0].isupper() or not text[0].islower())
 
 
-def read_page(text: str) -> list[tuple[int, str, str, str]]:
-    """(line_no, key, style, verdict) of each line that is not blank.
+def _hash(key: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"), seed) - (1 << 63)
 
-    verdict: `own` (names its function or stands under a line that does),
-    `label` (set as a menu label, its importance decides), `` (anything else).
-    """
-    lines = text.split("\n")
-    shown = [k for k, line in enumerate(lines) if line.strip()]
-    out: list[tuple[int, str, str, str]] = []
-    verdicts: dict[int, str] = {}
-    bare: dict[int, str] = {}
-    for k in shown:
-        flat = " ".join(lines[k].split())
-        bare[k] = flat.lstrip(_START_MARKS).rstrip(_END_MARKS) or flat
-    label_like = {k: lines[k].rstrip()[-1] not in ".?!।:;," and _label(bare[k]) for k in shown}
-    for i, k in enumerate(shown):
-        if k in verdicts:
-            continue
-        line, text_ = lines[k], bare[k]
-        if _own(text_):
-            verdicts[k] = "own"
-            if _BOX.fullmatch(text_):  # its entries are set alike and read like titles
-                mark = None
-                for n, j in enumerate(shown[i + 1 : i + 8]):
-                    m = _BULLET.match(lines[j])
-                    own = m.group(1) if m else ""
-                    if mark is None:
-                        mark = own
-                    if own != mark or own[:1].isdigit() or lines[j].rstrip()[-1] in ".?!।" or not _titled(bare[j]) or _own(bare[j]) or n >= 6:
-                        break
-                    verdicts[j] = "own"
-            continue
-        parts = [p for p in _PARTS.split(line.strip(_START_MARKS + _END_MARKS)) if p] if _JOINED.search(line) else ()
-        if len(parts) >= 3 and not re.search(r"\d", re.sub(r"\(\d+\)", "", line)):
-            known = sum(_COUNT.sub("", p).lower() in _MENU for p in parts)
-            crumbs = known >= 2 and all(_label(p) for p in parts[:-1])
-            if known >= 0.6 * len(parts) or crumbs:
-                verdicts[k] = "own"
-                continue
-        words = text_.lower()
-        if _COUNT.sub("", words) in _MENU:
-            verdicts[k] = "own"
-            continue
-        tokens = words.split()
-        if len(tokens) >= 3 and _MENU_WORDS.issuperset(tokens):  # a menu in one line without separators
-            rest, hits = words, 0
-            for name in _MENU_LONGEST:
-                rest, n = re.subn(rf"\b{re.escape(name)}\b", "", rest)
-                hits += n
-            if hits >= 3 and not rest.strip():
-                verdicts[k] = "own"
-                continue
-        if label_like[k] and judge(line) is None:
-            beside = [x for x in (shown[i - 1] if i else None, shown[i + 1] if i + 1 < len(shown) else None) if x is not None]
-            if any(label_like[x] or verdicts.get(x) == "own" for x in beside):
-                verdicts[k] = "label"
-    for i, k in enumerate(shown):
-        key = _bare_key(_NUMBERS.sub("0", " ".join(lines[k].lower().split())))
-        if not _LETTER.search(key):
-            key = ""
-        m = _BULLET.match(lines[k])
-        n = len(bare[k].split())
-        style = "|".join([m.group(1)[:1] if m else "", str(min(n, 4) if n < 8 else 8), "." if lines[k].rstrip()[-1:] in ".?!।" else "", str(3 * i // max(1, len(shown)))])
-        out.append((k, key, style, verdicts.get(k, "")))
-    return out
 
+def _is_menu(line: str, bare: str, parts: list[str]) -> bool:
+    """A menu or trail of menu labels, by the list of labels."""
+    if len(parts) >= 3 and not re.search(r"\d", re.sub(r"\(\d+\)", "", line)):
+        known = sum(_COUNT.sub("", p).lower() in _MENU for p in parts)
+        if known >= 0.6 * len(parts) or known >= 2 and all(_label(p) for p in parts[:-1]):
+            return True
+    words = bare.lower()
+    if _COUNT.sub("", words) in _MENU:
+        return True
+    tokens = words.split()
+    if len(tokens) >= 3 and _MENU_WORDS.issuperset(tokens):  # a menu in one line without separators
+        rest, hits = words, 0
+        for name in _MENU_LONGEST:
+            rest, n = re.subn(rf"\b{re.escape(name)}\b", "", rest)
+            hits += n
+        return hits >= 3 and not rest.strip()
+    return False
+
+
+def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
+    """(line node, opening node, cell nodes, presentation, flags, mark) of a line that is not blank; a line of one cell has no cell nodes."""
+    flat = " ".join(line.split())
+    bare = flat.lstrip(_START_MARKS).rstrip(_END_MARKS) or flat
+    lower = flat.lower()
+    key = _bare_key(_NUMBERS.sub("0", lower)) or lower
+    m = _BULLET.match(line)
+    mark = m.group(1) if m else ""
+    core = line[m.end() :] if m else line
+    core = core.strip().strip(_START_MARKS + _END_MARKS)
+    joined = _PARTS.search(core)
+    parts = [x for x in _PARTS.split(core)[::2] if x] if joined else []
+    cells = tuple(_hash(_bare_key(_NUMBERS.sub("0", " ".join(p.lower().split()))), 1) for p in parts) if len(parts) > 1 else ()
+    words, end = len(bare.split()), flat[-1]
+    digits = any(map(str.isdigit, bare))
+    style = "|".join((mark[-1:] if mark[:1].isdigit() else mark, (joined.group(1).strip() or "_") if cells else "", str(min(len(cells), 4)), "d" if digits else "", end if end in ".?!।:" else "", str(min(words, 4) if words < 8 else 8), "U" if bare.isupper() else "T" if bare[:1].isupper() else "t" if bare[:1].islower() else ""))
+    opening = f"{' '.join(key.split()[:2])}|{end if end in '.?!।:' else ''}"
+    flags = 0
+    if _own(bare) or _is_menu(line, bare, parts):
+        flags |= PRIOR
+        if _BOX.fullmatch(bare):
+            flags |= BOX_HEAD
+    if not cells and flat[-1] not in ".?!।" and _titled(bare):
+        flags |= TITLED | (PHRASE if words >= 3 else 0)
+    if mark[:1].isdigit():
+        flags |= NUMBERED
+    if cells:
+        flags |= JOINED
+    if hinted(lower) and judge(line) not in (None, "strange", "doubt"):
+        flags |= RESIDUE
+    return _hash(key, 1), _hash(opening, 2), cells, _hash(style, 3), flags, mark
+
+
+class _Features(dict):
+    """line -> features, kept as lines come up."""
+
+    def __missing__(self, line: str):
+        if len(self) >= _KEPT_LINES:
+            self.clear()
+        found = self[line] = features(line)
+        return found
+
+
+def entries(flags: list[int], marks: list, heads: list[bool]) -> list[int]:
+    """Lines that stand in the box of a head: the titles after it that are set with the same mark, however many."""
+    found, mark, within = [], None, False
+    for i, flag in enumerate(flags):
+        if heads[i]:
+            mark, within = None, True
+        elif within:
+            if mark is None:
+                mark = marks[i]
+            within = flag & TITLED and not flag & NUMBERED and marks[i] == mark
+            if within:
+                found.append(i)
+    return found
+
+
+_PAGE = "id string, site long, text_hash long, line_no array<int>, line array<long>, opening array<long>, style array<long>, flags array<int>, mark array<int>, cell_at array<int>, cell array<long>"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Features()
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    names = [x.split()[0] for x in _PAGE.split(", ")]
+    for batch in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for text in batch.column(3):
+            lines = text.as_py().split("\n")
+            nos = [k for k, x in enumerate(lines) if x.strip()]
+            seen = [known[lines[k]] for k in nos]
+            flags, marks = [x[4] for x in seen], [x[5] for x in seen]
+            for i in entries(flags, marks, [bool(f & BOX_HEAD) for f in flags]):
+                flags[i] |= PRIOR
+            at = [i for i, x in enumerate(seen) for _ in x[2]]
+            row = (nos, [x[0] for x in seen], [x[1] for x in seen], [x[3] for x in seen], flags, [ord(m[-1:] or " ") for m in marks], at, [c for x in seen for c in x[2]])
+            for column, value in zip(out, row):
+                column.append(value)
+        kinds = (ints, longs, longs, longs, ints, ints, ints, longs)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(out, kinds))], names=names)
 
-def _hash(key: str, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"), seed) - (1 << 63)
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.xxhash64(F.coalesce("site", F.lit(""))).alias("site"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _surely(n: Column, hits: Column) -> Column:
+    """The share hits / n less its doubt: a lower bound at about 95 %."""
+    e = hits / n
+    return e - 1.645 * F.sqrt(e * (1 - e) / n)
 
 
 class StyleTree:
@@ -187,50 +241,147 @@ class StyleTree:
 
     `pages` has id, text and site (all text); other columns are ignored. Rows
     with null id or null text hold no lines, a null site is a host of its own;
-    of rows that differ under one id the least counts, so that repeated
-    deliveries change nothing. Texts are read whole.
-    furniture: (id, line_no).
+    of rows that differ under one id one counts, the one whose text has the least
+    hash, so that repeated deliveries change nothing. Texts are read whole.
+    Nodes are named by 64-bit hashes. A line that holds template residue or an
+    error message is no furniture to the tree.
+
+    site_share, share: a line is repeated if at least this share of its host's
+    pages (and `least` of them), or of all pages (and `often`), holds it.
+    frame: the share of a node's occurrences, less its doubt, that must stand in
+    the frame of their pages; nodes with under `often` occurrences are not judged.
+    own_share, own_entropy: a node that this share of a host's pages holds is low if
+    its entropy over hosts is at most this part of the greatest possible.
+    fixed: the share of a repeated line's occurrences that have the same neighbour.
+    styled: the share of low lines that makes a presentation low. Only presentations
+    of joined cells decide lines: a text keeps too little of how single lines were set.
+
+    lines: (id, line_no, prior, tree); tree says what found a line: `node`,
+    `presentation` or `box`, null for one that only the prior found.
     """
 
-    def __init__(self, pages: DataFrame, share: float = 0.02, least: int = 6, spread: float = 0.5, style_least: int = 20, style_importance: float = 0.7):
-        rows = pages.select(F.col("id").cast("string").alias("id"), F.col("site").alias("site"), F.col("text").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    def __init__(self, pages: DataFrame, site_share: float = 0.02, least: int = 6, share: float = 0.002, often: int = 20, frame: float = 0.75, own_share: float = 0.2, own_entropy: float = 0.5, fixed: float = 0.5, styled: float = 0.7, prior: bool = True):
+        self.often, self.frame, self.prior = often, frame, prior
+        read = cut(_keyed(pages).mapInArrow(_read, _PAGE)).withColumn("pid", F.monotonically_increasing_id())
+        several = cut(read.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "site", "pid")).alias("x")).where("n > 1").select("id", F.col("x.pid").alias("kept")))
+        read = join_small(read, several, ["id"], how="left", spread="pid").where("kept IS NULL OR pid = kept").drop("kept", "text_hash")
+        self.pages = cut(self._framed(read, site_share, least, share))
+        self._judge(fixed, own_share, own_entropy)
+        self.lines = self._found(styled)
+
+    def _framed(self, read: DataFrame, site_share: float, least: int, share: float) -> DataFrame:
+        """`read` with the places of the first and last line that is not repeated (null if all are)."""
+        nodes = read.select("site", F.explode(F.array_distinct(F.concat("line", "cell"))).alias("node"))
+        # at most the nodes of a mean page / share
+        self.wide = cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= max(self.often, share * read.count())).select("node", F.lit(True).alias("wide")))
+        sizes = read.groupBy("site").agg(F.count("*").alias("pages"))
+        local = nodes.groupBy("site", "node").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(sizes, "site").where(F.col("n") >= F.col("pages") * site_share)
+        # at most the nodes of a mean page / site_share a host
+        self.local = cut(local.select("site", "node", "n", "pages"))
+        self.hosts = sizes.count()
+        local = self.local.select("site", "node", F.lit(True).alias("local"))
+
+        def repeated(rows: DataFrame) -> DataFrame:
+            rows = join_small(join_small(rows, self.wide, ["node"], how="left", spread="pid"), local, ["site", "node"], how="left", spread="pid")
+            return rows.withColumn("hit", F.coalesce("wide", "local", F.lit(False)))
+
+        lines = repeated(read.select("pid", "site", "cell_at", F.posexplode("line").alias("i", "node"))).withColumn("joined", F.array_contains("cell_at", F.col("i")))
+        cells = repeated(read.select("pid", "site", F.explode(F.arrays_zip("cell_at", "cell")).alias("x")).select("pid", "site", F.col("x.cell_at").alias("i"), F.col("x.cell").alias("node")))
+        joined = lines.where("joined").select("pid", "i", F.col("hit").alias("whole"), F.lit(None).cast("int").alias("part")).unionByName(cells.select("pid", "i", F.lit(None).cast("boolean").alias("whole"), F.col("hit").cast("int").alias("part")))
+        joined = joined.groupBy("pid", "i").agg(F.max("whole").alias("whole"), F.avg("part").alias("part")).where("NOT whole AND part < 0.66")
+        new = lines.where("NOT joined AND NOT hit").select("pid", "i").unionByName(joined.select("pid", "i")).groupBy("pid").agg(F.min("i").alias("first_new"), F.max("i").alias("last_new"))
+        return read.join(new, "pid", "left")
+
+    def _lines(self) -> DataFrame:
+        """One row a line, with its neighbours and whether it stands in the frame of its page."""
+        at = lambda column, shift: F.get(column, F.col("i") + shift)
+        rows = self.pages.select("*", F.posexplode("line").alias("i", "node"))
+        return rows.select("id", "pid", "site", "i", "node", at("line_no", 0).alias("line_no"), at("opening", 0).alias("opening"), at("style", 0).alias("style"), at("flags", 0).alias("flags"),
+                           at("line", 1).alias("next"), at("flags", 1).alias("next_flags"), at("line", -1).alias("before"), _framed_at(F.col("i")).alias("framed"), F.array_contains("cell_at", F.col("i")).alias("joined"))
+
+    def _cells(self) -> DataFrame:
+        """One row a cell of the lines that have several."""
+        rows = self.pages.select("*", F.explode(F.arrays_zip("cell_at", "cell")).alias("x")).withColumn("i", F.col("x.cell_at"))
+        return rows.select("id", "pid", "site", "i", F.col("x.cell").alias("node"), F.get("line_no", F.col("i")).alias("line_no"), F.get("style", F.col("i")).alias("style"), F.get("flags", F.col("i")).alias("flags"), _framed_at(F.col("i")).alias("framed"))
+
+    def _judge(self, fixed: float, own_share: float, own_entropy: float) -> None:
+        """The nodes of low importance: low_site (site, node) and low_any (node); heads of link boxes."""
+        lines = self._lines()
+        residue = (F.col("flags").bitwiseAND(RESIDUE) > 0).alias("residue")
+        seen = lines.select("site", F.explode(F.array("node", "opening")).alias("node"), "framed", residue).unionByName(self._cells().select("site", "node", "framed", residue))
+        held = [F.count("*").alias("n"), F.sum(F.col("framed").cast("long")).alias("hits"), F.max("residue").alias("residue")]
+        low = (F.col("n") >= self.often) & (_surely(F.col("n"), F.col("hits")) >= self.frame) & ~F.col("residue")
+        # what a host says on many pages and hardly any other host says
+        spread = self.local.groupBy("node").agg(_entropy(F.col("n")).alias("over_hosts")).where(F.col("over_hosts") <= own_entropy * math.log(max(2, self.hosts)))
+        own = self.local.where(F.col("n") >= own_share * F.col("pages")).join(spread, "node", "left_semi").select("site", "node")
+        self.low_site = cut(seen.groupBy("site", "node").agg(*held).where(low).select("site", "node").unionByName(own).distinct().withColumn("low_site", F.lit(True)))
+        framed = seen.groupBy("node").agg(*held).where(low).select("node")
+        # lines repeated all over the corpus: what stands next to them
+        wide = join_small(lines, self.wide, ["node"], spread="pid").where(~residue)
+        counted = wide.groupBy("node").agg(F.count("*").alias("n"))
+        beside = wide.select("node", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("next").alias("other")), F.struct(F.lit(0).alias("side"), F.col("before").alias("other")))).alias("x")).select("node", "x.*").where("other IS NOT NULL")
+        beside = join_small(beside, self.wide.withColumnRenamed("node", "other"), ["other"], how="left_semi").groupBy("node", "side", "other").agg(F.count("*").alias("together"))
+        bound = beside.groupBy("node").agg(F.max("together").alias("together")).join(counted, "node").where((F.col("n") >= self.often) & (F.col("together") >= F.col("n") * fixed)).select("node")
+        titled = wide.where(F.col("flags").bitwiseAND(TITLED) > 0).groupBy("node").agg(F.count("*").alias("n"), F.sum((F.coalesce("next_flags", F.lit(0)).bitwiseAND(PHRASE) > 0).cast("long")).alias("titles"), F.approx_count_distinct("next").alias("kinds"))
+        self.heads = cut(titled.where((F.col("n") >= self.often) & (_surely(F.col("n"), F.col("titles")) >= 0.8) & (F.col("kinds") >= 0.5 * F.col("n"))).select("node"))
+        self.low_any = cut(framed.unionByName(bound).unionByName(self.heads).distinct().withColumn("low_any", F.lit(True)))
+
+    def _low(self, rows: DataFrame, node: str) -> DataFrame:
+        rows = join_small(rows, self.low_any.withColumnRenamed("node", node), [node], how="left", spread="pid")
+        rows = join_small(rows, self.low_site.withColumnRenamed("node", node), ["site", node], how="left", spread="pid")
+        return rows.withColumn(f"low_{node}", F.coalesce("low_any", "low_site", F.lit(False))).drop("low_any", "low_site")
+
+    def _judged(self) -> DataFrame:
+        """(id, site, line_no, style, flags, low) of every line by its own node, its opening and its cells."""
+        names = ["id", "site", "line_no", "style", "flags"]
+        lines = self._low(self._low(self._lines().select("pid", *names, "node", "opening", "joined"), "node"), "opening")
+        own = F.col("low_node") | F.col("low_opening")
+        cells = self._low(self._cells(), "node").select(*names, F.lit(None).cast("boolean").alias("whole"), F.col("low_node").cast("int").alias("part"))
+        joined = lines.where("joined").select(*names, own.alias("whole"), F.lit(None).cast("int").alias("part")).unionByName(cells)
+        joined = joined.groupBy(*names).agg(F.max("whole").alias("whole"), F.avg("part").alias("part"))
+        return lines.where("NOT joined").select(*names, own.alias("low")).unionByName(joined.select(*names, (F.col("whole") | (F.col("part") >= 0.6)).alias("low")))
+
+    def _entries(self) -> DataFrame:
+        """(id, line_no) of the entries of link boxes; their heads are few, under the nodes of a mean page / share."""
+        heads = frozenset(self.heads.toArrow().column(0).to_pylist())
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("line_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("style", pa.string()), ("verdict", pa.string())]))
             for batch in batches:
-                pages_ = []
-                for text in batch.column(2):
-                    pages_.append([{"line_no": k, "a": _hash(key, 1), "b": _hash(key, 2) if key else 0, "style": style, "verdict": verdict} for k, key, style, verdict in read_page(text.as_py())])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages_, kind)], names=["id", "site", "lines"])
-
-        read_rows = rows.mapInArrow(read, "id string, site string, lines array<struct<line_no int, a bigint, b bigint, style string, verdict string>>")
-        self.pages = cut(read_rows.groupBy("id").agg(F.min(F.struct("site", "lines")).alias("x")).select("id", F.coalesce("x.site", F.lit("")).alias("site"), "x.lines"))
-        sites = cut(self.pages.groupBy("site").agg(F.count("*").alias("pages")))
-        hosts = sites.count()
-        # content nodes: support within the host, entropy over hosts
-        keys = self.pages.select("site", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.a.alias("a"), x.b.alias("b"))))).alias("k")).where("k.b <> 0")
-        nodes = cut(keys.groupBy("site", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least))
-        entropy = nodes.groupBy("a", "b").agg(_entropy(F.col("n")).alias("over_hosts"))
-        low = nodes.join(sites, "site").where(F.col("n") >= F.col("pages") * share).join(entropy, ["a", "b"]).where(F.col("over_hosts") <= math.log(max(2, hosts)) * spread)
-        self.content = cut(low.select("site", "a", "b", F.lit(True).alias("low")))
-        # presentation nodes: entropy of what their label lines say
-        labels = self.pages.select("site", "id", F.explode("lines").alias("x")).where("x.verdict = 'label'")
-        said = labels.groupBy("site", "x.style", "x.a").agg(F.count("*").alias("n"))
-        styles = said.groupBy("site", "style").agg(F.sum("n").alias("n"), _entropy(F.col("n")).alias("h")).where((F.col("n") >= style_least) & (F.col("h") <= F.log(F.col("n").cast("double")) * style_importance))
-        self.styles = cut(styles.select("site", "style", F.lit(True).alias("plain")))
+                rows, nos = [], []
+                for row, (line, flags, marks, line_no) in enumerate(zip(*(batch.column(c) for c in range(1, 5)))):
+                    line = line.values.to_pylist()
+                    if not heads.isdisjoint(line):
+                        no = line_no.values.to_pylist()
+                        for i in entries(flags.values.to_pylist(), marks.values.to_pylist(), [x in heads for x in line]):
+                            rows.append(row)
+                            nos.append(no[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(nos, pa.int32())], names=["id", "line_no"])
+
+        return self.pages.select("id", "line", "flags", "mark", "line_no").mapInArrow(read, "id string, line_no int")
+
+    def _found(self, styled: float) -> DataFrame:
+        judged = self._judged()
+        # presentation nodes have the importance of what stands below them; rare ones of a host that of all hosts
+        counted = cut(judged.where(F.col("flags").bitwiseAND(JOINED) > 0).groupBy("site", "style").agg(F.count("*").alias("n"), F.sum(F.col("low").cast("long")).alias("hits")))
+        every = counted.groupBy("style").agg(F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"))
+        by_site, by_all = _surely(F.col("n"), F.col("hits")), _surely(F.col("all_n"), F.col("all_hits"))
+        judge_by = F.when(F.col("n") >= self.often, by_site).when(F.col("all_n") >= self.often, by_all)
+        styles = cut(counted.join(every, "style").where(judge_by >= styled).select("site", "style", F.lit(True).alias("low_style")))
+        lines = join_small(judged, styles, ["site", "style"], how="left", spread="id")
+        residue = F.col("flags").bitwiseAND(RESIDUE) > 0
+        arm = F.when(residue, None).when(F.col("low"), "node").when(F.col("low_style"), "presentation")
+        lines = lines.select("id", "line_no", (F.col("flags").bitwiseAND(PRIOR) > 0).alias("prior"), arm.alias("tree")).where("prior OR tree IS NOT NULL")
+        boxes = self._entries().select("id", "line_no", F.lit(False).alias("prior"), F.lit("box").alias("tree"))
+        return lines.unionByName(boxes).groupBy("id", "line_no").agg(F.max("prior").alias("prior"), F.max("tree").alias("tree"))
 
     @property
     def furniture(self) -> DataFrame:
-        lines = self.pages.select("id", "site", F.explode("lines").alias("x")).select("id", "site", "x.*")
-        lines = join_small(lines, self.content, ["site", "a", "b"], how="left", spread="id")
-        lines = join_small(lines, self.styles, ["site", "style"], how="left", spread="id")
-        gone = (F.col("verdict") == "own") | F.col("low").isNotNull() | ((F.col("verdict") == "label") & F.col("plain").isNotNull())
-        return lines.where(gone).select("id", "line_no")
+        return self.lines.where("prior OR tree IS NOT NULL" if self.prior else "tree IS NOT NULL").select("id", "line_no")
 
     def main_content(self, pages: DataFrame) -> DataFrame:
         """(id, main_text) of each distinct id with a text: its lines that are not furniture, in order."""
         gone = self.furniture.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-        texts = pages.where("id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("id").cast("string").alias("id")).agg(F.min("text").alias("text"))
+        texts = _keyed(pages).groupBy("id").agg(F.min_by("text", F.struct("text_hash", "site")).alias("text"))
         kept = F.filter(F.split("text", "\n"), lambda _, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
         return texts.join(gone, "id", "left").select("id", F.array_join(kept, "\n").alias("main_text"))
 
@@ -239,3 +390,8 @@ def _entropy(n: Column) -> Column:
     """Entropy (nats) of a distribution given by counts, as an aggregate."""
     x = n.cast("double")
     return F.log(F.sum(x)) - F.sum(x * F.log(x)) / F.sum(x)
+
+
+def _framed_at(i: Column) -> Column:
+    """Everything between the line and an end of the page is repeated."""
+    return F.coalesce((i <= F.col("first_new")) | (i >= F.col("last_new")), F.lit(True))

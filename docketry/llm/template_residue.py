@@ -154,12 +154,20 @@ _STARTS = re.compile(r"\W*(?:(?:http|error|status|code|at)\b|[45]\d\d\b)|\[para"
 _LETTERS, _JOINED, _CALL, _HINDI = re.compile(r"[^\W\d_]+"), re.compile(r"['’-]"), re.compile(r"\(\w+:\d"), ("मिला", "उपलब्ध")
 
 
+_BREAKS = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
 def _hinted(segment: str, words: list[str], letters: list[str]) -> bool:
     if not _HINTS.isdisjoint(words) or letters is not words and not _HINTS.isdisjoint(letters) or _STARTS.match(segment):
         return True
     return "(" in segment and bool(_CALL.search(segment)) or not segment.isascii() and any(x in segment for x in _HINDI)
 
 
+def hinted(lower: str) -> bool:
+    """Cheap: a line (in lower case) that lacks this is none of the residues, but for those of unlisted words."""
+    return _SIGNS.search(lower) is not None or "xxx" in lower or "(to" in lower or "(fix" in lower or not _HINTS.isdisjoint(lower.translate(_BREAKS).split()) or any(x in lower for x in _HINDI)
+
+
 def segments(text: str) -> Iterator[str]:
     for line in text.split("\n"):
         for part in _SENTENCE.split(line):

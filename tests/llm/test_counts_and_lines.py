@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketry.llm.heavy_hitters import frequent_items, normal_item
 from docketry.llm.lines import line_key, site_of
 from docketry.llm.site_lines import SiteLines
-from docketry.llm.style_tree import StyleTree, read_page
+from docketry.llm.style_tree import BOX_HEAD, PRIOR, StyleTree, entries, features
 
 
 def items(df, **k):
@@ -96,20 +96,54 @@ def test_site_lines_empty(spark):
 PAGE = "Skip navigation\nHome\nNews\nContact\nFees for a visa\nBring the old passport and two photographs to the counter.\nBlack ink only.\nSee also\n- Rules for students\n- Rules for families\nThe fee is 20 crowns.\nWe use cookies to count visits. Choose what you allow below.\nAccept all\nSettings\n« Previous   1 2 3 ... 9   Next »\n© 2031 Tolmere Mission. All rights reserved."
 
 
-def test_read_page():
-    got = {k for k, _, _, verdict in read_page(PAGE) if verdict}
-    assert got == {0, 1, 2, 3, 7, 8, 9, 11, 12, 13, 14, 15}
-    assert read_page("") == [] and read_page("\n \n") == []
-    assert len(read_page("word " * 200_000)) == 1
+def test_prior_of_a_page():
+    def prior(text):
+        nos = [k for k, x in enumerate(text.split("\n")) if x.strip()]
+        seen = [features(text.split("\n")[k]) for k in nos]
+        flags = [x[4] for x in seen]
+        found = {i for i, f in enumerate(flags) if f & PRIOR} | set(entries(flags, [x[5] for x in seen], [bool(f & BOX_HEAD) for f in flags]))
+        return {nos[i] for i in found}
+
+    assert prior(PAGE) == {0, 1, 2, 3, 7, 8, 9, 11, 12, 13, 14, 15}
+    assert prior("") == set() and prior("word " * 200_000) == set()
+    # a box has as many entries as it has, and a line may have any length
+    assert prior("See also\n" + "\n".join(f"- Rules for {x}" for x in "abcdefghi") + "\nThe fee is due.") == set(range(10))
+    assert prior("Our partners place cookies " + "and more of them " * 30 + "to measure how pages are read, as you allow.") == {0}
 
 
 def test_style_tree_sites_and_edges(spark):
-    rows = [(f"{s}{i}", f"Guidance {chr(97 + i) * 4} about {s} matters, see below.\nFollowing is said on {s} only by the mission\nAll originals are returned.", s) for s in ("aa", "bb", "cc", "dd") for i in range(12)]
+    rows = [(f"{s}{i}", f"Guidance {chr(97 + i) * 4} about {s} matters, see below.\nFollowing is said on {s} only by the mission\nAll originals are returned.\nFees {chr(97 + i) * 3} of {s} are due.", s) for s in ("aa", "bb", "cc", "dd") for i in range(12)]
     rows += rows[:5] + [("x", None, "aa"), (None, "Subscribe", "aa"), ("y", "Subscribe", None), ("z", "", "aa")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, text string, site string, line_no int")
     got = {(r.id, r.line_no) for r in StyleTree(df).furniture.collect()}
-    # the line of one site goes, the sentence that all sites repeat stays
+    # the line of one site goes, the sentence that all sites repeat within their pages stays
     assert got == {(f"{s}{i}", 1) for s in ("aa", "bb", "cc", "dd") for i in range(12)} | {("y", 0)}
     main = {r.id: r.main_text for r in StyleTree(df).main_content(df).collect()}
-    assert main["aa0"] == "Guidance aaaa about aa matters, see below.\nAll originals are returned." and main["y"] == ""
+    assert main["aa0"] == "Guidance aaaa about aa matters, see below.\nAll originals are returned.\nFees aaa of aa are due." and main["y"] == ""
     assert StyleTree(df.limit(0)).furniture.count() == 0
+
+
+def test_style_tree_without_lists(spark):
+    """Furniture in wordings that no list holds: frame, fixed block, box, menu cells, rare lines of a known opening; guidance stays."""
+    random.seed(5)
+    word = lambda: "".join(random.choices("bdfgklmnprstvz", k=1)[0] + random.choice("aeiou") for _ in range(3))
+    cells = [word() for _ in range(12)]
+    common = ["Zolu ravi is kept by the clerk.", "Mepa is shown to all at the desk."]
+    rows, truth = [], set()
+    for i in range(240):
+        s = f"h{i % 4}"
+        body = [" ".join(word() for _ in range(9)) + "." for _ in range(4)] + [random.choice(common)] + [f"{word()} {word()} {word()} {word()}."]
+        box = ["Veda noma"] + [f"» {word().title()} {word()} {word()}" for _ in range(random.randint(2, 9))]
+        page = [(" | ".join(random.sample(cells, 5)), 1), ("Dago peli", 1), *[(x, 0) for x in body[:3]], ("Bomi tesa", 1), ("Luka sami reno", 1), *[(x, 0) for x in body[3:]], *[(x, 1) for x in box], (f"{word()} {word()} {word()} it is.", 0), (f"Ridu kano {word()} Pages, sefu {i}.{i}", 1), ("Tola", 1)]
+        rows.append((f"p{i}", "\n".join(x for x, _ in page), s))
+        truth |= {(f"p{i}", n) for n, (_, y) in enumerate(page) if y}
+    got = {(r.id, r.line_no) for r in StyleTree(spark.createDataFrame(rows, "id string, text string, site string"), prior=False).furniture.collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got - truth) <= 0.01 * len(truth)
+
+
+def test_rows_that_differ_under_one_id_are_read_and_cleaned_alike(spark):
+    rows = [(f"d{i}", f"{'abcdefghijkl'[i] * 5} stands here alone today.\nSubscribe", "s") for i in range(12)]
+    rows += [("two", "Subscribe\nThe body of one version is this.", "s"), ("two", "The body of the other version is that.\nSubscribe", "s")]
+    df = spark.createDataFrame(rows, "id string, text string, site string")
+    main = {r.id: r.main_text for r in StyleTree(df).main_content(df).collect()}
+    assert main["two"] in ("The body of one version is this.", "The body of the other version is that.")
