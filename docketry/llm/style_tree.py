@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.template_residue import hinted, judge
+from docketry.llm.template_residue import hinted, judge, segments
 from docketry.runtime import cut, join_small
 
 # ---- fixed values: lines that name their function on a page, whole lines without bullets and end marks ----
@@ -73,7 +73,7 @@ _BOX = re.compile(BOX, re.I)
 _START_MARKS, _END_MARKS = " -–—*•·»›«☐>", " .!?:;,|»›-–—▾+↑→"
 _BULLET = re.compile(r"^\s*([-–—*•·»›☐>]|\d+[.)])\s+")
 _NUMBERS = re.compile(r"[0-9]+")
-_PARTS = re.compile(r"\s*([/|·•›»>]|\s{3,})\s*")
+_PARTS, _JOIN = re.compile(r"\s*([/|·•›»>]|\s{3,})\s*"), re.compile(r"[/|·•›»>]|\s{3}")
 #: Every pattern of FURNITURE begins with one of the first words or holds one of the others.
 _FIRST = frozenset(
     "skip jump go menu main navigation search a a- a−  a– text print mail bookmark share language sprache langue idioma english français deutsch español हिन्दी हिंदी previous next page"
@@ -81,7 +81,8 @@ _FIRST = frozenset(
     " comment comments related see quick in latest most you on popular read posted published updated last site visitor visitors visitors: best powered document © (c) copyright terms privacy"
     " accessibility hyperlinking imprint legal disclaimer sitemap back reproduction beware need".split()
 )
-_WITHIN = re.compile(r"cookie|témoins de conn|small files|rights reserved|liability|courtesy trans|hard of hearing|visits|views|choices|stimmen|^(?:[a-z]{2} ){2}|^\d+ \d|previous", re.I)
+_WITHIN = ("cookie", "témoins de conn", "small files", "rights reserved", "liability", "courtesy trans", "hard of hearing", "visits", "views", "choices", "stimmen", "previous")
+_LISTED = re.compile(r"(?:[a-z]{2} ){2}|\d+ \d", re.I)
 _MENU_WORDS = frozenset(w for x in _MENU for w in x.split()) | {"(0)"}
 _MENU_LONGEST = sorted(_MENU, key=len, reverse=True)
 _MARKED = re.compile(r"[\d.,:;!?।|]")
@@ -104,9 +105,9 @@ def _bare_key(key: str) -> str:
     return key[i:j]
 
 
-def _own(text: str) -> bool:
+def _own(text: str, lower: str) -> bool:
     """The line names its function."""
-    return (text.lower().split(" ", 1)[0].rstrip(":") in _FIRST or _WITHIN.search(text) is not None) and _OWN.fullmatch(text) is not None
+    return (lower.split(" ", 1)[0].rstrip(":") in _FIRST or _LISTED.match(text) is not None or any(x in lower for x in _WITHIN)) and _OWN.fullmatch(text) is not None
 
 
 def _label(text: str) -> bool:
@@ -154,7 +155,7 @@ def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
     mark = m.group(1) if m else ""
     core = line[m.end() :] if m else line
     core = core.strip().strip(_START_MARKS + _END_MARKS)
-    joined = _PARTS.search(core)
+    joined = _PARTS.search(core) if _JOIN.search(core) else None
     parts = [x for x in _PARTS.split(core)[::2] if x] if joined else []
     cells = tuple(_hash(_bare_key(_NUMBERS.sub("0", " ".join(p.lower().split()))), 1) for p in parts) if len(parts) > 1 else ()
     words, end = len(bare.split()), flat[-1]
@@ -162,7 +163,7 @@ def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
     style = "|".join((mark[-1:] if mark[:1].isdigit() else mark, (joined.group(1).strip() or "_") if cells else "", str(min(len(cells), 4)), "d" if digits else "", end if end in ".?!।:" else "", str(min(words, 4) if words < 8 else 8), "U" if bare.isupper() else "T" if bare[:1].isupper() else "t" if bare[:1].islower() else ""))
     opening = f"{' '.join(key.split()[:2])}|{end if end in '.?!।:' else ''}"
     flags = 0
-    if _own(bare) or _is_menu(line, bare, parts):
+    if _own(bare, bare.lower()) or _is_menu(line, bare, parts):
         flags |= PRIOR
         if _BOX.fullmatch(bare):
             flags |= BOX_HEAD
@@ -172,7 +173,7 @@ def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
         flags |= NUMBERED
     if cells:
         flags |= JOINED
-    if hinted(lower) and judge(line) not in (None, "strange", "doubt"):
+    if hinted(lower) and any(judge(x) not in (None, "strange", "doubt") for x in segments(line) if hinted(x.lower())):
         flags |= RESIDUE
     return _hash(key, 1), _hash(opening, 2), cells, _hash(style, 3), flags, mark
 
@@ -230,10 +231,10 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.xxhash64(F.coalesce("site", F.lit(""))).alias("site"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def _surely(n: Column, hits: Column) -> Column:
-    """The share hits / n less its doubt: a lower bound at about 95 %."""
+def _surely(n: Column, hits: Column, z: float = 2.58) -> Column:
+    """The share hits / n less its doubt: Wilson's lower bound at 99.5 %."""
     e = hits / n
-    return e - 1.645 * F.sqrt(e * (1 - e) / n)
+    return (e + z * z / (2 * n) - z * F.sqrt(e * (1 - e) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 class StyleTree:
@@ -249,9 +250,10 @@ class StyleTree:
     site_share, share: a line is repeated if at least this share of its host's
     pages (and `least` of them), or of all pages (and `often`), holds it.
     frame: the share of a node's occurrences, less its doubt, that must stand in
-    the frame of their pages; nodes with under `often` occurrences are not judged.
+    the frame of their pages (pages of repeated lines alone tell nothing); nodes with under `often` occurrences are not judged.
     own_share, own_entropy: a node that this share of a host's pages holds is low if
     its entropy over hosts is at most this part of the greatest possible.
+    kinds: the different titles that must follow the head of a link box.
     fixed: the share of a repeated line's occurrences that have the same neighbour.
     styled: the share of low lines that makes a presentation low. Only presentations
     of joined cells decide lines: a text keeps too little of how single lines were set.
@@ -260,13 +262,13 @@ class StyleTree:
     `presentation` or `box`, null for one that only the prior found.
     """
 
-    def __init__(self, pages: DataFrame, site_share: float = 0.02, least: int = 6, share: float = 0.002, often: int = 20, frame: float = 0.75, own_share: float = 0.2, own_entropy: float = 0.5, fixed: float = 0.5, styled: float = 0.7, prior: bool = True):
+    def __init__(self, pages: DataFrame, site_share: float = 0.02, least: int = 6, share: float = 0.002, often: int = 20, frame: float = 0.75, own_share: float = 0.2, own_entropy: float = 0.5, kinds: int = 10, fixed: float = 0.5, styled: float = 0.7, prior: bool = True):
         self.often, self.frame, self.prior = often, frame, prior
         read = cut(_keyed(pages).mapInArrow(_read, _PAGE)).withColumn("pid", F.monotonically_increasing_id())
         several = cut(read.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "site", "pid")).alias("x")).where("n > 1").select("id", F.col("x.pid").alias("kept")))
         read = join_small(read, several, ["id"], how="left", spread="pid").where("kept IS NULL OR pid = kept").drop("kept", "text_hash")
         self.pages = cut(self._framed(read, site_share, least, share))
-        self._judge(fixed, own_share, own_entropy)
+        self._judge(fixed, own_share, own_entropy, kinds)
         self.lines = self._found(styled)
 
     def _framed(self, read: DataFrame, site_share: float, least: int, share: float) -> DataFrame:
@@ -304,12 +306,12 @@ class StyleTree:
         rows = self.pages.select("*", F.explode(F.arrays_zip("cell_at", "cell")).alias("x")).withColumn("i", F.col("x.cell_at"))
         return rows.select("id", "pid", "site", "i", F.col("x.cell").alias("node"), F.get("line_no", F.col("i")).alias("line_no"), F.get("style", F.col("i")).alias("style"), F.get("flags", F.col("i")).alias("flags"), _framed_at(F.col("i")).alias("framed"))
 
-    def _judge(self, fixed: float, own_share: float, own_entropy: float) -> None:
+    def _judge(self, fixed: float, own_share: float, own_entropy: float, kinds: int) -> None:
         """The nodes of low importance: low_site (site, node) and low_any (node); heads of link boxes."""
         lines = self._lines()
         residue = (F.col("flags").bitwiseAND(RESIDUE) > 0).alias("residue")
         seen = lines.select("site", F.explode(F.array("node", "opening")).alias("node"), "framed", residue).unionByName(self._cells().select("site", "node", "framed", residue))
-        held = [F.count("*").alias("n"), F.sum(F.col("framed").cast("long")).alias("hits"), F.max("residue").alias("residue")]
+        held = [F.count("framed").alias("n"), F.sum(F.col("framed").cast("long")).alias("hits"), F.max("residue").alias("residue")]
         low = (F.col("n") >= self.often) & (_surely(F.col("n"), F.col("hits")) >= self.frame) & ~F.col("residue")
         # what a host says on many pages and hardly any other host says
         spread = self.local.groupBy("node").agg(_entropy(F.col("n")).alias("over_hosts")).where(F.col("over_hosts") <= own_entropy * math.log(max(2, self.hosts)))
@@ -323,7 +325,7 @@ class StyleTree:
         beside = join_small(beside, self.wide.withColumnRenamed("node", "other"), ["other"], how="left_semi").groupBy("node", "side", "other").agg(F.count("*").alias("together"))
         bound = beside.groupBy("node").agg(F.max("together").alias("together")).join(counted, "node").where((F.col("n") >= self.often) & (F.col("together") >= F.col("n") * fixed)).select("node")
         titled = wide.where(F.col("flags").bitwiseAND(TITLED) > 0).groupBy("node").agg(F.count("*").alias("n"), F.sum((F.coalesce("next_flags", F.lit(0)).bitwiseAND(PHRASE) > 0).cast("long")).alias("titles"), F.approx_count_distinct("next").alias("kinds"))
-        self.heads = cut(titled.where((F.col("n") >= self.often) & (_surely(F.col("n"), F.col("titles")) >= 0.8) & (F.col("kinds") >= 0.5 * F.col("n"))).select("node"))
+        self.heads = cut(titled.where((F.col("n") >= self.often) & (_surely(F.col("n"), F.col("titles")) >= 0.8) & (F.col("kinds") >= kinds)).select("node"))
         self.low_any = cut(framed.unionByName(bound).unionByName(self.heads).distinct().withColumn("low_any", F.lit(True)))
 
     def _low(self, rows: DataFrame, node: str) -> DataFrame:
@@ -393,5 +395,6 @@ def _entropy(n: Column) -> Column:
 
 
 def _framed_at(i: Column) -> Column:
-    """Everything between the line and an end of the page is repeated."""
-    return F.coalesce((i <= F.col("first_new")) | (i >= F.col("last_new")), F.lit(True))
+    """Everything between the line and an end of the page is repeated; null where that tells nothing (no other line is new)."""
+    alone = (F.col("first_new") == F.col("last_new")) & (F.col("first_new") == i)
+    return F.when(~alone, (i <= F.col("first_new")) | (i >= F.col("last_new")))
