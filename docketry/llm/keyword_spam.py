@@ -21,11 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.template_residue import FUNCTION_WORDS
+from docketry.llm.template_residue import FUNCTION_WORDS, HINDI_FUNCTION_WORDS
 from docketry.runtime import cut, join_small
 
 # ---- fixed values ----
-HINDI_FUNCTION_WORDS = frozenset("के लिए का की में से और है हैं साथ को पर ने ही भी या फिर यह तो कि एक बिना जाता होता होती".split())
 PRODUCT = r"\b(?:SKU|EAN|art\.? ?no)\b|\b(?:buy now|add to cart|order now|in stock|shop now|comprar ahora|añadir al carrito|acheter|ajouter au panier|jetzt kaufen|in den warenkorb|अभी खरीदें)\b"
 #: Every pattern of PRODUCT holds one of these words.
 _SHOP = frozenset("sku ean art buy cart order stock shop comprar carrito acheter panier kaufen warenkorb खरीदें".split())
@@ -76,6 +75,12 @@ def _shingles(piece: str) -> list[str]:
     return found
 
 
+def _again(words: list[str]) -> set[str]:
+    """The phrases that a run of keywords marks off by repeating them: pairs of words, no function words among them."""
+    pairs = Counter((a, b) for a, b in zip(words, words[1:]) if a not in _FUNCTION and b not in _FUNCTION)
+    return {f"{a} {b}" for (a, b), n in pairs.items() if n > 1}
+
+
 def _is_links(line: str) -> bool:
     if not _LINKED.search(line):
         return False
@@ -92,12 +97,12 @@ def _repeats(words: list[str]) -> bool:
     return len(words) >= 8 and _function_words(words) <= 0.12 * len(words) and len(set(words)) <= 0.75 * len(words)
 
 
-def _stuffed(parts: list[tuple[str, list[str]]]) -> int:
-    """Characters of the sentences around one phrase with which the rest of a page is stuffed."""
+def _stuffed(parts: list[tuple[str, list[str]]]) -> list[str]:
+    """The sentences around one phrase with which the rest of a page is stuffed."""
     common = Counter(chain.from_iterable(words for _, words in parts))
     most = max((n for w, n in common.items() if w not in _FUNCTION), default=0)
     if most < 4 or 2 * most <= STUFFED * common.total():
-        return 0
+        return []
     pairs: Counter = Counter()
     own: list[set] = []
     total = common.total()
@@ -108,35 +113,37 @@ def _stuffed(parts: list[tuple[str, list[str]]]) -> int:
         twice.update(k for k, n in here.items() if n > 1)
         own.append(set(here))
     if not pairs:
-        return 0
+        return []
     pair, n = max(pairs.items(), key=lambda x: (x[1], x[0]))
     held = sum(pair in x for x in own)
     if n < 4 or 2 * n <= STUFFED * total or 3 * twice[pair] < held:
-        return 0
-    return sum(len(text) for (text, _), x in zip(parts, own) if pair in x)
+        return []
+    return [text for (text, _), x in zip(parts, own) if pair in x]
+
 
+def evidence(text: str, prior: bool = True) -> tuple[int, list[tuple[int, bool, set[str]]]]:
+    """(characters, list parts as (characters, counts by itself, phrases)).
 
-def evidence(text: str) -> tuple[int, int, list[tuple[int, set[str]]], set[str]]:
-    """(characters, characters of certain lists, doubtful lists as (characters, phrases), phrases of all lists)."""
-    total = certain = 0
-    lists: list[str] = []
-    doubts: list[tuple[int, str]] = []
+    A list part is a run of lines or words that form no sentences: links, tags,
+    product entries, keywords in a row, labelled and short lines without
+    function words, and sentences around one phrase. The phrases of a part are
+    its shingles, those of repeating keywords the pairs that come again. Links, tags, entries,
+    repeating keywords and stuffed sentences count by themselves; without
+    `prior` product entries and labels are not recognised by their words.
+    """
+    total = 0
+    found: list[tuple[int, bool, set[str]]] = []
     block: list[str] = []
     sentences: list[tuple[str, list[str]]] = []
 
     def close() -> None:
         """A block of short lines without function words is one list."""
-        nonlocal certain
         if not block:
             return
         joined = "\n".join(block)
         words = _words(joined)
-        size = sum(map(len, block))
-        if _repeats(words):
-            certain += size
-            lists.append(joined)
-        elif len(words) >= 3:
-            doubts.append((size, joined))
+        if (own := _repeats(words)) or len(words) >= 3:
+            found.append((sum(map(len, block)), own, own and _again(words) or phrases(joined)))
         block.clear()
 
     for line in text.split("\n"):
@@ -148,58 +155,64 @@ def evidence(text: str) -> tuple[int, int, list[tuple[int, set[str]]], set[str]]
         each = [_words(part) for part in parts]
         words = [*chain.from_iterable(each)]
         tags = _TAG.findall(line) if "#" in line else ()
-        if _is_links(line) or len(tags) >= 2 and 2 * len(tags) >= len(line.split()) or not _SHOP.isdisjoint(words) and _PRODUCT.search(line):
+        if _is_links(line) or len(tags) >= 2 and 2 * len(tags) >= len(line.split()) or prior and not _SHOP.isdisjoint(words) and _PRODUCT.search(line):
             close()
-            certain += len(line)
-            lists.append(_URL.sub(lambda m: " , " + re.sub(r"[/?._=+-]", " ", m.group().partition("/")[2].lstrip("/").partition("/")[2]), line))
+            found.append((len(line), True, phrases(_unlinked(line))))
             continue
-        if _LABEL.match(line):
+        if prior and _LABEL.match(line):
             close()
             if len(re.split(r"[,;|·•]", line)) >= LONG_LABEL:
-                doubts.append((len(line), line.partition(":")[2] or line))
+                found.append((len(line), False, phrases(line.partition(":")[2] or line)))
             continue
         if len(words) <= 6 and words and not _function_words(words) and not _TABLE.search(line) and line[-1] not in ".?!।":
             block.append(line)
             continue
         close()
         for part, words in zip(parts, each):
-            if _repeats(words) and not _TABLE.search(part):
-                certain += len(part)
-                lists.append(part)
+            if not _TABLE.search(part) and ((own := _repeats(words)) or _strung(part, words)):
+                found.append((len(part), own, own and _again(words) or phrases(part)))
             elif words:
                 sentences.append((part, words))
     close()
-    certain += _stuffed(sentences)
-    found = [(size, phrases(x)) for size, x in doubts]
-    every = set().union(*(p for _, p in found), *(phrases(x) for x in lists)) if found or lists else set()
-    return total, certain, found, every
+    if around := _stuffed(sentences):
+        found.append((sum(map(len, around)), True, _again(_words(" ".join(around)))))
+    return total, found
+
+
+def _unlinked(line: str) -> str:
+    """A line with its addresses replaced by the words of their paths."""
+    line = re.sub(r"</?a\b[^>]*>|\]\([^()]*\)", " , ", line)
+    return _URL.sub(lambda m: " , " + re.sub(r"[/?._=+-]", " ", m.group().partition("://")[2].partition("/")[2] if "://" in m.group() else m.group().partition("/")[2]), line)
+
+
+def _strung(part: str, words: list[str]) -> bool:
+    """Words strung together without function words, longer than a line of a list."""
+    return len(words) >= 12 and _function_words(words) <= 0.12 * len(words) and part[-1] not in ".?!।"
 
 
 def _hash(phrase: str) -> int:
     return xxhash.xxh3_64_intdigest(phrase.encode("utf-8", "replace")) - (1 << 63)
 
 
-def list_evidence(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(id, host, total, certain, doubts, phrases) of each page that has list evidence."""
+def list_evidence(docs: DataFrame, id_col: str, text_col: str, host_col: str, prior: bool = True) -> DataFrame:
+    """(id, host, total, parts) of each page that has list parts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doubt_type = pa.list_(pa.struct([("size", pa.int32()), ("phrases", pa.list_(pa.int64()))]))
+        part_type = pa.list_(pa.struct([("size", pa.int32()), ("own", pa.bool_()), ("phrases", pa.list_(pa.int64()))]))
         for batch in batches:
-            rows, totals, certains, doubts, every = [], [], [], [], []
+            rows, totals, parts = [], [], []
             for row, text in enumerate(batch.column(2)):
-                total, certain, found, all_phrases = evidence(text.as_py())
-                if certain or found:
+                total, found = evidence(text.as_py(), prior)
+                if found:
                     rows.append(row)
                     totals.append(total)
-                    certains.append(certain)
-                    doubts.append([{"size": size, "phrases": sorted(map(_hash, p))} for size, p in found])
-                    every.append(sorted(map(_hash, all_phrases)))
+                    parts.append([{"size": size, "own": own, "phrases": sorted(map(_hash, p))} for size, own, p in found])
             at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(totals, pa.int32()), pa.array(certains, pa.int32()), pa.array(doubts, doubt_type), pa.array(every, pa.list_(pa.int64()))], names=["id", "host", "total", "certain", "doubts", "phrases"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(totals, pa.int32()), pa.array(parts, part_type)], names=["id", "host", "total", "parts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(read, f"id {kind}, host string, total int, certain int, doubts array<struct<size int, phrases array<bigint>>>, phrases array<bigint>")
+    return rows.mapInArrow(read, f"id {kind}, host string, total int, parts array<struct<size int, own boolean, phrases array<bigint>>>")
 
 
 _BITS = 1 << 22  # of the filter that goes to every worker: 512 KB, whatever the data
@@ -240,23 +253,36 @@ def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFram
     return rows.mapInArrow(read, "host string, phrase long")
 
 
-def spam_pages(docs: DataFrame, id_col: str, text_col: str, host_col: str, part: float = 0.5, hosts: int = 3, stitched: float = 0.5) -> DataFrame:
-    """(id, density, own_density) of pages whose lists exceed `part` of their characters.
+class SpamPages:
+    """Densities of list parts of pages, found when the object is made.
 
-    A doubtful list counts if at least `stitched` of its phrases occur, in lists
-    or as shingles of any other text, on at least `hosts` distinct hosts; own_density leaves such lists out. Rows
-    with null id or text, and blank texts, are never spam; a null host counts
-    for no host; a repeated row is given once, and if rows of one id differ the
-    densest counts. Whole texts are read, at any length.
+    A list part is stitched if at least `stitched` of its phrases occur, in lists
+    or as shingles of any other text, on at least `hosts` distinct hosts.
+    pages: (id, stitched_density, own_density, density): the shares of a page's
+    characters in stitched parts, in parts that count by themselves, and in either.
+    Rows with null id or text, and texts without list parts, are left out; a null
+    host counts for no host; a repeated row is given once, and if rows of one id
+    differ the densest counts. Whole texts are read, at any length.
     """
-    pages = cut(list_evidence(docs, id_col, text_col, host_col))
-    wanted = cut(pages.select(F.explode("doubts").alias("doubt")).select(F.explode("doubt.phrases").alias("phrase")).distinct())
-    held = pages.where("host IS NOT NULL").select("host", F.explode("phrases").alias("phrase")).unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted))
-    spread = join_small(held, wanted, ["phrase"], how="left_semi", spread="host").groupBy("phrase").agg(F.countDistinct("host").alias("hosts"))
-    shared = cut(spread.where(F.col("hosts") >= hosts).select("phrase", F.lit(1.0).alias("shared")))
-    lists = pages.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode("doubts").alias("list", "doubt")).select("row", "list", "doubt.size", F.explode("doubt.phrases").alias("phrase"))
-    joined = join_small(lists, shared, ["phrase"], how="left", spread="row")
-    counted = joined.groupBy("row", "list", "size").agg(F.avg(F.coalesce("shared", F.lit(0.0))).alias("stitched")).where(F.col("stitched") >= stitched).groupBy("row").agg(F.sum("size").alias("more"))
-    dense = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "total", "certain").join(counted, "row", "left")
-    dense = dense.withColumn("own_density", F.col("certain") / F.col("total")).withColumn("density", (F.col("certain") + F.coalesce("more", F.lit(0))) / F.col("total"))
-    return dense.where(F.col("density") > part).groupBy("id").agg(F.max("density").alias("density"), F.max("own_density").alias("own_density"))
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, host_col: str, hosts: int = 3, stitched: float = 0.5, prior: bool = True):
+        found = cut(list_evidence(docs, id_col, text_col, host_col, prior))
+        phrases = found.select("host", F.explode("parts.phrases").alias("p")).select("host", F.explode("p").alias("phrase"))
+        wanted = cut(phrases.select("phrase").distinct())
+        # lists hold their phrases themselves; the other texts are searched for them
+        held = phrases.where("host IS NOT NULL").unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted))
+        pairs = held.distinct()
+        spread = join_small(pairs, wanted, ["phrase"], how="left_semi", spread="host").groupBy("phrase").agg(F.count("*").alias("hosts"))
+        shared = cut(spread.where(F.col("hosts") >= hosts).select("phrase", F.lit(1.0).alias("shared")))
+        rows = found.withColumn("row", F.monotonically_increasing_id())
+        parts = rows.select("row", F.posexplode("parts").alias("part", "x")).select("row", "part", "x.size", "x.own", F.explode_outer("x.phrases").alias("phrase"))
+        judged = join_small(parts, shared, ["phrase"], how="left", spread="row").groupBy("row", "part", "size", "own").agg(F.avg(F.coalesce("shared", F.lit(0.0))).alias("share"))
+        over = F.col("share") >= stitched
+        sums = judged.groupBy("row").agg(F.sum(F.when(over, F.col("size"))).alias("stitched"), F.sum(F.when(F.col("own"), F.col("size"))).alias("own"), F.sum(F.when(over | F.col("own"), F.col("size"))).alias("either"))
+        shares = [(F.coalesce(n, F.lit(0)) / F.col("total")).alias(a) for n, a in (("stitched", "stitched_density"), ("own", "own_density"), ("either", "density"))]
+        self.pages = rows.select("row", "id", "total").join(sums, "row").select("id", *shares).groupBy("id").agg(*[F.max(a).alias(a) for a in ("stitched_density", "own_density", "density")])
+
+
+def spam_pages(docs: DataFrame, id_col: str, text_col: str, host_col: str, part: float = 0.5, hosts: int = 3, stitched: float = 0.5, prior: bool = True) -> DataFrame:
+    """(id, stitched_density, own_density, density) of pages that lists make up for more than `part`; without `prior` only stitched lists count."""
+    return SpamPages(docs, id_col, text_col, host_col, hosts, stitched, prior).pages.where(F.col("density" if prior else "stitched_density") > part)

@@ -24,25 +24,26 @@ from docketry.runtime import cut, join_small
 
 # ---- fixed values: syntax of template languages and form letters ----
 PLACEHOLDER = [
-    r"\{\{[^{}\n]{1,60}\}\}",
-    r"\$\{[^{}\n]{1,60}\}",
-    r"\{[%#][^{}\n]{1,60}[%#]\}",
-    r"<%[^<>\n]{1,60}%>",
-    r"\[\[[^\[\]\n]{1,60}\]\]",
-    r"<<[A-Za-z][^<>\n]{0,60}>>",
-    r"@@[A-Za-z]\w{0,60}@@",
-    r"__[A-Za-z]\w{0,60}?__",
-    r"%[A-Za-z][A-Za-z_]{1,60}%",
+    r"\{\{[^{}\n]+\}\}",
+    r"\$\{[^{}\n]+\}",
+    r"\{[%#][^{}\n]+[%#]\}",
+    r"<%[^<>\n]+%>",
+    r"\[\[[^\[\]\n]+\]\]",
+    r"<<[A-Za-z][^<>\n]*>>",
+    r"@@[A-Za-z]\w*@@",
+    r"__[A-Za-z](?:(?!__)\w)*__",
+    r"%[A-Za-z][A-Za-z_]+%",
     r"#[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*#",
-    r"(?<![{$])\{[A-Za-z][A-Za-z_ .]{0,60}\}",
-    r"&lt;[A-Za-z][\w ]{0,60}&gt;",
+    r"(?<![{$])\{[A-Za-z][A-Za-z_ .]*\}",
+    r"&lt;[A-Za-z][\w ]*&gt;",
     r"(?<!<)<[a-z]+(?:[ _][a-z]+)*>(?!>)",
-    r"\[[^\[\]\n]{0,40}\b(?:TBC|TBD|TODO|tbc|tbd)\]",
-    r"\[(?:[Ii]nsert|[Ee]nter|[Aa]dd|INSERT|ENTER)\b[^\[\]\n]{1,60}\]",
-    r"\((?:TODO|TBD|FIXME)\b[^()\n]{0,60}\)",
+    r"\[[^\[\]\n]*\b(?:TBC|TBD|TODO|tbc|tbd)\]",
+    r"\[(?:[Ii]nsert|[Ee]nter|[Aa]dd|INSERT|ENTER)\b[^\[\]\n]+\]",
+    r"\((?:TODO|TBD|FIXME)\b[^()\n]*\)",
     r"\bX{3,}(?: [a-z]+){1,4} X{3,}",
     r"\[[A-Z]{2,}(?: [A-Z]+)*\]",
     r"(?<!\[)\[[a-z]+(?: [a-z]+)+\](?![\](])",
+    r"\[[Pp]ara(?:graph)? ?\d+\]",
 ]
 #: Labels that stand for a masked detail: no residue.
 MASKS = ["EMAIL", "SSN", "PHONE", "A NUMBER", "PASSPORT NO", "REFERENCE NO", "NUMBER", "NAME", "ADDRESS", "ID NUMBER", "REDACTED", "MASKED", "HIDDEN"]
@@ -58,7 +59,6 @@ FILLER = [
     r"\bcoming soon: ",
     r"^coming soon\W*$",
     r"\b(?:title|subtitle|description|text|heading) (?:of|for) (?:this |the )?box\b",
-    r"\[para(?:graph)? ?\d+\]",
     r"\bnothing to see (?:yet|here)\b",
     r"\breplace me\b",
 ]
@@ -127,6 +127,7 @@ FUNCTION_WORDS = frozenset(
     " der die das den dem ein eine einer und oder ist sind im am zu mit von für auf nicht nach wird werden bei sich"
     " el los del y o son para con por una al su se sin antes".split()
 )
+HINDI_FUNCTION_WORDS = frozenset("के लिए का की में से और है हैं साथ को पर ने ही भी या फिर यह तो कि एक बिना जाता होता होती".split())
 
 _TAGS = "|".join(TAGS)
 _ANY_PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDER))
@@ -136,6 +137,9 @@ _ANY_MESSAGE = re.compile("|".join(f"(?:{p})" for p in MESSAGE), re.I)
 _ANY_SCRIPT = re.compile("|".join(f"(?:{p})" for p in SCRIPT), re.I)
 _ADVICE, _TECHNICAL, _NO_RESIDUE = re.compile(ADVICE, re.I), re.compile(TECHNICAL, re.I), re.compile(rf"\[(?:{'|'.join(MASKS)})\]|</?(?:{_TAGS})>")
 _SENTENCE, _WORD = re.compile(r"(?<=[.!?।…])\s+"), re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: The same with the vowel signs of Devanagari, which are no word characters to `re`.
+_SIGNED_WORD = re.compile(r"(?:[^\W\d_]|[\u0900-\u0963])+(?:['’-](?:[^\W\d_]|[\u0900-\u0963])+)*")
+_FUNCTION = FUNCTION_WORDS | HINDI_FUNCTION_WORDS
 SHORT = 12  # words of a response that says nothing of the page's subject
 # A segment without any of these words, signs, starts or parts is none of the messages, notices and fillers above.
 _HINTS = frozenset(
@@ -175,10 +179,15 @@ def segments(text: str) -> Iterator[str]:
                 yield part
 
 
-def judge(segment: str, words: list[str] | None = None) -> str | None:
+def words_of(segment: str) -> list[str]:
+    lower = segment.lower()
+    return _WORD.findall(lower) if lower.isascii() else _SIGNED_WORD.findall(lower)
+
+
+def judge(segment: str, words: list[str] | None = None, prior: bool = True) -> str | None:
     """placeholder, filler, message, script; or in doubt: `doubt` (technical), `strange` (no function words); else None."""
     if words is None:
-        words = _WORD.findall(segment.lower())
+        words = words_of(segment)
     if _SIGNS.search(segment):
         for m in _ANY_PLACEHOLDER.finditer(segment):
             if not _NO_RESIDUE.fullmatch(m.group().replace("_", " ")):
@@ -189,7 +198,7 @@ def judge(segment: str, words: list[str] | None = None) -> str | None:
     few = 3 <= len(letters) and len(set(letters)) <= 2 or len(letters) == 2 and letters[0] == letters[1]
     if few and any(p.match(segment) for p in _REPEATS):
         return "filler"
-    if _hinted(segment, words, letters):
+    if prior and _hinted(segment, words, letters):
         if _ANY_FILLER.search(segment):
             return "filler"
         if not _ADVICE.search(segment):
@@ -199,18 +208,43 @@ def judge(segment: str, words: list[str] | None = None) -> str | None:
                 return "script"
             if len(words) <= SHORT and _TECHNICAL.search(segment):
                 return "doubt"
-    if len(words) >= 5 and sum(map(FUNCTION_WORDS.__contains__, words)) <= 0.25 * len(words) and segment.isascii() and sum(map(str.islower, _INITIAL.findall(segment))) >= 0.7 * len(words):
+    if len(words) >= 5 and sum(map(_FUNCTION.__contains__, words)) <= 0.25 * len(words) and sum(map(str.isupper, _INITIAL.findall(segment))) <= 0.3 * len(words):
         return "strange"
     return None
 
 
-_FOUND = "id string, site string, slug string, title_key string, verdict string, segment string, n long"
-_NAMES = ["id", "site", "slug", "title_key", "verdict", "segment", "n"]
+_FOUND = "id string, site string, slug string, title_key string, verdict string, segment string, signature string, odd array<string>, n long"
+_NAMES = ["id", "site", "slug", "title_key", "verdict", "segment", "signature", "odd", "n"]
 _DIGITS, _INITIAL = re.compile(r"\d+"), re.compile(r"\b[^\W\d_]")
+_KEPT, _KEPT_CHARS = 20_000, 200  # segments of which a worker keeps the judgement, and their length
+
+
+class _Judged(dict):
+    """segment -> (verdict, number of words, signature, odd words, words), kept for short ones as they come up."""
+
+    def __init__(self, common: frozenset, odd_share: float, prior: bool):
+        super().__init__()
+        self.common, self.odd_share, self.prior = common, odd_share, prior
 
+    def __missing__(self, segment: str):
+        words = words_of(segment)
+        verdict = judge(segment, words, self.prior)
+        odd: list[str] = []
+        if 0 < len(words) <= SHORT:
+            parts = [x for w in words for x in _PARTED.split(w)]
+            odd = [x for x in parts if x not in self.common]
+            if len(odd) < self.odd_share * len(parts):
+                odd = []
+        signature = _DIGITS.sub("0", " ".join(words)) if odd or verdict == "doubt" else ""
+        found = verdict, len(words), signature, odd, words
+        if len(segment) <= _KEPT_CHARS:
+            if len(self) >= _KEPT:
+                self.clear()
+            self[segment] = found
+        return found
 
-def _signature(segment: str) -> str:
-    return _DIGITS.sub("0", " ".join(_WORD.findall(segment.lower())))
+
+_PARTED = re.compile(r"['’-]")
 
 
 class TemplateResidue:
@@ -220,57 +254,75 @@ class TemplateResidue:
     columns of docs, whose other columns are ignored. Rows with null id or null
     text hold nothing; a null address only takes away the host evidence; a row
     delivered twice is found once. Texts are read whole.
+
+    A word is odd if under `rare` of the texts hold it (or only one does), a
+    segment of at most SHORT words if at least `odd_share` of its words are.
+    `hosts`, `mismatch`: a response counts if it comes from that many hosts, and
+    at least on that share of its pages without a word in common with slug and
+    title. `prior=False` leaves out the lists of messages, notices and fillers;
+    placeholders are found by their syntax, and words that only repeat themselves,
+    in either case.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, url_col: str, key_col: str, titles: DataFrame, hosts: int = 2, mismatch: float = 0.8, known: float = 0.4, known_from: int = 5, odd: float = 0.25, odd_pages: int = 10):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, url_col: str, key_col: str, titles: DataFrame, hosts: int = 2, mismatch: float = 0.8, rare: float = 0.002, odd_share: float = 0.25, known: float = 0.4, known_from: int = 5, odd: float = 0.25, odd_pages: int = 10, prior: bool = True):
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site_of(F.col(url_col)).alias("site"), F.lower(url_col).alias("slug"), F.col(key_col).cast("string").alias("title_key")).where("id IS NOT NULL AND text IS NOT NULL")
-        self.odd, self.odd_pages = odd, odd_pages
+        self.odd, self.odd_pages, self.prior, self.rare, self.odd_share = odd, odd_pages, prior, rare, odd_share
         self.titles, self.hosts, self.mismatch, self.known, self.known_from = titles, hosts, mismatch, known, known_from
 
+    def common_words(self) -> frozenset:
+        """The words that at least `rare` of the texts hold: at most the different words of a mean text / rare."""
+        words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
+        held = self.docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        found = held.where(F.col("n") >= max(2.0, self.rare * self.docs.count())).select("word")
+        return frozenset(found.toArrow().column(0).to_pylist())
+
     def read(self) -> DataFrame:
         """Suspect segments, the corpus vocabulary as rows of verdict `word` (n: its occurrences in all but strange segments) and hosts as rows of verdict `host`.
 
         A text's strange segments are given once each, with n the number of its
-        distinct segments of five words and more; a host's n sums these up.
+        distinct segments of five words and more; a host's n sums these up. An
+        odd segment that no detector knows has the verdict `odd`.
         """
+        shared, odd_share, prior = self.docs.sparkSession.sparkContext.broadcast(self.common_words()), self.odd_share, self.prior
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            judged = _Judged(shared.value, odd_share, prior)
             known: Counter = Counter()
             hosts: Counter = Counter()
+            strings = pa.list_(pa.string())
 
             def counts() -> pa.RecordBatch:
                 words, sites = pa.nulls(len(known), pa.string()), pa.nulls(len(hosts), pa.string())
                 none = pa.concat_arrays([words, sites])
                 kinds = pa.array(["word"] * len(known) + ["host"] * len(hosts), pa.string())
-                return pa.RecordBatch.from_arrays([none, pa.concat_arrays([words, pa.array(hosts.keys(), pa.string())]), none, none, kinds, pa.concat_arrays([pa.array(known.keys(), pa.string()), sites]), pa.array([*known.values(), *hosts.values()], pa.int64())], names=_NAMES)
+                return pa.RecordBatch.from_arrays([none, pa.concat_arrays([words, pa.array(hosts.keys(), pa.string())]), none, none, kinds, pa.concat_arrays([pa.array(known.keys(), pa.string()), sites]), none, pa.nulls(len(none), strings), pa.array([*known.values(), *hosts.values()], pa.int64())], names=_NAMES)
 
             for batch in batches:
                 ids, texts, sites, slugs, keys = batch.columns
-                rows, verdicts, found, sizes = [], [], [], []
+                rows, verdicts, found, signatures, odds, sizes = [], [], [], [], [], []
+
+                def add(*values, columns=(rows, verdicts, found, signatures, odds, sizes)) -> None:
+                    for column, value in zip(columns, values):
+                        column.append(value)
+
                 for row, text in enumerate(texts):
                     long, strange = set(), set()
                     for segment in segments(text.as_py()):
-                        words = _WORD.findall(segment.lower())
-                        verdict = judge(segment, words)
+                        verdict, length, signature, odd, words = judged[segment]
                         if verdict == "strange":
                             strange.add(segment)
-                        elif verdict:
-                            rows.append(row)
-                            verdicts.append(verdict)
-                            found.append(segment)
-                            sizes.append(None)
-                        if len(words) >= 5:
+                        if odd or verdict not in (None, "strange"):
+                            add(row, verdict if verdict not in (None, "strange") else "odd", segment, signature, odd, None)
+                        if length >= 5:
                             long.add(segment)
                         if verdict in (None, "doubt"):
                             known.update(words)
                     if long:
                         hosts[sites[row].as_py() or ""] += len(long)
-                    rows += [row] * len(strange)
-                    verdicts += ["strange"] * len(strange)
-                    found += strange
-                    sizes += [len(long)] * len(strange)
+                    for segment in strange:
+                        add(row, "strange", segment, "", [], len(long))
                 at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), sites.take(at), slugs.take(at), keys.take(at), pa.array(verdicts, pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int64())], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([ids.take(at).cast(pa.string()), sites.take(at), slugs.take(at), keys.take(at), pa.array(verdicts, pa.string()), pa.array(found, pa.string()), pa.array(signatures, pa.string()), pa.array(odds, strings), pa.array(sizes, pa.int64())], names=_NAMES)
                 if len(known) + len(hosts) > 500_000:  # bounds memory; the counts are summed up anyway
                     yield counts()
                     known.clear()
@@ -279,18 +331,22 @@ class TemplateResidue:
 
         return self.docs.mapInArrow(search, _FOUND)
 
-    def responses(self, doubts: DataFrame) -> DataFrame:
-        """Doubtful responses that several hosts give on pages they have nothing to do with."""
-        signature = F.udf(_signature, "string")
-        rows = doubts.withColumn("signature", signature("segment")).where("signature <> ''")
-        rows = rows.join(self.titles.select(F.col("key").cast("string").alias("title_key"), F.lower("title").alias("title")).dropDuplicates(["title_key"]), "title_key", "left")
+    def responses(self, suspects: DataFrame) -> DataFrame:
+        """Odd and doubtful segments that several hosts give on pages they have nothing to do with, and odd ones in the words of these."""
+        rows = suspects.where("signature <> ''")
+        titles = self.titles.select(F.col("key").cast("string").alias("title_key"), F.lower("title").alias("title")).where("title_key IS NOT NULL").groupBy("title_key").agg(F.min("title").alias("title"))
+        rows = rows.join(titles, "title_key", "left")
         words = F.filter(F.split("signature", " "), lambda w: F.length(w) > 3)
         about = F.concat_ws(" ", F.regexp_replace("slug", r"^[a-z]+://[^/]*", ""), "title")
         rows = rows.withColumn("meets", F.exists(words, lambda w: F.contains(about, w)))
         # a response is low in information if it comes again and again, whatever the page
-        seen = rows.groupBy("signature").agg(F.countDistinct("site").alias("sites"), F.countDistinct("id").alias("docs"), F.avg(F.when(F.col("meets"), 0.0).otherwise(1.0)).alias("mismatch"))
-        seen = seen.where((F.col("sites") >= self.hosts) & (F.col("docs") >= self.hosts) & (F.col("mismatch") >= self.mismatch))
-        return rows.join(seen.select("signature"), "signature", "left_semi")
+        seen = rows.groupBy("signature").agg(F.countDistinct("site").alias("sites"), F.countDistinct("id").alias("docs"), F.avg(F.when(F.col("meets"), 0.0).otherwise(1.0)).alias("mismatch"), F.first("odd").alias("words"))
+        seen = cut(seen.where((F.col("sites") >= self.hosts) & (F.col("docs") >= self.hosts) & (F.col("mismatch") >= self.mismatch)).select("signature", "words"))
+        spoken = cut(seen.select(F.explode("words").alias("word")).distinct())
+        again = join_small(rows, seen.select("signature"), ["signature"], how="left_semi", spread="id").select("id", "segment", "odd")
+        once = rows.where("NOT meets").select("id", "segment", "odd", F.explode("odd").alias("word"))
+        once = join_small(once, spoken, ["word"], how="left_semi", spread="id").select("id", "segment", "odd")
+        return again.unionByName(once)
 
     def strange(self, suspects: DataFrame, vocabulary: DataFrame, sizes: DataFrame) -> DataFrame:
         """Segments whose words the corpus hardly knows.
@@ -302,7 +358,7 @@ class TemplateResidue:
         hosts hold has no part in this. Rows without an address count as one host.
         """
         rows = suspects.withColumn("site", F.coalesce("site", F.lit(""))).groupBy("id", "site", "segment").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-        words = rows.select("id", "segment").distinct().select("id", "segment", F.explode(F.regexp_extract_all(F.lower("segment"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
+        words = rows.select("id", "segment").distinct().select("id", "segment", F.explode(F.regexp_extract_all(F.lower("segment"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
         known = vocabulary.groupBy(F.col("segment").alias("word")).agg(F.sum("n").alias("occurs")).where(F.col("occurs") >= self.known_from)
         counted = words.join(known, "word", "left").groupBy("id", "segment").agg(F.avg(F.when(F.col("occurs").isNotNull(), 1.0).otherwise(0.0)).alias("known"))
         unknown = cut(rows.join(counted.where(F.col("known") < self.known), ["id", "segment"]))
@@ -314,9 +370,11 @@ class TemplateResidue:
         return unknown.join(spared, ["id", "site"], "left_anti").select("id", "segment", "known").distinct()
 
     def findings(self) -> DataFrame:
-        """(id, verdict, segment) for every residue; a verdict by the corpus is `response` or `strange`."""
+        """(id, verdict, segment, hosted) for every residue; a verdict by the corpus is `response` or `strange`; hosted: the evidence of hosts finds it too."""
         suspects = cut(self.read())
-        certain = suspects.where(~F.col("verdict").isin("doubt", "strange", "word", "host")).select("id", "verdict", "segment")
-        responses = self.responses(suspects.where("verdict = 'doubt'")).select("id", F.lit("response").alias("verdict"), "segment")
-        strange = self.strange(suspects.where("verdict = 'strange'"), suspects.where("verdict = 'word'"), suspects.where("verdict = 'host'")).select("id", F.lit("strange").alias("verdict"), "segment")
-        return certain.unionByName(responses).unionByName(strange)
+        certain = suspects.where("verdict IN ('placeholder', 'filler', 'message', 'script')").select("id", "verdict", "segment", F.lit(False).alias("hosted"))
+        responses = self.responses(suspects.where("verdict NOT IN ('strange', 'word', 'host', 'placeholder')")).select("id", F.lit("response").alias("verdict"), "segment", F.lit(True).alias("hosted"))
+        strange = self.strange(suspects.where("verdict = 'strange'"), suspects.where("verdict = 'word'"), suspects.where("verdict = 'host'")).select("id", F.lit("strange").alias("verdict"), "segment", F.lit(False).alias("hosted"))
+        found = certain.unionByName(responses).unionByName(strange).groupBy("id", "segment")
+        # of several verdicts on a segment that of a detector counts
+        return found.agg(F.min(F.struct((F.col("verdict") == "response").alias("late"), "verdict")).alias("x"), F.max("hosted").alias("hosted")).select("id", "x.verdict", "segment", "hosted")

@@ -47,8 +47,8 @@ def test_residue_host_evidence_and_edges(spark):
 
 GATED = {
     "message": ["पृष्ठ नहीं मिला", "पेज नहीं मिला", "यह सेवा उपलब्ध नहीं है", "Upstream said HTTP 502: try later", "Upstream status 503 - try later", "StackTrace follows", "A NullPointer came up", "It stopped at a.b (c:12)", "Cause: internal-server error, bad gateway", "The system is down for planned work"],
-    "filler": ["See the text [paragraph 3] of the page", "See [para 3] of it", "A pre-test text stands in its place", "tbd-tbd-tbd"],
-    "placeholder": ["The fee (FIXME amount) is due", "The fee (TODO amount) is due", "XXX name XXX"],
+    "filler": ["A pre-test text stands in its place", "tbd-tbd-tbd"],
+    "placeholder": ["See the text [paragraph 3] of the page", "See [Para 3] of it", "The fee (FIXME amount) is due", "The fee (TODO amount) is due", "XXX name XXX"],
     "script": ["Please re-enable client-side scripting", "A script-capable viewer and a script-capable browser"],
     "doubt": ["A time-out", "The plug-in", "A re-try: retry"],
 }
