@@ -3,7 +3,7 @@
 Each snapshot is put in key order, cut into chunks at keys whose hash says so
 (content-defined, so an inserted row moves no later boundary), and every chunk
 gets a digest. Chunks equal in neighbouring snapshots are dropped whole; only
-the rows of the others are joined and classified.
+the rows of the others are put side by side and classified.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 64
-BUCKETS = 256
+#: Rows of all snapshots that one bucket of keys should hold: a task sorts them.
+BUCKET_ROWS = 500_000
 
 
 def normal_hash(value: Column) -> Column:
@@ -26,61 +27,52 @@ def normal_word(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
 
 
-def canonical_rows(snapshots: DataFrame, value: Column, buckets: int = BUCKETS) -> DataFrame:
-    """One row (snapshot_no, bucket, id, value) for each id of a snapshot.
+def canonical_rows(snapshots: DataFrame, value: Column, buckets: int) -> DataFrame:
+    """One row (snapshot_no, bucket, id, a, b) for each id of a snapshot, a and b being the digest of its value (128 bits).
 
     Of several rows for an id the one loaded last counts; of equally late ones
     the greatest value (null is the least). Rows without id or snapshot number
-    belong to no record and are left out.
+    belong to no record and are left out. Repeated rows of one id are combined
+    before the shuffle, so that no id is hot.
     """
-    key = F.lower("id")
-    rows = snapshots.select("snapshot_no", key.alias("id"), "loaded_at", value.alias("value")).where("id IS NOT NULL AND snapshot_no IS NOT NULL")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    rows = rows.repartition("snapshot_no", "bucket")  # serves the grouping, the window and the chunks below
-    last = F.max(F.struct("loaded_at", "value"))
-    return rows.groupBy("snapshot_no", "bucket", "id").agg(last.alias("last")).select("snapshot_no", "bucket", "id", F.col("last.value").alias("value"))
-
-
-def chunks_of(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Key-sorted rows as content-defined chunks with two 64-bit digests.
-
-    A chunk begins at a key whose hash is 0 modulo `chunk_rows` and is named
-    by it (the first chunk of a bucket by the empty text).
-    """
-    order = Window.partitionBy("snapshot_no", "bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.when(F.pmod(F.xxhash64(F.lit("cut"), "id"), F.lit(chunk_rows)) == 0, F.col("id"))
+    rows = snapshots.select("snapshot_no", F.lower("id").alias("id"), "loaded_at", value.alias("value")).where("id IS NOT NULL AND snapshot_no IS NOT NULL")
+    last = rows.groupBy("snapshot_no", "id").agg(F.max(F.struct("loaded_at", "value")).alias("last")).select("snapshot_no", "id", F.col("last.value").alias("value"))
     null, text = F.col("value").isNull(), F.coalesce("value", F.lit(""))
-    rows = rows.withColumn("start", F.coalesce(F.max(opens).over(order), F.lit("")))
-    return rows.groupBy("snapshot_no", "bucket", "start").agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("id", null, text)).alias("digest_a"),
-        F.bit_xor(F.xxhash64(text, F.lit("|"), "id", null)).alias("digest_b"),
-        F.collect_list(F.struct("id", "value")).alias("rows"),
-    )
+    return last.select("snapshot_no", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "id", F.xxhash64(null, text).alias("a"), F.xxhash64(text, F.lit("|"), null).alias("b"))
 
 
-def snapshot_changes(snapshots: DataFrame, value: Column, chunk_rows: int = CHUNK_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, value: Column, chunk_rows: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
     """Rows (snapshot_no, id, change_kind) for each delivered snapshot but the first.
 
     `snapshots` has snapshot_no, loaded_at, id and what `value` reads; other
     columns do not matter. Neighbours are delivered numbers, gaps are passed
     over. An empty table, or one with a single snapshot, gives no rows.
+
+    All snapshots of a bucket of keys come together in one shuffle; sorting,
+    chunking, the comparison of digests and that of rows follow in the same
+    task. A chunk begins at a key whose hash is 0 modulo `chunk_rows` and is
+    named by it (the first of a bucket by the empty text). Chunks whose digests
+    are equal in both snapshots are dropped before their rows are compared.
+    The number of buckets follows from the number of rows, if not given.
     """
-    chunks = chunks_of(canonical_rows(snapshots, value, buckets), chunk_rows)
-    numbers = snapshots.select("snapshot_no").where("snapshot_no IS NOT NULL").distinct()
-    follows = numbers.select("snapshot_no", F.lead("snapshot_no").over(Window.orderBy("snapshot_no")).alias("next_no"))
-    later = chunks.select(F.col("snapshot_no").alias("no"), "bucket", "start", F.struct("n", "digest_a", "digest_b").alias("new_sum"), F.col("rows").alias("new_rows"))
-    later = later.join(follows.select(F.col("next_no").alias("no")).where("no IS NOT NULL"), "no", "left_semi")
-    earlier = chunks.join(follows.where("next_no IS NOT NULL"), "snapshot_no").select(F.col("next_no").alias("no"), "bucket", "start", F.struct("n", "digest_a", "digest_b").alias("old_sum"), F.col("rows").alias("old_rows"))
-    unmatched = later.join(earlier, ["no", "bucket", "start"], "full").where(~F.col("new_sum").eqNullSafe(F.col("old_sum")))
-    sides = unmatched.select("no", F.explode(F.array(F.struct(F.lit(1).alias("new"), F.col("new_rows").alias("rows")), F.struct(F.lit(0).alias("new"), F.col("old_rows").alias("rows")))).alias("side"))
-    rows = sides.select("no", "side.new", F.explode("side.rows").alias("row")).select("no", "new", "row.id", "row.value")
-    # both sides of an id meet in one grouping instead of a second full join
-    both = rows.groupBy("no", "id").agg(
-        F.max("new").alias("highest"),
-        F.min("new").alias("lowest"),
-        F.max(F.when(F.col("new") == 1, F.struct("value"))).alias("new_value"),
-        F.max(F.when(F.col("new") == 0, F.struct("value"))).alias("old_value"),
-    )
-    kind = F.when(F.col("lowest") == 1, "added").when(F.col("highest") == 0, "removed").when(~F.col("new_value.value").eqNullSafe(F.col("old_value.value")), "changed")
+    spark = snapshots.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        buckets = max(4 * width, snapshots.count() // BUCKET_ROWS)
+    rows = canonical_rows(snapshots, value, buckets)
+    rows = rows.repartition("bucket") if buckets <= 4 * width else rows.repartition(buckets, "bucket")
+    order = Window.partitionBy("bucket", "snapshot_no").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.when(F.pmod(F.xxhash64(F.lit("cut"), "id"), F.lit(chunk_rows)) == 0, F.col("id"))
+    rows = rows.withColumn("start", F.coalesce(F.max(opens).over(order), F.lit("")))
+    numbers = snapshots.select("snapshot_no").where("snapshot_no IS NOT NULL").distinct()  # one row a snapshot
+    by_number = Window.orderBy("snapshot_no")
+    follows = numbers.select("snapshot_no", F.lag("snapshot_no").over(by_number).alias("last_no"), F.lead("snapshot_no").over(by_number).alias("next_no"))
+    # a row is new in its own snapshot and old in the next one
+    roles = F.array(F.struct(F.lit(True).alias("new"), F.when(F.col("last_no").isNotNull(), F.col("snapshot_no")).alias("no")), F.struct(F.lit(False).alias("new"), F.col("next_no").alias("no")))
+    rows = rows.join(F.broadcast(follows), "snapshot_no").select("bucket", "start", "id", "a", "b", F.explode(roles).alias("x")).select("bucket", "start", "id", "a", "b", "x.*").where("no IS NOT NULL")
+    digest = lambda new: F.struct(F.count_if(F.col("new") == new), F.bit_xor(F.when(F.col("new") == new, F.xxhash64("id", "a", "b"))), F.bit_xor(F.when(F.col("new") == new, F.xxhash64("b", F.lit("|"), "id", "a"))))
+    chunks = rows.groupBy("bucket", "no", "start").agg(digest(True).alias("new_sum"), digest(False).alias("old_sum"), F.collect_list(F.struct("new", "id", "a", "b")).alias("rows"))
+    unmatched = chunks.where(~F.col("new_sum").eqNullSafe(F.col("old_sum"))).select("bucket", "no", F.explode("rows").alias("x")).select("bucket", "no", "x.*")
+    both = unmatched.groupBy("bucket", "no", "id").agg(F.count("*").alias("n"), F.bool_or("new").alias("new"), (F.min(F.struct("a", "b")) != F.max(F.struct("a", "b"))).alias("differs"))
+    kind = F.when(F.col("n") == 2, F.when(F.col("differs"), "changed")).when(F.col("new"), "added").otherwise("removed")
     return both.select(F.col("no").alias("snapshot_no"), "id", kind.alias("change_kind")).where("change_kind IS NOT NULL")
