@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.template_residue import hinted, judge, segments
+from docketry.llm.template_residue import SHORT, hinted, judge, segments
 from docketry.runtime import cut, join_small
 
 # ---- fixed values: lines that name their function on a page, whole lines without bullets and end marks ----
@@ -81,7 +81,7 @@ _FIRST = frozenset(
     " comment comments related see quick in latest most you on popular read posted published updated last site visitor visitors visitors: best powered document © (c) copyright terms privacy"
     " accessibility hyperlinking imprint legal disclaimer sitemap back reproduction beware need".split()
 )
-_WITHIN = ("cookie", "témoins de conn", "small files", "rights reserved", "liability", "courtesy trans", "hard of hearing", "visits", "views", "choices", "stimmen", "previous")
+_WITHIN = re.compile("cookie|témoins de conn|small files|rights reserved|liability|courtesy trans|hard of hearing|visits|views|choices|stimmen|previous")
 _LISTED = re.compile(r"(?:[a-z]{2} ){2}|\d+ \d", re.I)
 _MENU_WORDS = frozenset(w for x in _MENU for w in x.split()) | {"(0)"}
 _MENU_LONGEST = sorted(_MENU, key=len, reverse=True)
@@ -107,7 +107,7 @@ def _bare_key(key: str) -> str:
 
 def _own(text: str, lower: str) -> bool:
     """The line names its function."""
-    return (lower.split(" ", 1)[0].rstrip(":") in _FIRST or _LISTED.match(text) is not None or any(x in lower for x in _WITHIN)) and _OWN.fullmatch(text) is not None
+    return (text.split(" ", 1)[0].lower().rstrip(":") in _FIRST or _LISTED.match(text) is not None or _WITHIN.search(lower) is not None) and _OWN.fullmatch(text) is not None
 
 
 def _label(text: str) -> bool:
@@ -150,7 +150,8 @@ def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
     flat = " ".join(line.split())
     bare = flat.lstrip(_START_MARKS).rstrip(_END_MARKS) or flat
     lower = flat.lower()
-    key = _bare_key(_NUMBERS.sub("0", lower)) or lower
+    plain = _NUMBERS.sub("0", lower)
+    key = _bare_key(plain) or lower
     m = _BULLET.match(line)
     mark = m.group(1) if m else ""
     core = line[m.end() :] if m else line
@@ -158,12 +159,12 @@ def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
     joined = _PARTS.search(core) if _JOIN.search(core) else None
     parts = [x for x in _PARTS.split(core)[::2] if x] if joined else []
     cells = tuple(_hash(_bare_key(_NUMBERS.sub("0", " ".join(p.lower().split()))), 1) for p in parts) if len(parts) > 1 else ()
-    words, end = len(bare.split()), flat[-1]
-    digits = any(map(str.isdigit, bare))
+    tokens, end = bare.lower().split(), flat[-1]
+    words, digits = len(tokens), "0" in plain
     style = "|".join((mark[-1:] if mark[:1].isdigit() else mark, (joined.group(1).strip() or "_") if cells else "", str(min(len(cells), 4)), "d" if digits else "", end if end in ".?!।:" else "", str(min(words, 4) if words < 8 else 8), "U" if bare.isupper() else "T" if bare[:1].isupper() else "t" if bare[:1].islower() else ""))
     opening = f"{' '.join(key.split()[:2])}|{end if end in '.?!।:' else ''}"
     flags = 0
-    if _own(bare, bare.lower()) or _is_menu(line, bare, parts):
+    if _own(bare, lower) or (words <= 3 or len(parts) >= 3 or tokens[0] in _MENU_WORDS) and _is_menu(line, bare, parts):
         flags |= PRIOR
         if _BOX.fullmatch(bare):
             flags |= BOX_HEAD
@@ -173,7 +174,7 @@ def features(line: str) -> tuple[int, int, tuple[int, ...], int, int, str]:
         flags |= NUMBERED
     if cells:
         flags |= JOINED
-    if hinted(lower) and any(judge(x) not in (None, "strange", "doubt") for x in segments(line) if hinted(x.lower())):
+    if hinted(lower) and any(len(x.split()) <= 2 * SHORT and judge(x) not in (None, "strange", "doubt") for x in segments(line) if hinted(x.lower())):
         flags |= RESIDUE
     return _hash(key, 1), _hash(opening, 2), cells, _hash(style, 3), flags, mark
 
@@ -287,11 +288,11 @@ class StyleTree:
             rows = join_small(join_small(rows, self.wide, ["node"], how="left", spread="pid"), local, ["site", "node"], how="left", spread="pid")
             return rows.withColumn("hit", F.coalesce("wide", "local", F.lit(False)))
 
-        lines = repeated(read.select("pid", "site", "cell_at", F.posexplode("line").alias("i", "node"))).withColumn("joined", F.array_contains("cell_at", F.col("i")))
+        lines = read.select("pid", "site", "flags", F.posexplode("line").alias("i", "node")).withColumn("joined", F.get("flags", F.col("i")).bitwiseAND(JOINED) > 0).drop("flags")
         cells = repeated(read.select("pid", "site", F.explode(F.arrays_zip("cell_at", "cell")).alias("x")).select("pid", "site", F.col("x.cell_at").alias("i"), F.col("x.cell").alias("node")))
-        joined = lines.where("joined").select("pid", "i", F.col("hit").alias("whole"), F.lit(None).cast("int").alias("part")).unionByName(cells.select("pid", "i", F.lit(None).cast("boolean").alias("whole"), F.col("hit").cast("int").alias("part")))
+        joined = repeated(lines.where("joined")).select("pid", "i", F.col("hit").alias("whole"), F.lit(None).cast("int").alias("part")).unionByName(cells.select("pid", "i", F.lit(None).cast("boolean").alias("whole"), F.col("hit").cast("int").alias("part")))
         joined = joined.groupBy("pid", "i").agg(F.max("whole").alias("whole"), F.avg("part").alias("part")).where("NOT whole AND part < 0.66")
-        new = lines.where("NOT joined AND NOT hit").select("pid", "i").unionByName(joined.select("pid", "i")).groupBy("pid").agg(F.min("i").alias("first_new"), F.max("i").alias("last_new"))
+        new = repeated(lines.where("NOT joined")).where("NOT hit").select("pid", "i").unionByName(joined.select("pid", "i")).groupBy("pid").agg(F.min("i").alias("first_new"), F.max("i").alias("last_new"))
         return read.join(new, "pid", "left")
 
     def _lines(self) -> DataFrame:
@@ -299,7 +300,7 @@ class StyleTree:
         at = lambda column, shift: F.get(column, F.col("i") + shift)
         rows = self.pages.select("*", F.posexplode("line").alias("i", "node"))
         return rows.select("id", "pid", "site", "i", "node", at("line_no", 0).alias("line_no"), at("opening", 0).alias("opening"), at("style", 0).alias("style"), at("flags", 0).alias("flags"),
-                           at("line", 1).alias("next"), at("flags", 1).alias("next_flags"), at("line", -1).alias("before"), _framed_at(F.col("i")).alias("framed"), F.array_contains("cell_at", F.col("i")).alias("joined"))
+                           at("line", 1).alias("next"), at("flags", 1).alias("next_flags"), at("line", -1).alias("before"), _framed_at(F.col("i")).alias("framed"))
 
     def _cells(self) -> DataFrame:
         """One row a cell of the lines that have several."""
@@ -316,16 +317,18 @@ class StyleTree:
         # what a host says on many pages and hardly any other host says
         spread = self.local.groupBy("node").agg(_entropy(F.col("n")).alias("over_hosts")).where(F.col("over_hosts") <= own_entropy * math.log(max(2, self.hosts)))
         own = self.local.where(F.col("n") >= own_share * F.col("pages")).join(spread, "node", "left_semi").select("site", "node")
-        self.low_site = cut(seen.groupBy("site", "node").agg(*held).where(low).select("site", "node").unionByName(own).distinct().withColumn("low_site", F.lit(True)))
-        framed = seen.groupBy("node").agg(*held).where(low).select("node")
+        seen = cut(seen.groupBy("site", "node").agg(*held))
+        self.low_site = cut(seen.where(low).select("site", "node").unionByName(own).distinct().withColumn("low_site", F.lit(True)))
+        framed = seen.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("n", "hits")], F.max("residue").alias("residue")).where(low).select("node")
         # lines repeated all over the corpus: what stands next to them
         wide = join_small(lines, self.wide, ["node"], spread="pid").where(~residue)
-        counted = wide.groupBy("node").agg(F.count("*").alias("n"))
+        titles = F.col("flags").bitwiseAND(TITLED) > 0
+        phrases = (F.coalesce("next_flags", F.lit(0)).bitwiseAND(PHRASE) > 0).cast("long")
+        counted = cut(wide.groupBy("node").agg(F.count("*").alias("n"), F.count_if(titles).alias("titled"), F.sum(F.when(titles, phrases)).alias("titles"), F.approx_count_distinct(F.when(titles, F.col("next"))).alias("kinds")))
         beside = wide.select("node", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("next").alias("other")), F.struct(F.lit(0).alias("side"), F.col("before").alias("other")))).alias("x")).select("node", "x.*").where("other IS NOT NULL")
         beside = join_small(beside, self.wide.withColumnRenamed("node", "other"), ["other"], how="left_semi").groupBy("node", "side", "other").agg(F.count("*").alias("together"))
         bound = beside.groupBy("node").agg(F.max("together").alias("together")).join(counted, "node").where((F.col("n") >= self.often) & (F.col("together") >= F.col("n") * fixed)).select("node")
-        titled = wide.where(F.col("flags").bitwiseAND(TITLED) > 0).groupBy("node").agg(F.count("*").alias("n"), F.sum((F.coalesce("next_flags", F.lit(0)).bitwiseAND(PHRASE) > 0).cast("long")).alias("titles"), F.approx_count_distinct("next").alias("kinds"))
-        self.heads = cut(titled.where((F.col("n") >= self.often) & (_surely(F.col("n"), F.col("titles")) >= 0.8) & (F.col("kinds") >= kinds)).select("node"))
+        self.heads = cut(counted.where((F.col("titled") >= self.often) & (_surely(F.col("titled"), F.col("titles")) >= 0.8) & (F.col("kinds") >= kinds)).select("node"))
         self.low_any = cut(framed.unionByName(bound).unionByName(self.heads).distinct().withColumn("low_any", F.lit(True)))
 
     def _low(self, rows: DataFrame, node: str) -> DataFrame:
@@ -333,15 +336,19 @@ class StyleTree:
         rows = join_small(rows, self.low_site.withColumnRenamed("node", node), ["site", node], how="left", spread="pid")
         return rows.withColumn(f"low_{node}", F.coalesce("low_any", "low_site", F.lit(False))).drop("low_any", "low_site")
 
-    def _judged(self) -> DataFrame:
-        """(id, site, line_no, style, flags, low) of every line by its own node, its opening and its cells."""
+    def _judged(self) -> tuple[DataFrame, DataFrame]:
+        """(id, site, line_no, style, flags, low) of the lines of one cell, by their own nodes and openings, and of the joined ones, by their cells too."""
         names = ["id", "site", "line_no", "style", "flags"]
-        lines = self._low(self._low(self._lines().select("pid", *names, "node", "opening", "joined"), "node"), "opening")
         own = F.col("low_node") | F.col("low_opening")
+
+        def lines(joined: bool) -> DataFrame:
+            rows = self._lines().where((F.col("flags").bitwiseAND(JOINED) > 0) == joined)
+            return self._low(self._low(rows.select("pid", *names, "node", "opening"), "node"), "opening")
+
         cells = self._low(self._cells(), "node").select(*names, F.lit(None).cast("boolean").alias("whole"), F.col("low_node").cast("int").alias("part"))
-        joined = lines.where("joined").select(*names, own.alias("whole"), F.lit(None).cast("int").alias("part")).unionByName(cells)
+        joined = lines(True).select(*names, own.alias("whole"), F.lit(None).cast("int").alias("part")).unionByName(cells)
         joined = joined.groupBy(*names).agg(F.max("whole").alias("whole"), F.avg("part").alias("part"))
-        return lines.where("NOT joined").select(*names, own.alias("low")).unionByName(joined.select(*names, (F.col("whole") | (F.col("part") >= 0.6)).alias("low")))
+        return lines(False).select(*names, own.alias("low")), cut(joined.select(*names, (F.col("whole") | (F.col("part") >= 0.6)).alias("low")))
 
     def _entries(self) -> DataFrame:
         """(id, line_no) of the entries of link boxes; their heads are few, under the nodes of a mean page / share."""
@@ -362,14 +369,14 @@ class StyleTree:
         return self.pages.select("id", "line", "flags", "mark", "line_no").mapInArrow(read, "id string, line_no int")
 
     def _found(self, styled: float) -> DataFrame:
-        judged = self._judged()
+        single, joined = self._judged()
         # presentation nodes have the importance of what stands below them; rare ones of a host that of all hosts
-        counted = cut(judged.where(F.col("flags").bitwiseAND(JOINED) > 0).groupBy("site", "style").agg(F.count("*").alias("n"), F.sum(F.col("low").cast("long")).alias("hits")))
+        counted = cut(joined.groupBy("site", "style").agg(F.count("*").alias("n"), F.sum(F.col("low").cast("long")).alias("hits")))
         every = counted.groupBy("style").agg(F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"))
         by_site, by_all = _surely(F.col("n"), F.col("hits")), _surely(F.col("all_n"), F.col("all_hits"))
         judge_by = F.when(F.col("n") >= self.often, by_site).when(F.col("all_n") >= self.often, by_all)
         styles = cut(counted.join(every, "style").where(judge_by >= styled).select("site", "style", F.lit(True).alias("low_style")))
-        lines = join_small(judged, styles, ["site", "style"], how="left", spread="id")
+        lines = single.withColumn("low_style", F.lit(None).cast("boolean")).unionByName(join_small(joined, styles, ["site", "style"], how="left", spread="id"))
         residue = F.col("flags").bitwiseAND(RESIDUE) > 0
         arm = F.when(residue, None).when(F.col("low"), "node").when(F.col("low_style"), "presentation")
         lines = lines.select("id", "line_no", (F.col("flags").bitwiseAND(PRIOR) > 0).alias("prior"), arm.alias("tree")).where("prior OR tree IS NOT NULL")

@@ -151,6 +151,10 @@ _HINTS = frozenset(
     " http status stacktrace nullpointer down para paragraph"
     " nothing editor server database firewall session timeout time-out reload retry frame plugin plug-in cache administrator incident token proxy captcha not".split()
 ) - {"not"}
+#: Of these a pattern needs a second word as well.
+_WEAK = frozenset("closed lost refused exception record work example sample".split())
+_STRONG = _HINTS - _WEAK
+_BESIDE = frozenset("connection uncaught address planned scheduled down text content copy word words paragraph heading title".split())
 _UNKNOWN = re.compile(r"\W*\?{3,}\W*")
 _SIGNS = re.compile(r"[\[{<@_%#]|&lt;|XXX|\([TF]")
 _STARTS = re.compile(r"\W*(?:(?:http|error|status|code|at)\b|[45]\d\d\b)|\[para", re.I)
@@ -169,7 +173,12 @@ def _hinted(segment: str, words: list[str], letters: list[str]) -> bool:
 
 def hinted(lower: str) -> bool:
     """Cheap: a line (in lower case) that lacks this is none of the residues, but for those of unlisted words."""
-    return _SIGNS.search(lower) is not None or "xxx" in lower or "(to" in lower or "(fix" in lower or not _HINTS.isdisjoint(lower.translate(_BREAKS).split()) or any(x in lower for x in _HINDI)
+    if _SIGNS.search(lower) is not None or "xxx" in lower or "(to" in lower or "(fix" in lower:
+        return True
+    words = lower.translate(_BREAKS).split()
+    if not _HINTS.isdisjoint(words):
+        return not _STRONG.isdisjoint(words) or not _BESIDE.isdisjoint(words)
+    return not lower.isascii() and any(x in lower for x in _HINDI)
 
 
 def segments(text: str) -> Iterator[str]:
