@@ -41,12 +41,18 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"site": pdf.site.iloc[0], "node": list(support), "n": list(support.values()), "block": [find(x) for x in support]})
 
 
+def _version(text: Column, site: Column) -> Column:
+    """What one of several rows under an id is chosen by."""
+    return F.struct(F.when(text.isNotNull(), F.xxhash64(text)).alias("text"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"))
+
+
 class SiteLines:
     """The repeated lines of `docs`, found when the object is made.
 
     `id_col`, `text_col` name columns of docs, `site` is an expression on it; any
     other columns are ignored. A row whose id, text or site is null holds no
-    lines. If rows of one id differ, the least (site, lines) counts.
+    lines. If rows of one id differ, one version counts, the one whose site and text
+    have the least hash (a null the least of all); `cleaned` takes the same one.
     A line is repeated if at least `share` of its site's distinct ids and at
     least `least` of them hold it.
 
@@ -54,9 +60,10 @@ class SiteLines:
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, site: Column, share: float = SHARE, least: int = LEAST, edge_share: float = 0.5):
-        held = docs.select(F.col(id_col).alias("id"), site.alias("site"), line_hashes(F.col(text_col)).alias("lines")).where("id IS NOT NULL AND site IS NOT NULL")
+        self.site = site
+        held = docs.select(F.col(id_col).alias("id"), _version(F.col(text_col), site).alias("version"), site.alias("site"), line_hashes(F.col(text_col)).alias("lines")).where("id IS NOT NULL")
         # only the lines' hashes are shuffled, never the texts; a repeated delivery falls together here
-        self.held = cut(held.groupBy("id").agg(F.min(F.struct("site", "lines")).alias("x")).select("id", "x.site", "x.lines"))
+        self.held = cut(held.groupBy("id").agg(F.min(F.struct("version", "site", "lines")).alias("x")).select("id", "x.site", "x.lines").where("site IS NOT NULL"))
         sizes = self.held.groupBy("site").agg(F.count("*").alias("ids"))
         nodes = self.held.select("site", F.explode(F.array_distinct("lines")).alias("k")).where("k IS NOT NULL").groupBy("site", F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
         nodes = cut(nodes.join(sizes, "site").where(F.col("n") >= F.col("ids") * share).select("site", "a", "b", "n"))
@@ -81,6 +88,6 @@ class SiteLines:
     def cleaned(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, clean_text, lines_removed) for each distinct id of docs, null texts as they are."""
         gone = self.occurrences.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-        texts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+        texts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min_by(text_col, _version(F.col(text_col), self.site)).alias("text"))
         kept = F.filter(F.split("text", "\n"), lambda _, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
         return texts.join(gone, "id", "left").select("id", F.array_join(kept, "\n").alias("clean_text"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed"))

@@ -147,3 +147,12 @@ def test_rows_that_differ_under_one_id_are_read_and_cleaned_alike(spark):
     df = spark.createDataFrame(rows, "id string, text string, site string")
     main = {r.id: r.main_text for r in StyleTree(df).main_content(df).collect()}
     assert main["two"] in ("The body of one version is this.", "The body of the other version is that.")
+
+
+def test_cleaned_takes_the_row_that_was_read(spark):
+    tail = ("https://s.x/a", "s", "l", 1)
+    rows = [(f"d{i}", f"{'abcdefghijkl'[i] * 5} alone\nShare this page", *tail) for i in range(12)]
+    rows += [("two", "Share this page\nBody of one version", *tail), ("two", "Body of the other version\nShare this page", *tail)]
+    op, df = lines_of(spark, rows)
+    clean = {r.id: r.clean_text for r in op.cleaned(df, "id", "t").collect()}
+    assert clean["two"] in ("Body of one version", "Body of the other version")
