@@ -23,7 +23,7 @@ from docketry.runtime import cut
 CAPACITY = 2048
 #: Pieces that one task packs, about: its open bins must fit in memory.
 TASK_PIECES = 20_000
-#: A source or cluster with more pieces than this share of the containers needed is not kept apart.
+#: Of a source or cluster with more pieces than this share of the containers needed only so many are kept apart.
 APART = 0.5
 CLUSTER_BITS = 1024
 
@@ -101,8 +101,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, source_col: str, capacity:
     take no space: their container is null. Repeated rows are packed like any
     others, and a null source never conflicts. The duplicate cluster of a text
     is the hash of its words in lower case. Copies do not share a container,
-    unless they are so many that keeping them apart would cost containers (more
-    pieces than APART times the containers needed); texts of one source are kept
+    unless they are so many that keeping them apart would cost containers: of more
+    pieces than APART times the containers needed the excess is free; texts of one source are kept
     apart as long as that opens no further container. An empty table gives no rows.
     """
     words = F.trim(F.regexp_replace(F.lower(text_col), r"(?U)\s+", " "))
@@ -115,8 +115,10 @@ def pack(docs: DataFrame, id_col: str, text_col: str, source_col: str, capacity:
     # Of a source or cluster beyond the share there are at most capacity / (APART * mean size of a piece): a bound to broadcast by.
     often = (total or 0) / capacity * APART
     for k in ("source", "cluster"):
-        tied = pieces.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n")).where(F.col("n") > often).select(k, F.lit(True).alias("free"))
-        pieces = pieces.join(F.broadcast(tied), k, "left").withColumn(k, F.when(F.col("free").isNull(), F.col(k))).drop("free")
+        tied = pieces.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n")).where(F.col("n") > often)
+        # as many of its pieces as fit keep their conflict, the excess is free
+        freed = F.col("n").isNotNull() & (F.pmod(F.xxhash64("id", "piece", F.lit(k), F.monotonically_increasing_id()), F.col("n")) >= often)
+        pieces = pieces.join(F.broadcast(tied), k, "left").withColumn(k, F.when(~freed, F.col(k))).drop("n")
     # spread by row number, which no hot id or text can gather; it is stable, as the rows are read from a checkpoint
     task = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)).cast("int")
     placed = pieces.withColumn("task", task).select("task", "id", "piece", "size", "source", "cluster").repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.desc("size"), "id", "piece")
