@@ -160,16 +160,17 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
         yield "name", start, end, False, [t.lower() for w in words if not w.endswith(".") for t in w.split("-")]
 
 
-_BITS = 1 << 22  # of the filter that goes to every worker: 512 KB, whatever the data
+#: Bits of the filter that goes to every worker: 512 KB at least, 32 MB at most, whatever the data.
+_LEAST_BITS, _MOST_BITS = 1 << 22, 1 << 28
 
 
-def _bits(token: str) -> tuple[int, int]:
+def _bits(token: str, size: int) -> tuple[int, int]:
     h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
-    return h % _BITS, (h >> 32) % _BITS
+    return h % size, (h >> 32) % size
 
 
 def known_runs(text: str, known) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of two to four known name parts, in any case; a shortened middle name may stand between."""
+    """Runs of two and more known name parts, in any case; a shortened middle name may stand between. A run of several names without a mark between them is one."""
     run: list[re.Match] = []
     last = None
 
@@ -179,7 +180,7 @@ def known_runs(text: str, known) -> Iterator[tuple[int, int, list[str]]]:
         full = [m for m in run if not _short(text, m)]
         if _ADDRESSED.match(text, run[-1].end()) or text[max(0, run[0].start() - 1) : run[0].start()] in ("@", "_", "."):
             return None  # part of an e-mail address
-        if 2 <= len(full) <= 4 and not _short(text, run[0]) and not _short(text, run[-1]):
+        if len(full) >= 2 and not _short(text, run[0]) and not _short(text, run[-1]):
             return run[0].start(), run[-1].end(), [m.group().lower() for m in full]
         return None
 
@@ -217,15 +218,15 @@ def _short(text: str, m: re.Match) -> bool:
 class _Seen(dict):
     """word -> whether the filter knows it, filled as words come up."""
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, bits: bytes):
         super().__init__()
-        self.bits = bits
+        self.bits, self.size = bits, 8 * len(bits)
 
     def __missing__(self, token: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        a, b = _bits(token)
-        found = self[token] = bool(self.bits[a] and self.bits[b])
+        a, b = _bits(token, self.size)
+        found = self[token] = bool(self.bits[a >> 3] >> (a & 7) & 1 and self.bits[b >> 3] >> (b & 7) & 1)
         return found
 
 
@@ -233,7 +234,8 @@ class Details:
     """Personal details in the text columns of `rows`, found when the object is made.
 
     `fields` maps field names to columns. Rows with null id and null texts hold
-    none; empty texts neither; a row delivered twice is found once. `offices`
+    none; empty texts neither; a row delivered twice is found once, and of texts that
+    differ under one id one is read. `offices`
     (email, phone, address) lists public contacts, which are no details however
     they are written: a reference table of a fixed size, at most OFFICES rows.
     found: (id, field_name, kind, start_pos, end_pos).
@@ -245,6 +247,10 @@ class Details:
         self.special = special
         self.rounds, self.share, self.least, self.score = rounds, pattern_share, pattern_least, instance_score
         self.texts = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("field_name"), c.alias("text")) for k, c in fields.items()])).alias("x")).select("id", "x.*").where("text IS NOT NULL AND text <> ''")
+        # of texts that differ under one id the one with the least hash counts, for finding and masking alike
+        version = F.xxhash64("text")
+        several = cut(self.texts.groupBy("id", "field_name").agg(F.min(version).alias("kept"), F.max(version).alias("most")).where("kept <> most").select("id", "field_name", "kept"))
+        self.texts = join_small(self.texts, several, ["id", "field_name"], how="left", spread="text").where(F.col("kept").isNull() | (version == F.col("kept"))).drop("kept")
         listed = offices.select("email", "phone", "address").limit(self.OFFICES + 1).collect()
         assert len(listed) <= self.OFFICES, "the list of offices is a bounded reference table"
         self.offices = {"email": frozenset(email_key(r.email) for r in listed if r.email), "phone": frozenset(phone_key(r.phone) for r in listed if r.phone), "address": frozenset(address_key(r.address) for r in listed if r.address)}
@@ -316,13 +322,22 @@ class Details:
         return scores, known
 
     def _filter(self, names: DataFrame) -> np.ndarray:
-        """A fixed-size bit filter of the known name parts; it only proposes, an exact join follows."""
-        places = F.udf(lambda t: list(_bits(t)), "array<int>")
-        bits = np.zeros(_BITS, dtype=bool)
-        found = names.select(F.explode(places("instance")).alias("bit")).distinct()  # at most _BITS rows
-        for batch in found.toArrow().to_batches():
-            bits[batch.column(0).to_numpy()] = True
-        return np.packbits(bits)
+        """A bit filter of the known name parts, 16 bits a part within its bounds; it only proposes, an exact join follows."""
+        size = _LEAST_BITS
+        count = names.count()
+        while size < _MOST_BITS and size < 16 * count:
+            size *= 2
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x for t in batch.column(0).to_pylist() for x in _bits(t, size)], pa.int32())], names=["bit"])
+
+        # whole words of the filter come back: at most size / 32
+        words = names.select("instance").mapInArrow(places, "bit int").groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 31)")).alias("bits"))
+        packed = np.zeros(size // 32, dtype="<u4")
+        for batch in words.toArrow().to_batches():
+            packed[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype("<u4")
+        return packed
 
     def _names(self) -> DataFrame:
         """Runs of known name parts in all texts."""
@@ -330,8 +345,7 @@ class Details:
         shared = self.texts.sparkSession.sparkContext.broadcast(self._filter(names).tobytes())
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-            seen = _Seen(bits)
+            seen = _Seen(shared.value)
             known = seen.__getitem__
 
             for batch in batches:

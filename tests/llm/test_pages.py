@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,52 @@ def test_details(spark):
 
 def test_keys():
     assert phone_key("00999 2016 0100") == phone_key("+999-2016-0100") and email_key("A [at] b [dot] c") == "a@b.c"
+
+
+def test_long_runs_of_names_and_texts_that_differ_under_one_id(spark):
+    names = ["Quelana Jorwick", "Rusavi Tavmora", "Naravi Thalwick", "Sevika Jorwick"]
+    rows = [(i, f"My name is {names[i % 4]}. The fee is 12.50 crowns.", None) for i in range(12)]
+    rows += [(20 + i, f"the booklet of my son {names[i]} was never sent", "") for i in range(4)]
+    rows += [(50, "it is Quelana Rusavi Naravi Sevika Jorwick Tavmora Thalwick who came", None)]
+    rows += [(51, "call me at once please", None), (51, "to me at a.b@c.example please", None)]
+    op = details(spark, rows)
+    assert [(r.start_pos, r.end_pos) for r in op.found.where("id = 50").collect()] == [(6, 59)]
+    masked = {r.masked_text for r in op.masked().where("id = 51").collect()}
+    assert masked in ({"call me at once please"}, {"to me at [EMAIL] please"})
+
+
+@pytest.mark.parametrize("text", ["{{" + "x" * 61 + "}}", "${" + "y" * 200 + "}", "[insert " + "z " * 80 + "here]", "@@" + "a" * 90 + "@@", "<%= " + "b" * 90 + " %>"])
+def test_placeholders_of_any_length(text):
+    assert judge(f"The fee is {text} here.") == "placeholder"
+
+
+def test_filler_with_accents_is_strange():
+    assert judge("dolorém quandis tétura vitaro sulta ménsa pasquil") == "strange"
+    assert judge("आवेदन के लिए दो फ़ोटो और पुराना पासपोर्ट साथ लाना होता है") is None
+
+
+WORDS = "the fee is paid at the counter before the visit and the form is kept with the letter of the office".split()
+
+
+def test_responses_by_hosts_without_lists(spark):
+    """Replies in wordings that no list holds: rare words, several hosts, nothing in common with slug and title."""
+    rows = [(f"t{i}", f"It is said that {' '.join(WORDS[i % 7 : i % 7 + 9])} {i}.", f"https://h{i % 8}.x/visa-fee", "s") for i in range(3000)]
+    rows += [(f"r{i}", f"Zorp kelled, brint again.\nIt is said that the fee is paid at the counter before the visit {i}.", f"https://h{i}.x/visa-fee", "s") for i in range(3)]
+    rows += [("one", "Zorp kelled.", "https://h5.x/visa-fee", "s")]
+    rows += [(f"slug{i}", "Quimb varding.", f"https://h{i}.x/quimb", "s") for i in range(3)] + [(f"same{i}", "Plov untel.", "https://h7.x/y", "s") for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, t string, u string, k string")
+    titles = spark.createDataFrame([("s", "Visa")], "key string, title string")
+    found = TemplateResidue(df, "id", "t", "u", "k", titles, prior=False).findings().collect()
+    # what the slug names, and what one host alone says, is no response
+    assert {r.id for r in found} == {"r0", "r1", "r2", "one"} and {r.verdict for r in found} == {"response"}
+
+
+def test_spam_without_lists_is_stitched_from_phrases_of_other_hosts(spark):
+    random.seed(2)
+    terms = [f"{a} {b}" for a in ("fast", "cheap", "best", "urgent") for b in ("visa", "stamp", "photo", "slot")]
+    run = lambda: " ".join(random.choices(terms, k=60))
+    links = lambda: "\n".join(f"{t} -> https://{t[0]}{k}.example" for k, t in enumerate(random.sample(terms, 8)))
+    rows = [(i, run() if i % 2 else links(), f"h{i}") for i in range(8)]
+    rows += [(100, "\n".join(f"own{k} thing -> https://o{k}.example" for k in range(8)), "h1"), (101, "The fee is paid at the counter. It is kept with the form.\nfast visa -> https://a.example", "h2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.id for r in spam_pages(df, "doc_id", "text", "source", prior=False).collect()} == set(range(8))
