@@ -198,7 +198,7 @@ def list_evidence(docs: DataFrame, id_col: str, text_col: str, host_col: str, pr
     """(id, host, total, parts) of each page that has list parts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_type = pa.list_(pa.struct([("size", pa.int32()), ("own", pa.bool_()), ("phrases", pa.list_(pa.int64()))]))
+        part_type = pa.list_(pa.struct([("size", pa.int32()), ("own", pa.bool_()), ("phrases", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64()))]))
         for batch in batches:
             rows, totals, parts = [], [], []
             for row, text in enumerate(batch.column(2)):
@@ -206,13 +206,13 @@ def list_evidence(docs: DataFrame, id_col: str, text_col: str, host_col: str, pr
                 if found:
                     rows.append(row)
                     totals.append(total)
-                    parts.append([{"size": size, "own": own, "phrases": sorted(map(_hash, p))} for size, own, p in found])
+                    parts.append([{"size": size, "own": own, "phrases": sorted(map(_hash, p)), "firsts": sorted(map(_hash, {x.partition(" ")[0] for x in p}))} for size, own, p in found])
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(totals, pa.int32()), pa.array(parts, part_type)], names=["id", "host", "total", "parts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(read, f"id {kind}, host string, total int, parts array<struct<size int, own boolean, phrases array<bigint>>>")
+    return rows.mapInArrow(read, f"id {kind}, host string, total int, parts array<struct<size int, own boolean, phrases array<bigint>, firsts array<bigint>>>")
 
 
 _BITS = 1 << 22  # of the filter that goes to every worker: 512 KB, whatever the data
@@ -220,22 +220,58 @@ _KEPT = 100_000  # pieces of text whose shingles a worker keeps at a time
 
 
 def _bits(wanted: DataFrame) -> bytes:
-    """The filter of the hashes `phrase`, collected in at most _BITS / 32 rows."""
-    places = F.array(F.col("phrase").bitwiseAND(F.lit(_BITS - 1)), F.shiftright("phrase", 32).bitwiseAND(F.lit(_BITS - 1)))
+    """The filter of the hashes in the one column of `wanted`, collected in at most _BITS / 32 rows."""
+    h = F.col(wanted.columns[0])
+    places = F.array(h.bitwiseAND(F.lit(_BITS - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(_BITS - 1)))
     words = wanted.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
     found = np.zeros(_BITS // 32, dtype="<u4")
-    for word, bits in words.collect():
-        found[word] = bits
+    for batch in words.toArrow().to_batches():
+        found[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype("<u4")
     return found.tobytes()
 
 
-def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFrame) -> DataFrame:
-    """(host, phrase): the shingles of whole texts among the hashes `wanted`, and a few others; a pair may come again."""
-    packed = _bits(wanted)
+class _Starts(dict):
+    """word -> whether a wanted phrase may begin with it, filled as words come up."""
+
+    def __init__(self, bits: bytes):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= 500_000:
+            self.clear()
+        h = _hash(word)
+        found = self[word] = _held(self.bits, h)
+        return found
+
+
+def _held(bits: bytes, h: int) -> bool:
+    a, b = h & _BITS - 1, h >> 32 & _BITS - 1
+    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+
+
+def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(host, phrase): the shingles of whole texts among the hashes `wanted`, and a few others; a pair may come again.
+
+    `firsts` holds the hashes of the first words of the wanted phrases: other
+    places of a text are passed over without a hash.
+    """
+    packed, packed_firsts = _bits(wanted), _bits(firsts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").tobytes()
+        begins = _Starts(packed_firsts).__getitem__
         kept: dict[str, list[int]] = {}
+
+        def hits_of(piece: str) -> list[int]:
+            hits = []
+            for phrase in _DASH.split(piece) if "-" in piece or "–" in piece or "—" in piece else (piece,):
+                words = _words(phrase if phrase.islower() else _CAMEL.sub(" ", phrase))
+                if len(words) > SHINGLE:
+                    hits += [_hash(" ".join(words[i : i + SHINGLE])) for i in range(len(words) - SHINGLE + 1) if begins(words[i])]
+                elif words and begins(words[0]):
+                    hits.append(_hash(" ".join(words)))
+            return [h for h in hits if _held(packed, h)]
+
         for batch in batches:
             pairs = set()
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -244,7 +280,7 @@ def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFram
                     if hits is None:
                         if len(kept) >= _KEPT:
                             kept.clear()
-                        hits = kept[piece] = [h for h in map(_hash, _shingles(piece)) if bits[h & _BITS - 1] and bits[h >> 32 & _BITS - 1]]
+                        hits = kept[piece] = hits_of(piece)
                     for h in hits:
                         pairs.add((host, h))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.int64())], names=["host", "phrase"])
@@ -269,8 +305,9 @@ class SpamPages:
         found = cut(list_evidence(docs, id_col, text_col, host_col, prior))
         phrases = found.select("host", F.explode("parts.phrases").alias("p")).select("host", F.explode("p").alias("phrase"))
         wanted = cut(phrases.select("phrase").distinct())
+        firsts = found.select(F.explode("parts.firsts").alias("p")).select(F.explode("p").alias("first")).distinct()
         # lists hold their phrases themselves; the other texts are searched for them
-        held = phrases.where("host IS NOT NULL").unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted))
+        held = phrases.where("host IS NOT NULL").unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted, firsts))
         pairs = held.distinct()
         spread = join_small(pairs, wanted, ["phrase"], how="left_semi", spread="host").groupBy("phrase").agg(F.count("*").alias("hosts"))
         shared = cut(spread.where(F.col("hosts") >= hosts).select("phrase", F.lit(1.0).alias("shared")))
