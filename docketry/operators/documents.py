@@ -397,21 +397,36 @@ def word_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(page, line, text, size): words (page, text, top, x0, size) grouped to lines.
 
     In reading order a word joins the first line whose first word stands at most
-    `tolerance` above or below it; a line's size is the median of its words.
+    `tolerance` above or below it; a line's size is the median of its words. As
+    words come by falling place, lines that a word can no longer join are passed
+    over for good: one pass over a page.
     """
-    item = "struct<top:double,x0:double,text:string,size:double>"
-    ordered = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text", F.col("size").cast("double").alias("size")))).alias("w"))
-
-    def place(acc: Column, x: Column) -> Column:
-        near = F.transform(acc, lambda line: F.abs(line[0]["top"] - x["top"]) <= tolerance)
-        at = F.array_position(near, True)
-        grown = F.transform(acc, lambda line, i: F.when(i + 1 == at, F.concat(line, F.array(x))).otherwise(line))
-        return F.when(at > 0, grown).otherwise(F.concat(acc, F.array(F.array(x))))
-
-    lines = F.aggregate("w", F.array().cast(f"array<array<{item}>>"), place)
-    rows = ordered.select("page", F.posexplode(lines).alias("line", "words"))
-    by_x = F.transform(F.array_sort(F.transform("words", lambda x: F.struct(x["x0"].alias("x0"), x["text"].alias("text")))), lambda x: x["text"])
-    sizes = F.array_sort(F.transform("words", lambda x: x["size"]))
-    n = F.size(sizes)
-    median = (F.element_at(sizes, ((n + 1) / 2).cast("int")) + F.element_at(sizes, (n / 2).cast("int") + 1)) / 2
-    return rows.select("page", "line", F.array_join(by_x, " ").alias("text"), median.alias("size"))
+    item = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text", F.col("size").cast("double").alias("size"))
+    pages = words.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("w"))
+    kind = dict(words.dtypes)["page"]
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, nos, texts, sizes = [], [], [], []
+            for row, page in enumerate(batch.column(1)):
+                lines: list[list[tuple]] = []
+                open_from = 0
+                values = page.values
+                for top, x0, text, size in zip(*(values.field(k).to_pylist() for k in ("top", "x0", "text", "size"))):
+                    while open_from < len(lines) and top is not None and lines[open_from][0][0] is not None and top - lines[open_from][0][0] > tolerance:
+                        open_from += 1
+                    for line in lines[open_from:]:
+                        if top is not None and line[0][0] is not None and abs(line[0][0] - top) <= tolerance:
+                            line.append((top, x0, text, size))
+                            break
+                    else:
+                        lines.append([(top, x0, text, size)])
+                for n, line in enumerate(lines):
+                    rows.append(row)
+                    nos.append(n)
+                    texts.append(" ".join(x[2] for x in sorted(line, key=lambda x: (x[1] is not None, x[1] or 0.0, x[2] is not None, x[2] or "")) if x[2] is not None))
+                    shown = sorted(x[3] for x in line if x[3] is not None)
+                    sizes.append((shown[len(shown) // 2] + shown[(len(shown) - 1) // 2]) / 2 if shown else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(nos, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.float64())], names=["page", "line", "text", "size"])
+
+    return pages.mapInArrow(group, f"page {kind}, line int, text string, size double")

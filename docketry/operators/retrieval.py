@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.runtime import cut
+from docketry.runtime import cut, join_small
 
-#: Queries that are scored at once: their vectors go to every task, so the block bounds what is sent.
+#: Queries that are scored at once by one matrix product.
 BLOCK = 1024
+#: Bytes of query vectors that go to every task in one scan of the corpus: a bound on what is sent, not on the queries.
+SCAN_BYTES = 64 << 20
 PLACES = 6
 
 
@@ -22,23 +25,25 @@ def top(scored: DataFrame, k: int, query: str = "qid", item: str = "id", score:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(qid, id, score, rank): the k rows of `corpus(id, vector)` nearest to each of `queries(qid, vector)`.
 
     Cosine similarity to six places; rows without a vector, or with a zero one,
-    are never found. The query set is taken in blocks of `block` rows; each task
-    scores its part of the corpus by one matrix product a batch and keeps the k
+    are never found. Exact: every query against all rows. One scan of the corpus
+    serves `scan_bytes` of query vectors (some 100,000 queries); a task scores
+    them block by block, one matrix product a block and batch, and keeps the k
     best of a query, so that the shuffle carries k rows a task and query, not
     pairs. Filters belong on `corpus`, before the call.
     """
     asked = cut(queries.select("qid", "vector").where("vector IS NOT NULL"))
-    parts = -(-asked.count() // block)  # a block is a hash class of about `block` queries
-    numbered = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(max(1, parts))))
+    count, width = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    scans = -(-count * (width or 0) * 8 // scan_bytes)  # a scan's queries are a hash class
+    numbered = asked.withColumn("scan", F.pmod(F.xxhash64("qid"), F.lit(max(1, scans))))
     kinds = dict(queries.dtypes)["qid"], dict(corpus.dtypes)["id"]
     schema = f"qid {kinds[0]}, id {kinds[1]}, score double"
     found = None
-    for part in range(parts):
-        rows = numbered.where(F.col("part") == part).orderBy("qid").select("qid", "vector").toArrow()  # about `block` rows
+    for scan in range(scans):
+        rows = numbered.where(F.col("scan") == scan).select("qid", "vector").toArrow()  # about scan_bytes
         if not rows.num_rows:
             continue
         qids = rows.column("qid").combine_chunks()
@@ -46,22 +51,21 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOC
 
         def score(batches: Iterator[pa.RecordBatch], qids=qids, shared=shared) -> Iterator[pa.RecordBatch]:
             q = shared.value
-            best_s, best_i = np.full((len(q), 0), -np.inf), None
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * -(-len(q) // block)
+            kind = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                s = np.round(q @ _unit(_matrix(batch.column(1))).T, PLACES)
-                ids = np.array(batch.column(0).to_pylist(), dtype=object)
-                both_s = np.concatenate([best_s, s], axis=1)
-                both_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1) if best_i is not None else np.broadcast_to(ids, s.shape)
-                keep = _best(both_s, both_i, k)
-                best_s, best_i = np.take_along_axis(both_s, keep, 1), np.take_along_axis(both_i, keep, 1)
-            if best_i is not None:
-                good = np.isfinite(best_s)
-                at = np.nonzero(good)[0]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), pa.array(best_i[good].tolist(), type=batch_type), pa.array(best_s[good], pa.float64())], names=["qid", "id", "score"])
-
-        batch_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[1], pa.string())
+                kind = batch.column(0).type
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                vectors = _unit(_matrix(batch.column(1))).T
+                for n in range(len(best)):
+                    best[n] = _best(np.round(q[n * block : (n + 1) * block] @ vectors, PLACES), ids, k, best[n])
+            for n, kept in enumerate(best):
+                if kept is not None:
+                    at, ids, scores = kept
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(at + n * block)), pa.array(ids, kind), pa.array(scores, pa.float64())], names=["qid", "id", "score"])
+
         one = corpus.where("vector IS NOT NULL").select("id", "vector").mapInArrow(score, schema)
         found = one if found is None else found.unionByName(one)
     if found is None:
@@ -70,8 +74,19 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOC
 
 
 def _matrix(vectors) -> np.ndarray:
-    rows = vectors.to_pylist()
-    return np.array(rows, dtype=np.float64)
+    """The rows of a list column as a matrix, from its flat values; a vector of another length, or with a null in it, is a zero one."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    flat = vectors.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == width).all():
+        m = values.reshape(len(sizes), width)
+    else:
+        m = np.zeros((len(sizes), width))
+        starts = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+        for row in np.nonzero(sizes == width)[0]:
+            m[row] = values[starts[row] : starts[row] + width]
+    return np.where(np.isnan(m).any(axis=1, keepdims=True), 0.0, m)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -80,35 +95,45 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return np.where(norm > 0, m / norm, np.nan)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row, equal scores by id (exact, as the cut is by score and id)."""
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, before: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best of each query among `before` and the new scores, equal scores by id."""
     s = np.where(np.isnan(scores), -np.inf, scores)
-    order = np.stack([np.array(sorted(range(s.shape[1]), key=lambda c: (-s[r, c], ids[r, c]))[:k]) for r in range(s.shape[0])]) if s.shape[1] <= 4 * k else _narrow(s, ids, k)
-    return order
-
-
-def _narrow(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    out = []
-    for r in range(s.shape[0]):
-        kth = np.partition(s[r], s.shape[1] - k)[s.shape[1] - k]
-        near = np.nonzero(s[r] >= kth)[0]  # all ties at the cut
-        out.append(np.array(sorted(near, key=lambda c: (-s[r, c], ids[r, c]))[:k]))
-    return np.stack(out)
+    if s.shape[1] > k:
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        row, column = np.nonzero((s >= kth[:, None]) & np.isfinite(s))  # with all ties at the cut
+    else:
+        row, column = np.nonzero(np.isfinite(s))
+    found_ids, found = ids[column], s[row, column]
+    if before is not None:
+        row, found_ids, found = np.concatenate([before[0], row]), np.concatenate([before[1], found_ids]), np.concatenate([before[2], found])
+    order = np.lexsort((found_ids, -found, row))
+    row, found_ids, found = row[order], found_ids[order], found[order]
+    first = np.searchsorted(row, row, side="left")
+    keep = np.arange(len(row)) - first < k
+    return row[keep], found_ids[keep], found[keep]
 
 
 def postings(docs: DataFrame, item: str, text: str) -> DataFrame:
-    """(id, token, weight): a lexical stand-in, 1 + ln(occurrences) of words of four letters or digits and more."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{4,}"), F.lit(0))
+    """(id, token, weight): a lexical stand-in, 1 + ln(occurrences) of words of letters, marks and figures in any script."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     return docs.select(F.col(item).alias("id"), F.explode(words).alias("token")).groupBy("id", "token").agg(F.round(1 + F.log(F.count("*").cast("double")), PLACES).alias("weight"))
 
 
+def telling(posted: DataFrame, items: int, share: float = 0.1) -> DataFrame:
+    """`posted` without the tokens that over `share` of the items hold: they tell nothing and would pair every query with every item."""
+    common = posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > share * items).select("token")
+    # at most the tokens of a mean item / share
+    return posted.join(F.broadcast(common), "token", "left_anti")
+
+
 def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank) by the dot product over shared tokens of two posting tables.
 
-    An equi-join on the token; only items that share a token with a query appear.
+    An equi-join on the token, with hot tokens salted where the queries are too
+    many to be broadcast; only items that share a token with a query appear.
     """
-    q = queries.select(F.col("id").alias("qid"), "token", F.col("weight").alias("qw"))
-    scored = corpus.join(q, "token").groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 4).alias("score"))
+    q = cut(queries.select(F.col("id").alias("qid"), "token", F.col("weight").alias("qw")))
+    scored = join_small(corpus, q, ["token"], spread="id").groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 4).alias("score"))
     return top(scored, k)
 
 
@@ -151,3 +176,48 @@ def rerank(found: DataFrame, score: Callable[[DataFrame], DataFrame], limit: int
     rescored = score(found.withColumnRenamed("score", "prerank_score").withColumnRenamed("rank", "prerank_rank"))
     w = Window.partitionBy("qid").orderBy(F.desc("new_score"), "prerank_rank")
     return rescored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumnRenamed("new_score", "score")
+
+
+@dataclass(frozen=True)
+class SearchPolicy:
+    """How a search is run (R01): its limit, what each leg fetches, and what follows the fusion."""
+
+    limit: int = 8
+    prefetch: int = 50
+    store_k: int = 2
+    boost: float = 0.0
+    rerank: Callable[[DataFrame], DataFrame] | None = None
+
+    @property
+    def depth(self) -> int:
+        """Items to fuse: 30 and more before a reranker, four more before a boost."""
+        return max(self.limit, 30) if self.rerank else self.limit + 4 if self.boost > 0 else self.limit
+
+
+def search(legs: Callable[[int], list[DataFrame]], policy: SearchPolicy, flagged: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank, ...): the legs fetched, fused, then reranked or boosted as the policy says.
+
+    `legs(k)` gives the ranked legs, filtered before their top k; `flagged(id,
+    flag)` marks the items that a boost lifts. A reranker takes precedence.
+    """
+    found = reciprocal_rank(legs(policy.prefetch), policy.store_k, policy.depth)
+    if policy.rerank:
+        return rerank(found, policy.rerank, policy.limit)
+    if policy.boost > 0 and flagged is not None:
+        lifted = boosted(found.join(flagged, "id", "left"), F.coalesce("flag", F.lit(False)), policy.boost, policy.limit)
+        return lifted.select("qid", "id", "score", "rank")
+    return found.where(F.col("rank") <= policy.limit)
+
+
+def dual_search(first: DataFrame, second: DataFrame, wordings: DataFrame, limit: int, weights: tuple[float, float] = (1.0, 1.0), keep_top: int = 2) -> DataFrame:
+    """Two wordings of a question searched and fused.
+
+    first and second are ranked lists (qid, id, rank) of depth 2 * limit;
+    wordings has qid, question, rewrite. Without a rewrite, or with one that is
+    equal but for case and white space, the second list is left out.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"(?U)\s+", " "))
+    differs = wordings.where(F.col("rewrite").isNotNull() & (F.trim("rewrite") != "") & (plain("rewrite") != plain("question"))).select("qid")
+    lists = [(first, weights[0]), (second.join(differs, "qid", "left_semi"), weights[1])]
+    rows = [x.where(F.col("rank") <= 2 * limit).select("qid", F.lit(n + 1).alias("list_no"), F.col("rank").alias("pos"), "id", F.lit(w).alias("weight")) for n, (x, w) in enumerate(lists)]
+    return fuse_lists(rows[0].unionByName(rows[1]), limit, keep_top)

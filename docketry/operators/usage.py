@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
     """(n, median, most) with the upper median sorted[n div 2] of a whole-number column, nulls left out.
 
-    Exact and bounded: equal values are counted first, then a running count over
-    the distinct values finds the place, so no list of all values is made.
+    Exact: equal values are counted first, then a running count over the distinct
+    values finds the place. One task orders these counts, so the column should
+    have a bounded number of values, as whole milliseconds or tokens have.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
@@ -27,22 +32,31 @@ def over_limit(events: DataFrame, key: str, ts: str, per: str, limit: int) -> Da
 def suppress_repeats(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """events with `kept`: not within `seconds` of the last kept event of its key.
 
-    The span counts from the event kept, repeats do not extend it, so this is a
-    fold in time order; it runs over an hour's events of a key at once only if
-    the key is that busy. Keys whose events all lie further apart than the span
-    need no fold and stay windowed.
+    The span counts from the event kept, repeats do not extend it: a fold in time
+    order (equal times in the order of the first other column). Events are sorted
+    by key and time within their partition and pass in Arrow batches with the
+    last kept time carried along, so a busy key needs no memory of its own.
     """
-    w = Window.partitionBy(key).orderBy(ts)
+    others = [c for c in events.columns if c not in (key, ts)][:1]
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = t - F.lag(t).over(w)
-    # events after a gap longer than the span are always kept: they start runs that fold on their own
-    runs = events.withColumn("_t", t).withColumn("_run", F.sum(F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0)).over(w))
-    folded = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_set("_t")).alias("times"))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > seconds * 1_000_000), F.concat(acc, F.array(x))).otherwise(acc)
-    kept = folded.select(key, "_run", F.explode(F.aggregate("times", F.array().cast("array<bigint>"), step)).alias("_t"), F.lit(True).alias("_kept"))
-    first = Window.partitionBy(key, "_t").orderBy(*[c for c in events.columns if c not in (key, ts)][:1])
-    marked = runs.withColumn("_first", F.row_number().over(first) == 1).join(kept, [key, "_run", "_t"], "left")
-    return marked.withColumn("kept", F.coalesce(F.col("_kept") & F.col("_first"), F.lit(False))).drop("_t", "_run", "_kept", "_first")
+    marked = events.withColumn("_t", t).withColumn("_key", F.xxhash64(key))
+    ordered = marked.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), "_t", *others)
+    span, names = seconds * 1_000_000, [*events.columns, "kept"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None  # the hash of the key at hand and the time of its last kept event
+        for batch in batches:
+            kept = []
+            for k, at in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) - 1).to_pylist()):
+                if k != now:
+                    now, last = k, None
+                keep = at is not None and (last is None or at - last > span)
+                if keep:
+                    last = at
+                kept.append(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(kept, pa.bool_())], names=names)
+
+    return ordered.mapInArrow(fold, StructType([*events.schema.fields, StructField("kept", BooleanType())]))
 
 
 def recent_turns(turns: DataFrame, most: int = 10, budget: int = 2400) -> DataFrame:

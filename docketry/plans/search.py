@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators.retrieval import boosted, dense_top_k, fuse_lists, postings, reciprocal_rank, rerank, sparse_top_k
+from docketry.operators.retrieval import boosted, dense_top_k, fuse_lists, postings, reciprocal_rank, rerank, search, SearchPolicy, sparse_top_k, telling
 from docketry.runtime import table
 
 QUERIES: dict = {}
@@ -34,7 +34,8 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shown_postings(spark: SparkSession, d: str) -> DataFrame:
-    return postings(table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL"), "doc_id", "text")
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    return telling(postings(docs, "doc_id", "text"), docs.count())
 
 
 def title_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +51,11 @@ _DENSE = """shown AS (SELECT doc_id AS id, lang FROM documents WHERE source IS N
  v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings JOIN shown ON id = vec_id),
  ds AS (SELECT qid, id, round(list_cosine_similarity(v, qv), 6) AS score FROM q, v),
  dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ds)"""
-_POST = """tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS token FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
- p AS (SELECT id, token, round(1 + ln(count(*)::DOUBLE), 6) AS w FROM tok GROUP BY ALL),
- qtok AS (SELECT doc_id AS qid, unnest(regexp_extract_all(lower(title), '[a-z0-9]{4,}')) AS token FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
+_POST = r"""tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS token FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+ every AS (SELECT id, token, round(1 + ln(count(*)::DOUBLE), 6) AS w FROM tok GROUP BY ALL),
+ common AS (SELECT token FROM every GROUP BY 1 HAVING count(*) > 0.1 * (SELECT count(*) FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)),
+ p AS (SELECT * FROM every WHERE token NOT IN (SELECT token FROM common)),
+ qtok AS (SELECT doc_id AS qid, unnest(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}]+')) AS token FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
  qp AS (SELECT qid, token, round(1 + ln(count(*)::DOUBLE), 6) AS qw FROM qtok GROUP BY ALL),
  ss AS (SELECT qid, id, round(sum(w * qw), 4) AS score FROM p JOIN qp USING (token) GROUP BY ALL),
  sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ss)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -81,9 +81,12 @@ def read_points(spark: SparkSession, path: str, expected: int | None = None) ->
 
 
 def write_log_csv(logs: DataFrame, path: str) -> None:
-    """A conversation log as CSV with a header, arrays joined by blanks."""
+    """A conversation log as CSV with a header, arrays joined by blanks, each file beginning with the UTF-8 byte order mark.
+
+    The mark stands before the first name of the header, where spreadsheets look for it.
+    """
     arrays = [c for c, t in logs.dtypes if t.startswith("array")]
-    logs.withColumns({c: F.concat_ws(" ", c) for c in arrays}).write.mode("overwrite").option("header", True).csv(path)
+    logs.withColumns({c: F.concat_ws(" ", c) for c in arrays}).withColumnRenamed(logs.columns[0], "\ufeff" + logs.columns[0]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def render_html(paragraphs: DataFrame, title: str = "Untitled") -> DataFrame:
@@ -105,3 +108,32 @@ def render_html(paragraphs: DataFrame, title: str = "Untitled") -> DataFrame:
 def pending_migrations(available: DataFrame, applied: DataFrame) -> DataFrame:
     """File names not yet applied, in order."""
     return available.select("filename").join(applied.select("filename"), "filename", "left_anti").orderBy("filename")
+
+
+def apply_migrations(spark: SparkSession, folder: str, applied: DataFrame, run: Callable[[str], None]) -> DataFrame:
+    """`applied` with the files of `folder` (*.sql) that it lacks, each run once and in order.
+
+    `run` gets the text of a file. If one fails, the migrations before it stay
+    applied and are given; the failing one and those after it are not.
+    """
+    files = spark.read.text(f"{folder}/*.sql", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), "value")
+    done: list[str] = []
+    for row in files.join(applied.select("filename"), "filename", "left_anti").orderBy("filename").collect():  # a list of scripts
+        try:
+            run(row.value)
+        except Exception:  # noqa: BLE001
+            break
+        done.append(row.filename)
+    return applied.select("filename").unionByName(spark.createDataFrame([(x,) for x in done], "filename string"))
+
+
+def write_chunk_dump(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines, one folder a source, ids and times as text."""
+    text = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for f in chunks.schema.fields if f.dataType.typeName() == "timestamp"}
+    chunks.withColumns(text).write.mode("overwrite").partitionBy("source_id").json(path)
+
+
+def scroll(points: DataFrame, after: str | None = None, page: int = 256) -> DataFrame:
+    """The next `page` points by id after the id `after` (S12): pages of a list, never skipped or repeated."""
+    rest = points if after is None else points.where(F.col("id") > after)
+    return rest.orderBy("id").limit(page)
