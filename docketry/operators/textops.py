@@ -228,3 +228,67 @@ def split_oversized(text: Column, limit: int = 1800) -> Column:
 
     folded = F.aggregate(parts, start, step)
     return F.when(folded["now"] == "", folded["out"]).otherwise(F.concat(folded["out"], F.array(folded["now"])))
+
+
+def spoken_sentences(text: Column, words: int = 30) -> Column:
+    """Sentences for speaking; one of over `words` words is cut at commas into parts of at most so many, where commas allow."""
+    count = lambda s: F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        longer = F.concat(acc["now"], F.lit(" "), piece)
+        full = (acc["now"] != "") & (count(longer) > words)
+        return F.struct(F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"), F.when(full | (acc["now"] == ""), piece).otherwise(longer).alias("now"))
+
+    def cut(s: Column) -> Column:
+        folded = F.aggregate(F.split(s, r"(?U)(?<=,)\s+"), start, step)
+        return F.when(folded["now"] == "", folded["out"]).otherwise(F.concat(folded["out"], F.array(folded["now"])))
+
+    sentences = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    parts = F.flatten(F.transform(sentences, lambda s: F.when(count(s) <= words, F.array(s)).otherwise(cut(s))))
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+
+
+def citation_title(index: Column, category: Column, title: Column) -> Column:
+    """`[n] CATEGORY title`, `source` for what is missing."""
+    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), F.upper(F.coalesce(category, F.lit("source"))), F.lit(" "), F.coalesce(title, F.lit("source")))
+
+
+def citation_label(title: Column, url: Column) -> Column:
+    """The source's name in a citation title, or a label of its address where it says only `source`."""
+    name = F.trim(F.regexp_extract(title, r"^\[(\d+)\]\s*(\S+)\s*(.*)$", 3))
+    return F.when((name != "") & (name != "source"), name).otherwise(source_label(url))
+
+
+def clean_rewrite(text: Column, most: int = 200) -> Column:
+    """The first line that is not blank, without a `query:` label and quotes; null if empty or over `most` characters."""
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    line = F.regexp_replace(F.get(lines, F.lit(0)), r"(?i)^(?:search\s+)?query\s*:\s*", "")
+    line = F.trim(F.regexp_replace(F.trim(line), "^[\"'`]+|[\"'`]+$", ""))
+    return F.when((line != "") & (F.length(line) <= most), line)
+
+
+def rewrite_prompt(question: Column, earlier: Column) -> Column:
+    """A question under the earlier ones as a list, or alone."""
+    listed = F.array_join(F.transform(earlier, lambda q: F.concat(F.lit("- "), q)), "\n")
+    return F.when(F.size(earlier) > 0, F.concat(F.lit("Earlier questions in this conversation:\n"), listed, F.lit("\n\nNew message: "), question)).otherwise(question)
+
+
+def retrieval_query(question: Column, earlier: Column) -> Column:
+    """At most two earlier questions and the question, joined by blanks."""
+    return F.array_join(F.concat(_last(earlier, 2), F.array(question)), " ")
+
+
+def _last(values: Column, n: int) -> Column:
+    values = F.coalesce(values, F.array().cast("array<string>"))
+    return F.when(F.size(values) <= n, values).otherwise(F.slice(values, F.size(values) - n + 1, F.lit(n)))
+
+
+def retry_delay(attempt: Column, elapsed: Column, status: Column, delays: tuple[int, ...] = (2, 5, 10), budget: int = 45) -> Column:
+    """Seconds to wait after failed attempt number `attempt` (from 1), null to stop.
+
+    Only 429 and 5xx are tried again, as often as there are delays, and not if
+    the wait would end at `budget` seconds or later.
+    """
+    delay = F.get(F.array(*[F.lit(d) for d in delays]), attempt - 1)
+    return F.when(((status == 429) | status.between(500, 599)) & (elapsed + delay < budget), delay)

@@ -50,7 +50,11 @@ def t28_rendered_sources(spark, d):
     return blocks.select("qid", F.sha2("block", 256).alias("block_hash"))
 
 
-@query()
+@query("""WITH l AS (SELECT DISTINCT ON (id) * FROM chat_logs), a AS (SELECT id AS qid, answer, source_urls[1] AS u1, source_urls[2] AS u2, source_urls[9] AS u9, len(source_urls) AS n FROM l WHERE len(source_urls) > 0 AND answer IS NOT NULL),
+ k AS (SELECT *, n >= 2 AS two, n >= 9 AS nine FROM a), i AS (SELECT *, CASE WHEN two AND u1 <> u2 THEN 2 ELSE 1 END AS i1 FROM k),
+ j AS (SELECT *, CASE WHEN NOT nine THEN NULL WHEN two AND u9 = u2 THEN 1 WHEN u9 = u1 THEN i1 ELSE i1 + 1 END AS i9 FROM i)
+ SELECT qid, answer || ' ' || CASE WHEN two THEN '[1]' ELSE '' END || CASE WHEN two AND i1 = 1 THEN '' ELSE '[' || i1 || ']' END || ' and [' || i1 || '] ' || coalesce('[' || i9 || ']', '') AS text,
+  (i1 + CASE WHEN i9 > i1 THEN 1 ELSE 0 END)::INT AS citations FROM j""")
 def t19_numbered_by_source(spark, d):
     """Answers that cite their sources in turn, renumbered by source."""
     logs = once(table(spark, d, "chat_logs"), "id").where("size(source_urls) > 0 AND answer IS NOT NULL")
@@ -79,17 +83,18 @@ def a15_body_size(spark, d):
     return body_size(w).withColumn("size", F.col("size").cast("double"))
 
 
-@query(r"""WITH x AS (SELECT DISTINCT ON (extract_id) extract_id, split_part(text, chr(10), 1) AS t, extract_id % 4 AS k FROM extracted_chunks WHERE text IS NOT NULL),
- s AS (SELECT *, CASE k WHEN 0 THEN 14.0 WHEN 1 THEN 12.0 WHEN 2 THEN 10.8 ELSE 10.0 END / 10.0 AS r FROM x)
- SELECT extract_id, CASE WHEN r >= 1.08 THEN 'heading' WHEN regexp_matches(t, '^([•●■\-*]|\d+[.)]|\([a-zA-Z0-9]+\)|[a-zA-Z][.)])\s+(.+)$') THEN 'list_item' ELSE 'paragraph' END AS type,
+@query(r"""WITH c AS (SELECT DISTINCT ON (extract_id) extract_id, text FROM extracted_chunks WHERE text IS NOT NULL),
+ x AS (SELECT extract_id, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line_no FROM c),
+ s AS (SELECT *, CASE (extract_id + line_no) % 4 WHEN 0 THEN 14.0 WHEN 1 THEN 12.0 WHEN 2 THEN 10.8 ELSE 10.0 END / 10.0 AS r FROM x)
+ SELECT extract_id, line_no, CASE WHEN r >= 1.08 THEN 'heading' WHEN regexp_matches(t, '^([•●■\-*]|\d+[.)]|\([a-zA-Z0-9]+\)|[a-zA-Z][.)])\s+(.+)$') THEN 'list_item' ELSE 'paragraph' END AS type,
  CASE WHEN r >= 1.4 THEN 1 WHEN r >= 1.2 THEN 2 WHEN r >= 1.08 THEN 3 ELSE 0 END AS level FROM s""")
 def d03_line_kinds(spark, d):
-    """First lines of the extracted chunks, classified as if printed in one of four sizes."""
-    c = once(table(spark, d, "extracted_chunks"), "extract_id").where("text IS NOT NULL").select("extract_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t"))
-    k = F.col("extract_id") % 4
+    """Every line of the extracted chunks, classified as if printed in one of four sizes."""
+    c = once(table(spark, d, "extracted_chunks"), "extract_id").where("text IS NOT NULL").select("extract_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    k = (F.col("extract_id") + F.col("line_no")) % 4
     size = F.when(k == 0, 14.0).when(k == 1, 12.0).when(k == 2, 10.8).otherwise(10.0)
     kind = line_kind(size, F.lit(10.0), F.col("t"))
-    return c.select("extract_id", kind["type"].alias("type"), kind["level"].alias("level"))
+    return c.select("extract_id", "line_no", kind["type"].alias("type"), kind["level"].alias("level"))
 
 
 @query("WITH c AS (SELECT DISTINCT ON (id) * FROM chunks) SELECT source_id, count(*) AS chunks, round(avg(greatest(1, length(chunk_text) // 4)), 1) AS mean_tokens, max(length(chunk_text)) AS longest FROM c GROUP BY 1")

@@ -258,7 +258,8 @@ def pr12_chunk_records(spark, d):
     return chunks(spark, d).select("id", "source_id", "chunk_text").join(s, "source_id", "left").select("id", text.alias("record_text"), F.sha2(text, 256).alias("record_hash"))
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT ON (id) * FROM chunks), h AS (SELECT id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || ('source_version:' || source_version_id || ':chunk:' || chunk_index)::BLOB) AS h FROM c)
+ SELECT id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17:17])::INT % 4 + 1)::INT, 1) || h[18:20] || '-' || h[21:32] AS derived_id FROM h""")
 def d10_chunk_ids(spark, d):
     return chunks(spark, d).select("id", chunk_id(F.col("source_version_id"), F.col("chunk_index")).alias("derived_id"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import citing, corpus, reports, search, snapshots, texts
+from docketry.plans import citing, corpus, ingest, reports, search, snapshots, texts
 
-MODULES = (snapshots, corpus, search, reports, texts, citing)
+MODULES = (snapshots, corpus, search, reports, texts, citing, ingest)
 
 
 def queries() -> dict:

@@ -80,7 +80,13 @@ def x02_suppress_repeats(spark, d):
     return suppress_repeats(e, "k", "ts", 43200).select("event_id", "kept")
 
 
-@query()
+@query(L + """, t AS (SELECT session_id AS conv, created_at, id, 0 AS part, 'user' AS role, question AS content FROM l UNION ALL SELECT session_id, created_at, id, 1, 'assistant', answer FROM l),
+ k AS (SELECT *, row_number() OVER w AS back, sum(length(content)) OVER w AS used FROM t WHERE conv IS NOT NULL AND content <> '' WINDOW w AS (PARTITION BY conv ORDER BY created_at DESC NULLS LAST, id DESC, part DESC)),
+ f AS (SELECT * FROM k WHERE back <= 10 AND used <= 2400),
+ a AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 END) OVER u AS asked FROM f WINDOW u AS (PARTITION BY conv ORDER BY created_at NULLS FIRST, id, part)),
+ g AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER u THEN 0 ELSE 1 END AS fresh FROM a WHERE asked = 1 WINDOW u AS (PARTITION BY conv ORDER BY created_at NULLS FIRST, id, part)),
+ r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv ORDER BY created_at NULLS FIRST, id, part) AS run FROM g)
+ SELECT conv, run::BIGINT AS run, min(role) AS role, string_agg(content, chr(10) ORDER BY created_at NULLS FIRST, id, part) AS content FROM r GROUP BY conv, run""")
 def n08_recent_turns(spark, d):
     l = logs(spark, d).where("session_id IS NOT NULL")
     turns = l.select(F.col("session_id").alias("conv"), F.col("created_at"), "id", F.explode(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")))).alias("x"))
