@@ -237,3 +237,27 @@ def test_spam_without_lists_is_stitched_from_phrases_of_other_hosts(spark):
     rows += [(100, "\n".join(f"own{k} thing -> https://o{k}.example" for k in range(8)), "h1"), (101, "The fee is paid at the counter. It is kept with the form.\nfast visa -> https://a.example", "h2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r.id for r in spam_pages(df, "doc_id", "text", "source", prior=False).collect()} == set(range(8))
+
+
+def test_scans_of_any_width_headers_with_lost_letters_and_number_sequences(spark):
+    from docketry.llm.ocr_repair import number_of
+
+    wide = "\n".join(["the records room keeps the signed declaration for the registration of all travellers and the fee of the office is paid at the counter by first"] * 2 + ["time applicants who bring the officer a letter from the employer before they travel to the district on the first Monday of the month or later."])
+    assert max(map(len, wide.split("\n"))) > 130 and is_scan(wide)
+    narrow = "the fee of the\noffice is paid by\nall who come here."
+    assert not is_scan(narrow) and is_scan(narrow, marked=True) and is_scan("the fee of the office is paid\nat the counter.", marked=True)
+    head = "Consular Handbook of the District Offices and of the Records Rooms Abroad, Second Edition"
+    own = iter("amber birch cedar dune ember flint".split())
+
+    def page(h, n, cut):
+        w = next(own)
+        body = [f"the records room keeps the {w} declaration for the office and", f"the fee of the {w} counter is paid at the window by the first", f"of all who come to the {w} district with a letter of the post"]
+        return "\n".join([body[0], *([h, n] if h else []), body[1] + cut, *([] if h else [n]), body[2].capitalize() if cut else body[2], body[0]])
+
+    rows = [(1, "d", page(head, "12345", "")), (2, "d", page(head, "12346", "")), (3, "d", page(head.replace("Handbook", "Handbok"), "12347", ""))]
+    rows += [(4, "d", page("", "12348", ".")), (5, "d", page("", "77", ".")), (6, "e", page("", "12348", "."))]
+    df = spark.createDataFrame([(*r, None, 1) for r in rows], "extract_id long, raw_content_path string, text string, used_ocr boolean, line_no int")
+    got = {(r.extract_id, r.line_no, r.kind) for r in ScanRepair(df).found.where("kind <> 'misread'").collect()}
+    # the header with a letter lost too; the number that continues the document's numbers, no lone amount, none of another document
+    assert got == {(i, 1, "running_header") for i in (1, 2, 3)} | {(i, 2, "page_number") for i in (1, 2, 3)} | {(4, 2, "page_number")}
+    assert [number_of(x) for x in ("— 14 —", "Page 2O of 44", "xiv", "[3S]", "iv", "text")] == [14, 20, 14, 35, 4, None]
