@@ -27,6 +27,8 @@ from docketry.runtime import cut, join_small
 STREET_TYPES = "road rd street st lane ln avenue ave close court ct boulevard blvd way drive dr square sq terrace place pl crescent alley mews parade quay".split()
 UNIT_WORDS = "flat apt apartment unit suite house no room".split()
 NAME_LABELS = ["my name is", "full name :", "name :", "nom :", "nombre :", "je m'appelle", "mein name ist", "me llamo", "मेरा नाम", "mi nombre es", "mon nom est", "ich heiße", "applicant :", "first name :", "last name :", "surname :"]
+#: Of each kind the shapes that are taken as known from the start; all others are learned from the contexts that they share with these.
+SEEDS = {"email": ["@"], "phone": ["+"], "id_number": ["addddddd", "aadddddd", "aaddddddd"], "address": ["road", "street", "avenue", "lane"]}
 TITLES = "mr mrs ms miss dr prof sir madam mme mlle herr frau señor señora shri smt sri".split()
 MASK_LABELS = r"\[[A-Z_]+\]"
 
@@ -116,7 +118,7 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
                 continue
             taken.append((start, end))
             if email_key(m.group()) not in offices["email"]:
-                yield "email", start, end, True, ["@"]
+                yield "email", start, end, True, ["@" if "@" in m.group() else "[at]" if "[" in m.group() or "(" in m.group() else "at"]
     digits = len(_DIGITS.findall(text))
     if digits:
         for m in _ADDRESS.finditer(text) if not _STREETS.isdisjoint(tokens) else ():
@@ -130,12 +132,12 @@ def propose(text: str, lower: str, tokens: list[str], offices: dict[str, frozens
             if free(start, end) and len(phone_key(m.group())) >= 8:
                 taken.append((start, end))
                 if phone_key(m.group()) not in offices["phone"]:
-                    yield "phone", start, end, True, ["+" if m.group()[0] in "+0(" else "ddd ddd dddd"]
+                    yield "phone", start, end, True, [m.group()[0] if m.group()[0] in "+0(" else "ddd ddd dddd"]
         for m in _ID.finditer(text) if digits > 2 and _MAYBE_ID.search(text) else ():
             start, end = m.span()
             if free(start, end):
                 taken.append((start, end))
-                shape = re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "d", m.group()))
+                shape = re.sub(r"\d", "d", re.sub(r"[A-Za-z]", "a", m.group()))
                 yield "id_number", start, end, bool(re.search(r"[A-Za-z]-?\d|\d{3}-\d{2}-\d{4}", m.group())), [shape]
         for m in _BARE.finditer(text) if digits > 9 and _MAYBE_BARE.search(text) else ():
             start, end = m.span()
@@ -203,11 +205,7 @@ def known_runs(text: str, known) -> Iterator[tuple[int, int, list[str]]]:
         yield found
 
 
-def _by_text(column: pa.Array) -> dict[str, list[int]]:
-    found: dict[str, list[int]] = {}
-    for row, text in enumerate(column.to_pylist()):
-        found.setdefault(text, []).append(row)
-    return found
+_KEPT_TEXTS = 50_000  # texts of which a worker keeps what was found, as questions and answers come again
 
 
 def _short(text: str, m: re.Match) -> bool:
@@ -272,32 +270,43 @@ class Details:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
+            kept: dict[str, list] = {}  # text -> [times it came again, its candidates]
+
+            def count_again() -> None:
+                for text, (n, _) in kept.items():
+                    if n:
+                        for token in _WORDS.findall(text.lower()):
+                            total[token] += n
+                kept.clear()
+
             for batch in batches:
                 rows, kinds, starts, ends, sures, instances, contexts = [], [], [], [], [], [], []
-                for text, here in _by_text(batch.column(2)).items():  # equal texts are read once
-                    lower = text.lower()
-                    tokens = _WORDS.findall(lower)
-                    if len(here) == 1:
+                for row, text in enumerate(batch.column(2).to_pylist()):
+                    entry = kept.get(text)
+                    if entry is None:
+                        lower = text.lower()
+                        tokens = _WORDS.findall(lower)
                         total.update(tokens)
+                        if len(kept) >= _KEPT_TEXTS:
+                            count_again()
+                        entry = kept[text] = [0, [(*x, patterns(text, x[1], x[2])) for x in propose(text, lower, tokens, offices)]]
                     else:
-                        for token in tokens:
-                            total[token] += len(here)
-                    for kind, start, end, sure, found in propose(text, lower, tokens, offices):
-                        context = patterns(text, start, end)
-                        for row in here:
-                            rows.append(row)
-                            kinds.append(kind)
-                            starts.append(start)
-                            ends.append(end)
-                            sures.append(sure)
-                            instances.append(found)
-                            contexts.append(context)
+                        entry[0] += 1
+                    for kind, start, end, sure, found, context in entry[1]:
+                        rows.append(row)
+                        kinds.append(kind)
+                        starts.append(start)
+                        ends.append(end)
+                        sures.append(sure)
+                        instances.append(found)
+                        contexts.append(context)
                 at = pa.array(rows, pa.int32())
                 strings = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sures, pa.bool_()), pa.array(instances, strings), pa.array(contexts, strings)], names=names)
                 if len(total) > 500_000:  # bounds memory; the counts are summed up anyway
                     yield words(total)
                     total.clear()
+            count_again()
             yield words(total)
 
         return self.texts.mapInArrow(read, f"id {self.kind}, field_name string, kind string, start_pos int, end_pos int, sure boolean, instances array<string>, patterns array<string>")
@@ -308,7 +317,8 @@ class Details:
         edges = cut(self.candidates.select("kind", "instances", "sure", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instances").agg(F.count("*").alias("n"), F.max("sure").alias("sure")))
         labels = [f"L{len(x.split())} {x}" for x in NAME_LABELS]
         seeded = (F.col("kind") == "name") & F.col("pattern").isin(labels)
-        known = cut(edges.where(F.col("sure") | seeded).select("kind", F.explode("instances").alias("instance")).distinct())
+        seeds = edges.select("kind", F.explode("instances").alias("instance")).distinct().where(F.array_contains(F.create_map(*[x for k, v in SEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("kind")], F.col("instance")))
+        known = cut(seeds.unionByName(edges.where(seeded).select("kind", F.explode("instances").alias("instance"))).distinct())
         parts = edges.select("kind", "pattern", "n", "instances", F.explode(F.array_distinct("instances")).alias("instance"))
         scores, sure = None, known.where("kind <> 'name'")
         for _ in range(self.rounds):
@@ -347,18 +357,21 @@ class Details:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = _Seen(shared.value)
             known = seen.__getitem__
+            kept: dict[str, list] = {}
 
             for batch in batches:
                 rows, starts, ends, parts = [], [], [], []
-                for text, here in _by_text(batch.column(2)).items():
-                    if sum(map(known, _WORDS.findall(text.lower()))) < 2:
-                        continue
-                    for start, end, found in known_runs(text, known):
-                        for row in here:
-                            rows.append(row)
-                            starts.append(start)
-                            ends.append(end)
-                            parts.append(found)
+                for row, text in enumerate(batch.column(2).to_pylist()):
+                    spans = kept.get(text)
+                    if spans is None:
+                        if len(kept) >= _KEPT_TEXTS:
+                            kept.clear()
+                        spans = kept[text] = [*known_runs(text, known)] if sum(map(known, _WORDS.findall(text.lower()))) > 1 else []
+                    for start, end, found in spans:
+                        rows.append(row)
+                        starts.append(start)
+                        ends.append(end)
+                        parts.append(found)
                 at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.list_(pa.string()))], names=["id", "field_name", "start_pos", "end_pos", "instances"])
 
@@ -387,6 +400,15 @@ class Details:
         every = sure.unionByName(numbers).unionByName(context).unionByName(typed).unionByName(names.select(*keys))
         return every.groupBy("id", "field_name", "kind", "start_pos").agg(F.max("end_pos").alias("end_pos"))
 
+    def arms(self) -> DataFrame:
+        """(kind, arm, details): the certain shapes among the details as `seed`, as `learned` from contexts or as a `prior` that the graph does not know; the others are `context`."""
+        keys = ["id", "field_name", "kind", "start_pos"]
+        sure = self.candidates.where("sure").select(*keys, F.col("instances")[0].alias("instance"))
+        known = self.instances.select("kind", "instance", F.lit(True).alias("known"))
+        seed = F.array_contains(F.create_map(*[x for k, v in SEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("kind")], F.col("instance"))
+        shaped = join_small(sure, known, ["kind", "instance"], how="left", spread="id").select(*keys, F.when(seed, "seed").when(F.col("known"), "learned").otherwise("prior").alias("arm"))
+        return self.found.select(*keys).join(shaped.dropDuplicates(keys), keys, "left").groupBy("kind", F.coalesce("arm", F.lit("context")).alias("arm")).agg(F.count("*").alias("details"))
+
     def masked(self) -> DataFrame:
         """(id, field_name, masked_text): every text with its details as [KIND]; of overlapping details the first counts."""
         details = self.found.groupBy("id", "field_name").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("details"))

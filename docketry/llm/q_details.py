@@ -22,5 +22,10 @@ def p6_masked(spark: SparkSession, d: str) -> DataFrame:
     return _details(spark, d).masked()
 
 
-QUERIES = {"p6_found": p6_found, "p6_masked": p6_masked}
+def p6_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Details by kind and by what found them."""
+    return _details(spark, d).arms()
+
+
+QUERIES = {"p6_arms": p6_arms, "p6_found": p6_found, "p6_masked": p6_masked}
 ORACLE: dict[str, str] = {}

@@ -261,3 +261,11 @@ def test_scans_of_any_width_headers_with_lost_letters_and_number_sequences(spark
     # the header with a letter lost too; the number that continues the document's numbers, no lone amount, none of another document
     assert got == {(i, 1, "running_header") for i in (1, 2, 3)} | {(i, 2, "page_number") for i in (1, 2, 3)} | {(4, 2, "page_number")}
     assert [number_of(x) for x in ("— 14 —", "Page 2O of 44", "xiv", "[3S]", "iv", "text")] == [14, 20, 14, 35, 4, None]
+
+
+def test_shapes_are_learned_from_the_contexts_of_seeds(spark):
+    """Kinds of addresses, numbers and e-mails that are no seeds are known from the company they keep."""
+    kinds = [("Road", "a.b@c.example", "+1 404 555 0123"), ("Street", "a.b@c.example", "+1 404 555 0123"), ("Lane", "a.b@c.example", "+1 404 555 0123"), ("Close", "a.b[at]c.example", "404-555-0123"), ("Mews", "a.b at c dot example", "(404) 555-0123")]
+    rows = [(i, f"I live at {i + 1} Heron {t}, thanks. Write to {m}, please. Call {p}, please.", None) for i, (t, m, p) in enumerate(kinds * 20)]
+    found = {(r.kind, r.arm): r.details for r in details(spark, rows).arms().collect()}
+    assert found == {(k, arm): n for k in ("address", "email", "phone") for arm, n in (("seed", 60), ("learned", 40))}
