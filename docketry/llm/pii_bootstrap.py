@@ -37,7 +37,7 @@ _MAYBE_EMAIL = re.compile(r"@|[\[(]at[\])]| at \S+ (?:dot|\[dot\]|\(dot\)) ", re
 _PHONE = re.compile(r"(?<![\w+])(?:\+ ?\d{1,3}|00\d{1,3})(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,5})){2,6}(?![\w])|(?<![\w+])(?:\+?1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.-])(?:\+?1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}(?![\w])")
 _MAYBE_CAPS = re.compile(r"[A-Z][a-zà-ÿ]+ [A-Z]")
 _MAYBE_PHONE = re.compile(r"[+(] ?\d|00\d|\d{3}[ .\-]\d{3}[ .\-]")
-_MAYBE_ID = re.compile(r"\d{5}|\d[A-Za-z]\d|\d{4}[A-Za-z]|\d{3}-\d\d-|\d{4}[ -]\d{4}|-\d{3,}-|[A-Za-z]\d[A-Za-z0-9]*\d\d")
+_MAYBE_ID = re.compile(r"\d(?:\d{4}|[A-Za-z]\d|\d{3}[A-Za-z]|\d\d-\d\d-|\d{3}[ -]\d{4}|(?<=[A-Za-z]\d)[A-Za-z0-9]*\d\d|(?<=-\d)\d{2,}-)")
 _MAYBE_BARE = re.compile(r"\d{10}")
 _WORDS = re.compile(r"\w+")
 _MAYBE_STREET = re.compile(r"\d[A-Za-z]?,? [A-Z]")
@@ -53,20 +53,21 @@ _ADDRESSED = re.compile(r"[+_.]?\w*@| ?(?:\[at\]|\(at\))|[+.]\w+ ?(?:@|\[at\]|\(
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _AROUND = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[:=,.|/;-]|\d+")
 _DIGITS = re.compile(r"\d")
-_COLONS = str.maketrans({"=": ":", "-": ":"})
 
 
 def _left(text: str, at: int, n: int = 3) -> list[str]:
     """The words before, `:` for any label mark, nearest last; a line break ends it."""
     part = text[max(0, at - 40) : at]
     part = part[part.rfind("\n") + 1 :]
-    words = [w.translate(_COLONS) for w in _AROUND.findall(part.lower())]
-    return words[-n:]
+    words = _AROUND.findall(part.lower())[-n:]
+    return [":" if w == "=" or w == "-" else w for w in words]
 
 
 def _right(text: str, at: int) -> str:
-    words = _AROUND.findall(text[at : at + 25].lower())
-    return words[0].translate(_COLONS) if words else "$"
+    word = _AROUND.search(text[at : at + 25].lower())
+    if word is None:
+        return "$"
+    return ":" if word.group() in "=-" else word.group()
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
