@@ -292,3 +292,8 @@ def retry_delay(attempt: Column, elapsed: Column, status: Column, delays: tuple[
     """
     delay = F.get(F.array(*[F.lit(d) for d in delays]), attempt - 1)
     return F.when(((status == 429) | status.between(500, 599)) & (elapsed + delay < budget), delay)
+
+
+def voice_prompt(question: Column, answer: Column) -> Column:
+    """What a model is asked that turns a grounded answer into a spoken one."""
+    return F.concat(F.lit("The visitor asked: "), question, F.lit("\n\nHere is the correct written answer:\n\n"), answer, F.lit("\n\nRewrite it as a short spoken reply, following the rules exactly."))

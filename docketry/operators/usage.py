@@ -76,6 +76,21 @@ def recent_turns(turns: DataFrame, most: int = 10, budget: int = 2400) -> DataFr
     return marked.groupBy("conv", "run").agg(F.min("role").alias("role"), joined.alias("content"))
 
 
+def turn_format(turns: DataFrame) -> DataFrame:
+    """(conv, run, role, parts) of turns (conv, turn, role, content) as a service with alternating turns takes them.
+
+    System texts come first as run 0, joined by blank lines; an assistant is a
+    `model`, everyone else a `user`; neighbouring turns of one role are parts of one.
+    """
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"])
+    system = turns.where("role = 'system'").groupBy("conv").agg(F.array(F.array_join(parts, "\n\n")).alias("parts"))
+    up = Window.partitionBy("conv").orderBy("turn")
+    rest = turns.where("role IS NULL OR role <> 'system'").withColumn("role", F.when(F.col("role") == "assistant", "model").otherwise("user"))
+    rest = rest.withColumn("new", F.when(F.col("role") == F.lag("role").over(up), 0).otherwise(1)).withColumn("run", F.sum("new").over(up))
+    said = rest.groupBy("conv", "run").agg(F.first("role").alias("role"), parts.alias("parts"))
+    return system.select("conv", F.lit(0).cast("long").alias("run"), F.lit("system").alias("role"), "parts").unionByName(said)
+
+
 def most_asked(logs: DataFrame, norm: Column, top: int) -> DataFrame:
     """(norm, n, wording) of the questions asked most often; the wording is the first seen, ties in the order of first sight (A10)."""
     rows = logs.withColumn("norm", norm).where("norm IS NOT NULL")

@@ -9,6 +9,7 @@ from docketry.operators import textops as T
 from docketry.operators.indexing import change_action, fingerprint, index_run, log_events, payload, result_of, union_in_order, with_ocr_fallback
 from docketry.operators.maintenance import once, patch
 from docketry.operators.retrieval import SearchPolicy, dual_search, postings, search, sparse_top_k
+from docketry.operators.usage import turn_format
 from docketry.plans.search import _HYBRID, LIMIT, STORE_K, dense_leg, shown_postings, title_postings, vectors
 from docketry.runtime import table
 
@@ -260,7 +261,39 @@ def t10_rewrite_prompts(spark, d):
     return _with_earlier(spark, d).select("id", T.rewrite_prompt(F.col("question"), F.col("earlier")).alias("prompt"))
 
 
-@query()
+@query(L + """, t AS (SELECT session_id AS conv, created_at, id, 0 AS part, 'user' AS role, question AS content FROM l UNION ALL SELECT session_id, created_at, id, 1, 'assistant', answer FROM l),
+ k AS (SELECT conv, created_at, id, part, CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END AS role, content FROM t WHERE conv IS NOT NULL AND content IS NOT NULL),
+ g AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY conv ORDER BY created_at NULLS FIRST, id, part)),
+ r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv ORDER BY created_at NULLS FIRST, id, part) AS run FROM g)
+ SELECT conv, run::BIGINT AS run, min(role) AS role, string_agg(content, '|' ORDER BY created_at NULLS FIRST, id, part) AS parts FROM r GROUP BY conv, run
+ UNION ALL SELECT DISTINCT conv, 0, 'system', 'Answer from the sources.' || chr(10) || chr(10) || 'Be brief.' FROM k""")
+def t33_turn_formats(spark, d):
+    """The turns of each session with two system texts before them."""
+    l = logs(spark, d).where("session_id IS NOT NULL")
+    said = l.select(F.col("session_id").alias("conv"), "created_at", "id", F.posexplode(F.array("question", "answer")).alias("part", "content")).where("content IS NOT NULL")
+    turns = said.select("conv", F.struct(F.lit(1).alias("late"), "created_at", "id", "part").alias("turn"), F.when(F.col("part") == 0, "user").otherwise("assistant").alias("role"), "content")
+    first = said.select("conv").distinct().select("conv", F.posexplode(F.array(F.lit("Answer from the sources."), F.lit("Be brief."))).alias("part", "content"))
+    first = first.select("conv", F.struct(F.lit(0).alias("late"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("long").alias("id"), "part").alias("turn"), F.lit("system").alias("role"), "content")
+    return turn_format(turns.unionByName(first)).select("conv", "run", "role", F.array_join("parts", "|").alias("parts"))
+
+
+@query(L + " SELECT id, 'The visitor asked: ' || question || chr(10) || chr(10) || 'Here is the correct written answer:' || chr(10) || chr(10) || answer || chr(10) || chr(10) || 'Rewrite it as a short spoken reply, following the rules exactly.' AS prompt FROM l WHERE answer IS NOT NULL")
+def t40_voice_prompts(spark, d):
+    return logs(spark, d).where("answer IS NOT NULL").select("id", T.voice_prompt(F.col("question"), F.col("answer")).alias("prompt"))
+
+
+@query(L + r""", x AS (SELECT id, answer || (SELECT string_agg(', then the part number ' || n || ' of it', '' ORDER BY n) FROM range(12) t(n)) || '. Done.' AS t FROM l WHERE answer IS NOT NULL),
+ p AS (SELECT id, string_split(regexp_replace(t, '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM x),
+ e AS (SELECT id, regexp_replace(unnest(s), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s, generate_subscripts(s, 1) AS i FROM p),
+ n AS (SELECT *, len(list_filter(regexp_split_to_array(s, '[\s\p{Z}]+'), lambda w: w <> '')) AS n FROM e WHERE s <> ''),
+ c AS (SELECT id, i, string_split(regexp_replace(s, ',[\s\p{Z}]+', ',' || chr(1), 'g'), chr(1)) AS c FROM n WHERE n > 30),
+ d AS (SELECT id, i, unnest(c) AS piece, generate_subscripts(c, 1) AS j FROM c),
+ w AS (SELECT *, len(list_filter(regexp_split_to_array(piece, '[\s\p{Z}]+'), lambda x: x <> '')) AS n FROM d),
+ r AS (SELECT id, i, list(n ORDER BY j) AS ns, list(piece ORDER BY j) AS ps FROM w GROUP BY id, i),
+ f AS (SELECT id, i, ps, list_reduce(list_prepend({'g': 0, 'upto': 0, 'all': []::INT[]}, list_transform(ns, lambda n: {'g': 0, 'upto': n::INT, 'all': []::INT[]})), lambda a, b: CASE WHEN a.upto > 0 AND a.upto + b.upto > 30 THEN {'g': a.g + 1, 'upto': b.upto, 'all': list_append(a.all, a.g + 1)} ELSE {'g': a.g, 'upto': a.upto + b.upto, 'all': list_append(a.all, a.g)} END) AS z FROM r),
+ o AS (SELECT id, i, unnest(ps) AS piece, unnest(z.all) AS g, generate_subscripts(ps, 1) AS j FROM f),
+ u AS (SELECT id, i, 0 AS g, s AS sentence FROM n WHERE n <= 30 UNION ALL SELECT id, i, g, string_agg(piece, ' ' ORDER BY j) FROM o GROUP BY id, i, g)
+ SELECT id, (row_number() OVER (PARTITION BY id ORDER BY i, g) - 1)::INT AS place, sentence FROM u""")
 def t31_spoken_sentences(spark, d):
     """Answers cut for speaking, with a long list of commas added."""
     long = F.concat_ws(", ", F.col("answer"), *[F.lit(f"then the part number {n} of it") for n in range(12)])
