@@ -6,6 +6,10 @@ new folder and the pointer to it is swapped.
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +85,40 @@ def version_diff(chunks: DataFrame, key: str = "source_id") -> DataFrame:
     )
 
 
+def _latest_two(chunks: DataFrame, key: str) -> DataFrame:
+    """The chunks of the two latest versions of each key that has two, marked with `new`."""
+    numbers = chunks.select(key, "version").distinct()
+    pairs = numbers.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("version")))).where("rn <= 2").groupBy(key).agg(F.max("version").alias("latest_version"), F.min("version").alias("previous_version")).where("latest_version > previous_version")
+    return chunks.join(pairs, key).where("version IN (latest_version, previous_version)").withColumn("new", F.col("version") == F.col("latest_version"))
+
+
+def index_diff(chunks: DataFrame, key: str = "source_id") -> DataFrame:
+    """(key, previous_version, latest_version, added, removed): the sorted chunk indices whose content hash only one of the two latest versions holds."""
+    two = _latest_two(chunks, key)
+    sides = two.groupBy(key, "previous_version", "latest_version", "content_hash").agg(F.bool_or("new").alias("in_new"), F.bool_or(~F.col("new")).alias("in_old"), F.sort_array(F.collect_list("chunk_index")).alias("at"))
+    indices = lambda side, other: F.sort_array(F.flatten(F.collect_list(F.when(F.col(side) & ~F.col(other), F.col("at")))))
+    return sides.groupBy(key, "previous_version", "latest_version").agg(indices("in_new", "in_old").alias("added"), indices("in_old", "in_new").alias("removed"))
+
+
+def text_diff(chunks: DataFrame, key: str = "source_id") -> DataFrame:
+    """(key, previous_version, latest_version, unified_diff) of the texts of the two latest versions, chunks in the order of their index.
+
+    One row holds the two texts of one document, which a line diff has to see whole.
+    """
+    text = lambda new: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("new") == new, F.struct("chunk_index", "chunk_text")))), lambda x: x["chunk_text"]), "\n\n")
+    rows = _latest_two(chunks, key).groupBy(key, "previous_version", "latest_version").agg(text(False).alias("old"), text(True).alias("new"))
+    kind = dict(chunks.dtypes)
+
+    def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for before, after, old, new in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                out.append("\n".join(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), f"v{before}", f"v{after}", lineterm="")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], names=[key, "previous_version", "latest_version", "unified_diff"])
+
+    return rows.mapInArrow(diff, f"{key} {kind[key]}, previous_version {kind['version']}, latest_version {kind['version']}, unified_diff string")
+
+
 def move_keys(table: DataFrame, moves: DataFrame, column: str) -> DataFrame:
     """`column` of `table` renamed by (old_value, new_value) pairs.
 

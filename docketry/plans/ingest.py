@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import textops as T
 from docketry.operators.indexing import change_action, fingerprint, index_run, log_events, payload, result_of, union_in_order, with_ocr_fallback
-from docketry.operators.maintenance import once, patch
+from docketry.operators.maintenance import index_diff, once, patch, text_diff
 from docketry.operators.retrieval import SearchPolicy, dual_search, postings, search, sparse_top_k
 from docketry.operators.usage import turn_format
 from docketry.plans.search import _HYBRID, LIMIT, STORE_K, dense_leg, shown_postings, title_postings, vectors
@@ -118,6 +118,24 @@ def d04_ocr_fallback(spark, d):
     return with_ocr_fallback(native, words, e).select("doc", "place", "type", F.md5("text").alias("text_hash"), "ordinal", "page", "source")
 
 
+_TWO = C + """, n AS (SELECT source_id, version, row_number() OVER (PARTITION BY source_id ORDER BY version DESC) AS rn FROM (SELECT DISTINCT source_id, version FROM c)),
+ p AS (SELECT source_id, max(version) AS nv, min(version) AS ov FROM n WHERE rn <= 2 GROUP BY 1 HAVING max(version) > min(version)),
+ t AS (SELECT c.*, nv, ov, version = nv AS fresh FROM c JOIN p USING (source_id) WHERE version IN (nv, ov))"""
+
+
+@query(_TWO + """, h AS (SELECT source_id, nv, ov, content_hash, bool_or(fresh) AS a, bool_or(NOT fresh) AS b, list_filter(list(chunk_index), lambda x: x IS NOT NULL) AS idx FROM t GROUP BY ALL)
+ SELECT source_id, ov AS previous_version, nv AS latest_version, coalesce(array_to_string(list_sort(flatten(list(idx) FILTER (a AND NOT b))), ','), '') AS added, coalesce(array_to_string(list_sort(flatten(list(idx) FILTER (b AND NOT a))), ','), '') AS removed FROM h GROUP BY ALL""")
+def v05_index_diffs(spark, d):
+    """Added and removed chunk indices between the two latest versions of each source."""
+    x = index_diff(chunks(spark, d).select("source_id", "version", "content_hash", "chunk_index"))
+    return x.select("source_id", "previous_version", "latest_version", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query()
+def v05_text_diffs(spark, d):
+    return text_diff(chunks(spark, d).select("source_id", "version", "chunk_index", "chunk_text"))
+
+
 # ---- payloads and results ----
 @query(C + """ SELECT id, strftime(retrieval_date, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(retrieval_date) % 1000000 <> 0 THEN '.' || lpad((epoch_us(retrieval_date) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00' AS retrieved, review_status, chunk_index, array_to_string(jurisdiction, ',') AS jurisdiction FROM c""")
 def pr17_payloads(spark, d):

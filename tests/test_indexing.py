@@ -162,3 +162,16 @@ def test_files(spark, tmp_path):
         seen += [r.id for r in rows]
         after = seen[-1]
     assert seen == [f"p{k}" for k in range(7)]
+
+
+def test_diffs_of_versions(spark):
+    import difflib
+
+    from docketry.operators.maintenance import index_diff, text_diff
+
+    rows = [("s", 1, 0, "x", "old"), ("s", 2, 0, "a", "one\ntwo"), ("s", 2, 1, "b", "three"), ("s", 3, 1, "b", "three"), ("s", 3, 0, "c", "one\n2"), ("s", 3, 2, "c", None), ("t", 1, 0, "a", "alone")]
+    df = spark.createDataFrame(rows, "source_id string, version int, chunk_index int, content_hash string, chunk_text string")
+    assert [tuple(r) for r in index_diff(df).collect()] == [("s", 2, 3, [0, 2], [0])]
+    want = "\n".join(difflib.unified_diff("one\ntwo\n\nthree".splitlines(), "one\n2\n\nthree".splitlines(), "v2", "v3", lineterm=""))
+    assert [tuple(r) for r in text_diff(df).collect()] == [("s", 2, 3, want)]
+    assert text_diff(df.limit(0)).count() == 0 and index_diff(df.limit(0)).count() == 0
