@@ -215,16 +215,20 @@ def list_evidence(docs: DataFrame, id_col: str, text_col: str, host_col: str, pr
     return rows.mapInArrow(read, f"id {kind}, host string, total int, parts array<struct<size int, own boolean, phrases array<bigint>, firsts array<bigint>>>")
 
 
-_BITS = 1 << 22  # of the filter that goes to every worker: 512 KB, whatever the data
+#: Bits of a filter that goes to every worker: 512 KB at least, 32 MB at most, whatever the data.
+_LEAST_BITS, _MOST_BITS = 1 << 22, 1 << 28
 _KEPT = 100_000  # pieces of text whose shingles a worker keeps at a time
 
 
 def _bits(wanted: DataFrame) -> bytes:
-    """The filter of the hashes in the one column of `wanted`, collected in at most _BITS / 32 rows."""
+    """The filter of the hashes in the one column of `wanted`: 16 bits a hash within its bounds, collected as words of 32 bits. It only proposes, a join follows."""
+    size, count = _LEAST_BITS, wanted.count()
+    while size < _MOST_BITS and size < 16 * count:
+        size *= 2
     h = F.col(wanted.columns[0])
-    places = F.array(h.bitwiseAND(F.lit(_BITS - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(_BITS - 1)))
+    places = F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(size - 1)))
     words = wanted.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
-    found = np.zeros(_BITS // 32, dtype="<u4")
+    found = np.zeros(size // 32, dtype="<u4")
     for batch in words.toArrow().to_batches():
         found[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype("<u4")
     return found.tobytes()
@@ -246,7 +250,8 @@ class _Starts(dict):
 
 
 def _held(bits: bytes, h: int) -> bool:
-    a, b = h & _BITS - 1, h >> 32 & _BITS - 1
+    last = 8 * len(bits) - 1
+    a, b = h & last, h >> 32 & last
     return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
 
@@ -305,7 +310,7 @@ class SpamPages:
         found = cut(list_evidence(docs, id_col, text_col, host_col, prior))
         phrases = found.select("host", F.explode("parts.phrases").alias("p")).select("host", F.explode("p").alias("phrase"))
         wanted = cut(phrases.select("phrase").distinct())
-        firsts = found.select(F.explode("parts.firsts").alias("p")).select(F.explode("p").alias("first")).distinct()
+        firsts = cut(found.select(F.explode("parts.firsts").alias("p")).select(F.explode("p").alias("first")).distinct())
         # lists hold their phrases themselves; the other texts are searched for them
         held = phrases.where("host IS NOT NULL").unionByName(phrase_hosts(docs.where(F.col(id_col).isNotNull()), text_col, host_col, wanted, firsts))
         pairs = held.distinct()
