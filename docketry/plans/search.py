@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators.retrieval import boosted, dense_top_k, fuse_lists, postings, reciprocal_rank, rerank, search, SearchPolicy, sparse_top_k, telling
+from docketry.operators.retrieval import SearchPolicy, dense_top_k, fuse_lists, postings, reciprocal_rank, rerank, search, sparse_top_k, telling
 from docketry.runtime import table
 
 QUERIES: dict = {}
@@ -88,9 +88,9 @@ def k04_relevance(spark, d):
 @query(f"""WITH {_HYBRID}, h AS (SELECT hybrid.*, lang FROM hybrid JOIN shown USING (id) WHERE rank <= {LIMIT + 4})
  SELECT qid, id, score, new_rank AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score + CASE WHEN lang = 'en' THEN {BOOST} ELSE 0 END, 9) DESC, rank) AS new_rank FROM h) WHERE new_rank <= {LIMIT}""")
 def r02_boosted_search(spark, d):
-    wide = reciprocal_rank([dense_leg(spark, d), sparse_top_k(title_postings(spark, d), shown_postings(spark, d), PREFETCH)], STORE_K, LIMIT + 4)
-    lang = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return boosted(wide.join(lang, "id"), F.col("lang") == "en", BOOST, LIMIT).select("qid", "id", "score", "rank")
+    flagged = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("flag"))
+    legs = lambda k: [dense_leg(spark, d, k), sparse_top_k(title_postings(spark, d), shown_postings(spark, d), k)]
+    return search(legs, SearchPolicy(limit=LIMIT, prefetch=PREFETCH, store_k=STORE_K, boost=BOOST), flagged)
 
 
 @query(f"""WITH {_HYBRID}, h AS (SELECT qid, id, rank AS prerank_rank, score AS prerank_score FROM hybrid WHERE rank <= 30),
