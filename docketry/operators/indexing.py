@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.textops import list_marker
 
-#: Pages of fewer words have no text layer worth the name.
+# ---- fixed values: fields of a vector's payload and of a search result, and the words below which a page has no text layer ----
 LEAST_WORDS = 5
 PAYLOAD = (
     "source_id source_version_id chunk_index source_url retrieval_date source_last_modified service_category canonical jurisdiction applicant_variant"

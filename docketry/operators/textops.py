@@ -32,6 +32,14 @@ MARKDOWN = [
 THINKING = r"(?s)<think>.*?</think>"
 GROUPED_CITATION = r"\[\s*(\d+(?:\s*(?:,|-|–|to)\s*\d+)+)\s*\]"
 CITATIONS = r"(?U)\s*\[\d+\](?:\s*,?\s*\[\d+\])*"
+#: Wordings of prompts.
+EARLIER_QUESTIONS = "Earlier questions in this conversation:\n"
+NEW_MESSAGE = "\n\nNew message: "
+VISITOR_ASKED = "The visitor asked: "
+WRITTEN_ANSWER = "\n\nHere is the correct written answer:\n\n"
+SPOKEN_REPLY = "\n\nRewrite it as a short spoken reply, following the rules exactly."
+QUERY_LABEL = r"(?i)^(?:search\s+)?query\s*:\s*"
+CITATION_TITLE = r"^\[(\d+)\]\s*(\S+)\s*(.*)$"
 NAME_STOPS = (
     "could can please i my and the is what how when where why do does will would should thank thanks kindly help need want passport oci visa application file date"
 ).split()
@@ -256,14 +264,14 @@ def citation_title(index: Column, category: Column, title: Column) -> Column:
 
 def citation_label(title: Column, url: Column) -> Column:
     """The source's name in a citation title, or a label of its address where it says only `source`."""
-    name = F.trim(F.regexp_extract(title, r"^\[(\d+)\]\s*(\S+)\s*(.*)$", 3))
+    name = F.trim(F.regexp_extract(title, CITATION_TITLE, 3))
     return F.when((name != "") & (name != "source"), name).otherwise(source_label(url))
 
 
 def clean_rewrite(text: Column, most: int = 200) -> Column:
     """The first line that is not blank, without a `query:` label and quotes; null if empty or over `most` characters."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
-    line = F.regexp_replace(F.get(lines, F.lit(0)), r"(?i)^(?:search\s+)?query\s*:\s*", "")
+    line = F.regexp_replace(F.get(lines, F.lit(0)), QUERY_LABEL, "")
     line = F.trim(F.regexp_replace(F.trim(line), "^[\"'`]+|[\"'`]+$", ""))
     return F.when((line != "") & (F.length(line) <= most), line)
 
@@ -271,7 +279,7 @@ def clean_rewrite(text: Column, most: int = 200) -> Column:
 def rewrite_prompt(question: Column, earlier: Column) -> Column:
     """A question under the earlier ones as a list, or alone."""
     listed = F.array_join(F.transform(earlier, lambda q: F.concat(F.lit("- "), q)), "\n")
-    return F.when(F.size(earlier) > 0, F.concat(F.lit("Earlier questions in this conversation:\n"), listed, F.lit("\n\nNew message: "), question)).otherwise(question)
+    return F.when(F.size(earlier) > 0, F.concat(F.lit(EARLIER_QUESTIONS), listed, F.lit(NEW_MESSAGE), question)).otherwise(question)
 
 
 def retrieval_query(question: Column, earlier: Column) -> Column:
@@ -296,4 +304,4 @@ def retry_delay(attempt: Column, elapsed: Column, status: Column, delays: tuple[
 
 def voice_prompt(question: Column, answer: Column) -> Column:
     """What a model is asked that turns a grounded answer into a spoken one."""
-    return F.concat(F.lit("The visitor asked: "), question, F.lit("\n\nHere is the correct written answer:\n\n"), answer, F.lit("\n\nRewrite it as a short spoken reply, following the rules exactly."))
+    return F.concat(F.lit(VISITOR_ASKED), question, F.lit(WRITTEN_ANSWER), answer, F.lit(SPOKEN_REPLY))
