@@ -70,3 +70,14 @@ def test_copies_are_kept_apart_unless_too_many(spark):
     many = [(i, "the same text", "s") for i in range(500)]
     got = pack(spark.createDataFrame(many, "doc_id long, text string, source string"), "doc_id", "text", "source", capacity=128).select("container").distinct().count()
     assert got <= 20
+
+
+def test_only_the_excess_of_too_many_copies_shares_containers(spark):
+    rows = [(i, f"text number {i} " * 14, None) for i in range(200)] + [(1000 + i, "the same text " * 20, None) for i in range(150)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", capacity=128).collect()
+    held = defaultdict(int)
+    for r in got:
+        held[r.container] += r.id >= 1000
+    needed = sum(r.tokens for r in got) / 128
+    # half the containers' worth of copies stand alone among copies, at least
+    assert sum(n > 0 for n in held.values()) >= 0.8 * needed * 0.5 and sum(held.values()) == 150 and len(held) <= 1.3 * needed
