@@ -1,11 +1,13 @@
 """Keyword-stuffed and link-list pages.
 
-A page is read line by line. Lines of links, tags and product entries, and
-runs of keywords that repeat themselves instead of forming sentences, are list
-evidence. Lists that do not repeat themselves are settled by the corpus: their
-phrase shingles (five words, or a shorter phrase whole) are exploded and counted
-by distinct hosts over the shingles of all documents, prose or list, and a list
-stitched mostly from phrases that other hosts hold too counts as well. A page is spam if lists make up its greater part.
+A page is read line by line. Its list parts are lines of links, tags and product
+entries, runs of keywords, short lines without function words, and sentences
+around one phrase. The phrase shingles of all list parts (five words, a shorter
+phrase whole, or the pairs that a run of keywords repeats) are exploded and
+counted by distinct hosts over the shingles of all documents, prose or list; a
+part stitched mostly from phrases that other hosts hold too counts. Parts that
+repeat themselves, and links, tags and entries, count by themselves as a prior.
+A page is spam if its counted parts make up its greater part.
 """
 
 from __future__ import annotations

@@ -1,12 +1,14 @@
 """Template residue, filler text and error-page messages within texts.
 
-Each text is cut into segments (sentences within lines). Detectors judge a
-segment by itself: placeholder syntax, filler, messages of servers, gates and
-script checks. Two kinds of doubt are settled by the corpus: short segments in
-the vocabulary of servers and browsers are flagged if the same response comes
-from several hosts and mostly on pages whose slug and title share no word with
-it; segments without function words are filler if the corpus knows hardly any
-of their words from elsewhere.
+Each text is cut into segments (sentences within lines). What the corpus knows
+decides first: a short segment is odd if many of its words are held by hardly any
+text; odd segments that several hosts give, mostly on pages whose slug and title
+share no word with them, are responses of servers and templates rather than
+guidance, and so are odd segments in the words of such responses. Segments without
+function words are filler if the corpus knows hardly any of their words from
+elsewhere. Placeholders are told by their syntax. Lists of messages, notices and
+fillers are a prior beside these; short segments in the vocabulary of servers and
+browsers are judged by their hosts like odd ones.
 """
 
 from __future__ import annotations
