@@ -113,17 +113,26 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, before: tuple | None) ->
     return row[keep], found_ids[keep], found[keep]
 
 
-def postings(docs: DataFrame, item: str, text: str) -> DataFrame:
-    """(id, token, weight): a lexical stand-in, 1 + ln(occurrences) of words of letters, marks and figures in any script."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    return docs.select(F.col(item).alias("id"), F.explode(words).alias("token")).groupBy("id", "token").agg(F.round(1 + F.log(F.count("*").cast("double")), PLACES).alias("weight"))
-
+def postings(docs: DataFrame, item: str, text: str, most: float | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(id, token, weight): a lexical stand-in, 1 + ln(occurrences) of words of letters, marks and figures in any script.
 
-def telling(posted: DataFrame, items: int, share: float = 0.1) -> DataFrame:
-    """`posted` without the tokens that over `share` of the items hold: they tell nothing and would pair every query with every item."""
-    common = posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > share * items).select("token")
-    # at most the tokens of a mean item / share
-    return posted.join(F.broadcast(common), "token", "left_anti")
+    With `most`, tokens that over this share of the items hold are left out, before
+    they are counted: they tell nothing and would pair every query with every item.
+    With `among`, only its tokens are counted, as those of the queries to come.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    asked = None if among is None else cut(among.select("token").distinct())
+
+    def tokens(words: Column) -> DataFrame:
+        rows = docs.select(F.col(item).alias("id"), F.explode(words).alias("token"))
+        return rows if asked is None else join_small(rows, asked, ["token"], how="left_semi", spread="id")
+
+    rows = tokens(words)
+    if most is not None:
+        held = tokens(F.array_distinct(words)).groupBy("token").agg(F.count("*").alias("n"))
+        common = held.where(F.col("n") > most * docs.count()).select("token")  # at most the tokens of a mean item / most
+        rows = rows.join(F.broadcast(common), "token", "left_anti")
+    return rows.groupBy("id", "token").agg(F.round(1 + F.log(F.count("*").cast("double")), PLACES).alias("weight"))
 
 
 def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

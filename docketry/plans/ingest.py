@@ -10,7 +10,7 @@ from docketry.operators.indexing import change_action, fingerprint, index_run, l
 from docketry.operators.maintenance import index_diff, once, patch, text_diff
 from docketry.operators.retrieval import SearchPolicy, dual_search, postings, search, sparse_top_k
 from docketry.operators.usage import turn_format
-from docketry.plans.search import _HYBRID, LIMIT, STORE_K, dense_leg, shown_postings, title_postings, vectors
+from docketry.plans.search import _HYBRID, LIMIT, STORE_K, dense_leg, shown_postings, sparse_leg, vectors
 from docketry.runtime import table
 
 QUERIES: dict = {}
@@ -212,7 +212,7 @@ def u02_union_in_order(spark, d):
 
 # ---- searches run by a policy ----
 def legs(spark, d):
-    return lambda k: [dense_leg(spark, d, k), sparse_top_k(title_postings(spark, d), shown_postings(spark, d), k)]
+    return lambda k: [dense_leg(spark, d, k), sparse_leg(spark, d, k)]
 
 
 @query(f"WITH {_HYBRID} SELECT qid, id, score, rank FROM hybrid WHERE rank <= 5")
@@ -244,9 +244,9 @@ def r05_dual_wordings(spark, d):
     docs = table(spark, d, "documents").where("doc_id % 50 = 0 AND title IS NOT NULL")
     rewrite = F.when(F.col("doc_id") % 100 == 0, F.upper("title")).otherwise(F.regexp_replace("title", r"^\S+\s+", ""))
     wordings = docs.select(F.col("doc_id").alias("qid"), F.col("title").alias("question"), rewrite.alias("rewrite"))
-    posted = shown_postings(spark, d)
-    first = sparse_top_k(postings(wordings, "qid", "question"), posted, 2 * LIMIT)
-    second = sparse_top_k(postings(wordings, "qid", "rewrite"), posted, 2 * LIMIT)
+    one, two = postings(wordings, "qid", "question"), postings(wordings, "qid", "rewrite")
+    posted = shown_postings(spark, d, one.unionByName(two))
+    first, second = sparse_top_k(one, posted, 2 * LIMIT), sparse_top_k(two, posted, 2 * LIMIT)
     return dual_search(first, second, wordings, LIMIT)
 
 

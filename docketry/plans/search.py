@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators.retrieval import SearchPolicy, dense_top_k, fuse_lists, postings, reciprocal_rank, rerank, search, sparse_top_k, telling
+from docketry.operators.retrieval import SearchPolicy, dense_top_k, fuse_lists, postings, reciprocal_rank, rerank, search, sparse_top_k
 from docketry.runtime import table
 
 QUERIES: dict = {}
@@ -33,15 +33,20 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
-def shown_postings(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL")
-    return telling(postings(docs, "doc_id", "text"), docs.count())
+def shown_postings(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    """Postings of the documents that may be shown, of the tokens that are asked for."""
+    return postings(table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL"), "doc_id", "text", most=0.1, among=asked)
 
 
 def title_postings(spark: SparkSession, d: str) -> DataFrame:
     return postings(table(spark, d, "documents").where("doc_id % 50 = 0 AND title IS NOT NULL"), "doc_id", "title")
 
 
+def sparse_leg(spark: SparkSession, d: str, k: int = PREFETCH) -> DataFrame:
+    asked = title_postings(spark, d)
+    return sparse_top_k(asked, shown_postings(spark, d, asked), k)
+
+
 def dense_leg(spark: SparkSession, d: str, k: int = PREFETCH) -> DataFrame:
     return dense_top_k(asked(spark, d), vectors(spark, d), k)
 
@@ -71,12 +76,12 @@ def k01_dense_top_k(spark, d):
 
 @query(f"WITH {_POST} SELECT qid, id, score, rank FROM sparse WHERE rank <= 10")
 def k02_sparse_top_k(spark, d):
-    return sparse_top_k(title_postings(spark, d), shown_postings(spark, d), 10)
+    return sparse_leg(spark, d, 10)
 
 
 @query(f"WITH {_HYBRID} SELECT qid, id, score, rank FROM hybrid WHERE rank <= {LIMIT}")
 def k03_hybrid(spark, d):
-    return reciprocal_rank([dense_leg(spark, d), sparse_top_k(title_postings(spark, d), shown_postings(spark, d), PREFETCH)], STORE_K, LIMIT)
+    return reciprocal_rank([dense_leg(spark, d), sparse_leg(spark, d, PREFETCH)], STORE_K, LIMIT)
 
 
 @query(f"WITH {_DENSE} SELECT q.qid, coalesce(max(score), 0.0) AS relevance FROM q LEFT JOIN dense USING (qid) GROUP BY 1")
@@ -89,7 +94,7 @@ def k04_relevance(spark, d):
  SELECT qid, id, score, new_rank AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score + CASE WHEN lang = 'en' THEN {BOOST} ELSE 0 END, 9) DESC, rank) AS new_rank FROM h) WHERE new_rank <= {LIMIT}""")
 def r02_boosted_search(spark, d):
     flagged = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("flag"))
-    legs = lambda k: [dense_leg(spark, d, k), sparse_top_k(title_postings(spark, d), shown_postings(spark, d), k)]
+    legs = lambda k: [dense_leg(spark, d, k), sparse_leg(spark, d, k)]
     return search(legs, SearchPolicy(limit=LIMIT, prefetch=PREFETCH, store_k=STORE_K, boost=BOOST), flagged)
 
 
@@ -98,7 +103,7 @@ def r02_boosted_search(spark, d):
  SELECT qid, id, prerank_rank, prerank_score, s AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, prerank_rank) AS rank FROM n) WHERE rank <= {LIMIT}""")
 def r03_rerank(spark, d):
     """Reranking through the seam; the stand-in score is the cosine of the pair, not a cross-encoder's."""
-    short = reciprocal_rank([dense_leg(spark, d), sparse_top_k(title_postings(spark, d), shown_postings(spark, d), PREFETCH)], STORE_K, 30)
+    short = reciprocal_rank([dense_leg(spark, d), sparse_leg(spark, d, PREFETCH)], STORE_K, 30)
     q, v = asked(spark, d).withColumnRenamed("vector", "qv"), vectors(spark, d).select("id", "vector")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -117,7 +122,7 @@ def r03_rerank(spark, d):
  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS rank FROM c WHERE n <= {LIMIT}""")
 def r04_fused_lists(spark, d):
     one = dense_leg(spark, d, 16).select("qid", F.lit(1).alias("list_no"), F.col("rank").alias("pos"), "id", F.lit(1.0).alias("weight"))
-    two = sparse_top_k(title_postings(spark, d), shown_postings(spark, d), 16).select("qid", F.lit(2).alias("list_no"), F.col("rank").alias("pos"), "id", F.lit(1.5).alias("weight"))
+    two = sparse_leg(spark, d, 16).select("qid", F.lit(2).alias("list_no"), F.col("rank").alias("pos"), "id", F.lit(1.5).alias("weight"))
     return fuse_lists(one.unionByName(two), LIMIT, keep_top=2)
 
 

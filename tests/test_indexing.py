@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.operators import textops as T
 from docketry.operators.documents import word_lines
 from docketry.operators.indexing import change_action, fingerprint, index_run, with_ocr_fallback
-from docketry.operators.retrieval import SearchPolicy, dense_top_k, dual_search, postings, search, sparse_top_k, telling
+from docketry.operators.retrieval import SearchPolicy, dense_top_k, dual_search, postings, search, sparse_top_k
 from docketry.operators.usage import suppress_repeats
 from docketry.sources.files import apply_migrations, scroll, write_chunk_dump, write_log_csv
 
@@ -76,7 +76,7 @@ def test_dense_search_against_brute_force(spark):
 
 def test_lexical_search_of_any_script(spark):
     docs = spark.createDataFrame([(1, "वीज़ा शुल्क the"), (2, "die Gebühr the"), (3, "the fee"), (4, None), (5, "")], "id int, t string")
-    posted = telling(postings(docs.where("t IS NOT NULL"), "id", "t"), 4, 0.7)
+    posted = postings(docs.where("t IS NOT NULL"), "id", "t", most=0.7)
     asked = postings(spark.createDataFrame([(9, "the GEBÜHR"), (8, "वीज़ा")], "id int, t string"), "id", "t")
     assert [(r.qid, r.id) for r in sparse_top_k(asked, posted, 5).orderBy("qid").collect()] == [(8, 1), (9, 2)]
 
