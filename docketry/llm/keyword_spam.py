@@ -35,14 +35,17 @@ TOP_LEVEL = "example test invalid com org net info biz io shop xyz online site t
 
 _FUNCTION = FUNCTION_WORDS | HINDI_FUNCTION_WORDS
 _URL = re.compile(rf"(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:{'|'.join(TOP_LEVEL)})\b(?:/[^\s<>\"')\]]*)?", re.I)
-_LINKED = re.compile(rf"://|www\.|\.(?:{'|'.join(TOP_LEVEL)})\b", re.I)
+_ENDING = re.compile(rf"\.(?:{'|'.join(TOP_LEVEL)})\b", re.I)
 _ANCHOR = re.compile(r"</?a\b[^>]*>|\[[^\[\]\n]*\]\([^()\n]*\)", re.I)
-_WORD = re.compile(r"[^\s\d.,;:!?।()\[\]|/\\\"“”„…#<>=&@*•·☐→{}+_~–—-]+")
-_BREAKS = {i: " " for i in range(128) if not _WORD.match(chr(i))}  # the same for ASCII, which is faster
-_SENTENCE, _TAG, _CAMEL = re.compile(r"(?<=[.!?।])\s+(?=\S)"), re.compile(r"#\w+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+# What stands between words: of ASCII as a table of bytes, which also makes capitals small, and beyond ASCII.
+_BREAKS = r"\s\d.,;:!?()\[\]|/\\\"#<>=&@*{}+_~-"
+_PARTED = bytes(32 if re.match(f"[{_BREAKS}]", chr(i)) else ord(chr(i).lower()) for i in range(128)) + bytes(range(128, 256))
+_PARTED_WIDE = re.compile(r"[।“”„…•·☐→–—\d]")
+# Each begins with the rarer character and looks back from it: a search then passes over all others.
+_SENTENCE, _TAG, _CAMEL = re.compile(r"\s(?<=[.!?।]\s)\s*(?=\S)"), re.compile(r"#\w+"), re.compile(r"[A-Z](?<=[a-z][A-Z])")
 _PRODUCT, _LABEL = re.compile(PRODUCT, re.I), re.compile(LABEL, re.I)
 #: Phrases end at what these leave out, and at a dash between spaces.
-_PIECE, _DASH = re.compile(r"[^,;:|·•→=>\n()\[\]\"#\d]+"), re.compile(r"\s[-–—]\s")
+_ENDS, _ENDS_WIDE, _DASH = bytes(10 if chr(i) in ',;:|=>\n()[]"#0123456789' else i for i in range(256)), re.compile(r"[·•→\d]"), re.compile(r"\s[-–—]\s")
 _TABLE = re.compile(r"\|\s*[\d.,]+")
 
 SHINGLE = 5
@@ -52,9 +55,23 @@ STUFFED = 0.2
 LONG_LABEL = 8
 
 
+def _mapped(text: str, table: bytes) -> str:
+    """`text` with its ASCII characters mapped; all others have only bytes that the tables keep."""
+    return text.encode("utf-8", "surrogatepass").translate(table).decode("utf-8", "surrogatepass")
+
+
 def _words(text: str) -> list[str]:
-    text = text.lower()
-    return text.translate(_BREAKS).split() if text.isascii() else _WORD.findall(text)
+    if text.isascii():
+        return _mapped(text, _PARTED).split()
+    return _PARTED_WIDE.sub(" ", _mapped(text.lower(), _PARTED)).split()
+
+
+def _pieces(text: str) -> set[str]:
+    """The pieces of a text between the signs at which phrases end."""
+    ended = _mapped(text, _ENDS)
+    found = set((ended if text.isascii() else _ENDS_WIDE.sub("\n", ended)).split("\n"))
+    found.discard("")
+    return found
 
 
 def _function_words(words: list[str]) -> int:
@@ -63,13 +80,13 @@ def _function_words(words: list[str]) -> int:
 
 def phrases(text: str) -> set[str]:
     """The phrase shingles of a text: five words running, shorter phrases whole."""
-    return set(chain.from_iterable(map(_shingles, _PIECE.findall(text))))
+    return set(chain.from_iterable(map(_shingles, _pieces(text))))
 
 
 def _shingles(piece: str) -> list[str]:
     found = []
     for phrase in _DASH.split(piece) if "-" in piece or "–" in piece or "—" in piece else (piece,):
-        words = _words(phrase if phrase.islower() else _CAMEL.sub(" ", phrase))
+        words = _words(phrase if phrase.islower() else _CAMEL.sub(r" \g<0>", phrase))
         if len(words) > SHINGLE:
             found += map(" ".join, zip(*(words[i:] for i in range(SHINGLE))))
         elif words:
@@ -84,7 +101,7 @@ def _again(words: list[str]) -> set[str]:
 
 
 def _is_links(line: str) -> bool:
-    if not _LINKED.search(line):
+    if "://" not in line and not _ENDING.search(line) and "www." not in line.lower():
         return False
     links = len(_URL.findall(line))
     if not links:
@@ -94,20 +111,24 @@ def _is_links(line: str) -> bool:
     return few <= 1 and len(words) <= 8 or len(words) <= 5 * links and few <= links
 
 
+def _is_row(line: str) -> bool:
+    """A row of a table with figures."""
+    return "|" in line and _TABLE.search(line) is not None
+
+
 def _repeats(words: list[str]) -> bool:
     """Keywords in a row: hardly a function word, and the same words again and again."""
-    return len(words) >= 8 and _function_words(words) <= 0.12 * len(words) and len(set(words)) <= 0.75 * len(words)
+    return len(words) >= 8 and len(set(words)) <= 0.75 * len(words) and _function_words(words) <= 0.12 * len(words)
 
 
 def _stuffed(parts: list[tuple[str, list[str]]]) -> list[str]:
     """The sentences around one phrase with which the rest of a page is stuffed."""
     common = Counter(chain.from_iterable(words for _, words in parts))
-    most = max((n for w, n in common.items() if w not in _FUNCTION), default=0)
-    if most < 4 or 2 * most <= STUFFED * common.total():
+    total = common.total()
+    if not any(n >= 4 and 2 * n > STUFFED * total and w not in _FUNCTION for w, n in common.items()):
         return []
     pairs: Counter = Counter()
     own: list[set] = []
-    total = common.total()
     twice: Counter = Counter()
     for _, words in parts:
         here = Counter((a, b) for a, b in zip(words, words[1:]) if a not in _FUNCTION and b not in _FUNCTION)
@@ -166,12 +187,12 @@ def evidence(text: str, prior: bool = True) -> tuple[int, list[tuple[int, bool,
             if len(re.split(r"[,;|·•]", line)) >= LONG_LABEL:
                 found.append((len(line), False, phrases(line.partition(":")[2] or line)))
             continue
-        if len(words) <= 6 and words and not _function_words(words) and not _TABLE.search(line) and line[-1] not in ".?!।":
+        if len(words) <= 6 and words and _FUNCTION.isdisjoint(words) and not _is_row(line) and line[-1] not in ".?!।":
             block.append(line)
             continue
         close()
         for part, words in zip(parts, each):
-            if not _TABLE.search(part) and ((own := _repeats(words)) or _strung(part, words)):
+            if not _is_row(part) and ((own := _repeats(words)) or _strung(part, words)):
                 found.append((len(part), own, own and _again(words) or phrases(part)))
             elif words:
                 sentences.append((part, words))
@@ -189,7 +210,7 @@ def _unlinked(line: str) -> str:
 
 def _strung(part: str, words: list[str]) -> bool:
     """Words strung together without function words, longer than a line of a list."""
-    return len(words) >= 12 and _function_words(words) <= 0.12 * len(words) and part[-1] not in ".?!।"
+    return len(words) >= 12 and part[-1] not in ".?!।" and _function_words(words) <= 0.12 * len(words)
 
 
 def _hash(phrase: str) -> int:
@@ -272,7 +293,7 @@ def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFram
         def hits_of(piece: str) -> list[int]:
             hits = []
             for phrase in _DASH.split(piece) if "-" in piece or "–" in piece or "—" in piece else (piece,):
-                words = _words(phrase if phrase.islower() else _CAMEL.sub(" ", phrase))
+                words = _words(phrase if phrase.islower() else _CAMEL.sub(r" \g<0>", phrase))
                 if len(words) > SHINGLE:
                     hits += [_hash(" ".join(words[i : i + SHINGLE])) for i in range(len(words) - SHINGLE + 1) if begins(words[i])]
                 elif words and begins(words[0]):
@@ -282,7 +303,7 @@ def phrase_hosts(docs: DataFrame, text_col: str, host_col: str, wanted: DataFram
         for batch in batches:
             pairs = set()
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for piece in set(_PIECE.findall(text.as_py())):
+                for piece in _pieces(text.as_py()):
                     hits = kept.get(piece)
                     if hits is None:
                         if len(kept) >= _KEPT:
